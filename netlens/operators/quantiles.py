@@ -166,13 +166,30 @@ def column_profiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] =
     first = (_stack(wide, range(len(cols))).groupBy(CI).agg(
         F.count(F.lit(1)).alias("n"), F.avg(V).alias("mean"), F.stddev_samp(V).alias("std"),
         F.min(V).alias("min"), F.max(V).alias("max"),
-        F.percentile_approx(V, fracs, accuracy).alias("q")).collect())
+        F.approx_count_distinct(V, rsd).alias("nd")).collect())
     stats = {r[CI]: r for r in first}
-
     order_stats: dict[int, dict[int, float]] = {ci: {} for ci in stats}
+
+    # fast path: columns with few distinct values -> their whole (value, count)
+    # table, capped, in one job
+    few = [ci for ci, r in sorted(stats.items()) if r["nd"] <= cap]
+    got = _fetch(wide, [(ci, -math.inf, math.inf) for ci in few], cap) if few else {}
+    for i, ci in enumerate(few):
+        if i in got:
+            ranks = _ranks(stats[ci]["n"], probs)
+            vals = _walk(got[i], ranks)
+            order_stats[ci].update({k: vals[k] for k in ranks})
+    many = [ci for i, ci in enumerate(few) if i not in got]
+    many += [ci for ci in sorted(stats) if ci not in few]
+
     # a task: (column, lo, hi, approx quantiles, min, max, [(absolute rank, rank in range)])
-    tasks = [(ci, -math.inf, math.inf, r["q"], r["min"], r["max"],
-              [(k, k) for k in _ranks(r["n"], probs)]) for ci, r in sorted(stats.items())]
+    tasks = []
+    if many:
+        sk = (_stack(wide.select(*[_d(ci) for ci in many]), many).groupBy(CI)
+              .agg(F.percentile_approx(V, fracs, accuracy).alias("q")).collect())
+        sk = {r[CI]: r["q"] for r in sk}
+        tasks = [(ci, -math.inf, math.inf, sk.get(ci), stats[ci]["min"], stats[ci]["max"],
+                  [(k, k) for k in _ranks(stats[ci]["n"], probs)]) for ci in many]
     rounds = 0
     while tasks:
         rounds += 1
