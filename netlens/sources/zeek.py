@@ -39,12 +39,32 @@ def _lines(spark: SparkSession, path: str, log_type: str | None, recursive: bool
         return None
 
 
+def _meta(prefix: str) -> Column:
+    v = F.col("value")
+    return F.when(v.startswith(prefix + "\t"),
+                  F.split(F.regexp_replace(v, "^" + prefix + "\t", ""), "\t"))
+
+
 def header_table(lines: DataFrame) -> DataFrame:
-    """(src_file, file_size, fields ARRAY<STRING>) from each file's ``#fields`` line."""
-    return (lines.where(F.col("value").startswith("#fields"))
-            .select(SRC, SIZE, F.split(F.regexp_replace("value", r"^#fields\t", ""), "\t")
-                    .alias("fields"))
-            .dropDuplicates([SRC]))
+    """(src_file, file_size, fields, types) from each file's ``#fields`` / ``#types`` lines;
+    only files with a ``#fields`` line. Two metadata rows per file reach the shuffle."""
+    return (lines.where(F.col("value").startswith("#fields\t") | F.col("value").startswith("#types\t"))
+            .groupBy(SRC).agg(F.max(SIZE).alias(SIZE), F.max(_meta("#fields")).alias("fields"),
+                              F.max(_meta("#types")).alias("types"))
+            .where(F.col("fields").isNotNull()))
+
+
+# Zeek type names -> our column kinds.
+ZEEK_TYPES = {"time": Z.TS, "interval": Z.DBL, "double": Z.DBL, "count": Z.LONG, "int": Z.LONG,
+              "port": Z.INT, "bool": Z.BOOL}
+
+
+def _kind(log_type: str | None, field: str, zeek_types: set) -> str:
+    declared = Z.FIELDS.get(log_type or "", {}).get(field) or Z.COMMON.get(field)
+    if declared:
+        return declared
+    kinds = {ZEEK_TYPES.get(t, Z.STR) for t in zeek_types if t}
+    return kinds.pop() if len(kinds) == 1 else Z.STR
 
 
 def path_part(from_end: int) -> Column:
@@ -89,10 +109,14 @@ def read_log(spark: SparkSession, path: str, log_type: str | None = None, recurs
     if not meas["n"]:
         headers.unpersist()
         return _empty(spark, log_type)
-    layouts = [r["fields"] for r in headers.select("fields").distinct().limit(MAX_LAYOUTS + 1).collect()]
-    if len(layouts) > MAX_LAYOUTS:
+    got = headers.select("fields", "types").distinct().limit(MAX_LAYOUTS + 1).collect()
+    if len(got) > MAX_LAYOUTS:
         raise ValueError(f"more than {MAX_LAYOUTS} distinct #fields layouts under {path}")
-    layouts.sort()
+    ztypes: dict[str, set] = {}
+    for r in got:
+        for i, f in enumerate(r["fields"]):
+            ztypes.setdefault(f, set()).add((r["types"] or [])[i] if i < len(r["types"] or []) else None)
+    layouts = sorted({tuple(r["fields"]) for r in got})
     key = F.concat_ws("\t", "fields")
     lid = None
     for i, lay in enumerate(layouts):
@@ -124,7 +148,7 @@ def read_log(spark: SparkSession, path: str, log_type: str | None = None, recurs
                 val = F.element_at(VALS, lay.index(f) + 1)
                 pick = (F.when(F.col(LAYOUT) == i, val) if pick is None
                         else pick.when(F.col(LAYOUT) == i, val))
-        cols.append(_convert(pick, Z.field_type(log_type, f)).alias(Z.canonical(f)))
+        cols.append(_convert(pick, _kind(log_type, f, ztypes[f])).alias(Z.canonical(f)))
     out = joined.select(*cols, F.col(SRC), F.col(SIZE), ltype.alias("log_type"),
                         path_part(2).try_cast("date").alias("log_date"))
     if max_rows_per_file is not None:
