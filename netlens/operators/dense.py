@@ -7,23 +7,32 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.time import HOUR, hour_of
 
 
+MAX_HOURS = 1_000_000  # ~114 years of hours: 16 MB of (hour, count) at most
+
+
 def hourly_dense(df: DataFrame, where: Column | None = None, name: str = "count",
-                 ts: str = "ts") -> DataFrame:
+                 ts: str = "ts", max_hours: int = MAX_HOURS) -> DataFrame:
     """Rows per hour for EVERY hour from the first to the last matching row.
 
     The hourly counts are one partial+final aggregate (one row per hour). The
     hour spine is generated from min/max of those counts (``sequence`` over a
     single row) and the counts are broadcast into it: their size is bounded by
     the number of hours in the capture span (8,760 a year), not by the data.
-    Both sides come from the same aggregate, so its exchange is reused.
+    Both sides come from the same aggregate, so its exchange is reused. A span
+    over ``max_hours`` (a corrupt timestamp) fails the query instead of
+    generating an unbounded spine.
     """
     d = df.where(F.col(ts).isNotNull())
     if where is not None:
         d = d.where(where)
     counts = d.groupBy(hour_of(ts).alias(HOUR)).agg(F.count(F.lit(1)).alias(name))
+    span = F.expr("timestampdiff(HOUR, lo, hi)")
+    hours = F.when(span > max_hours,
+                   F.raise_error(F.lit(f"hour span exceeds max_hours={max_hours}"))) \
+             .otherwise(F.sequence("lo", "hi", F.expr("INTERVAL 1 HOUR")))
     spine = (counts.agg(F.min(HOUR).alias("lo"), F.max(HOUR).alias("hi"))
                    .where(F.col("lo").isNotNull())
-                   .select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 HOUR"))).alias(HOUR)))
+                   .select(F.explode(hours).alias(HOUR)))
     return (spine.join(F.broadcast(counts), HOUR, "left")
                  .select(HOUR, F.coalesce(F.col(name), F.lit(0).cast("bigint")).alias(name)))
 

@@ -101,3 +101,11 @@ def test_describe_empty(spark):
     df = _df(spark, [(None,)], "x double")
     r = describe(df, "x").first()
     assert r["count"] == 0 and r["mean"] is None and r["q50"] is None
+
+
+def test_hourly_dense_span_guard(spark):
+    import pytest
+    df = _df(spark, [(dt.datetime(2025, 1, 9, 0, 5),), (dt.datetime(2025, 1, 10, 0, 5),)], "ts timestamp")
+    assert hourly_dense(df, max_hours=100).count() == 25
+    with pytest.raises(Exception):
+        hourly_dense(df, max_hours=10).collect()
