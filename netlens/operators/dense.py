@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from ..functions.time import HOUR, hour_of
 
@@ -14,27 +15,29 @@ def hourly_dense(df: DataFrame, where: Column | None = None, name: str = "count"
                  ts: str = "ts", max_hours: int = MAX_HOURS) -> DataFrame:
     """Rows per hour for EVERY hour from the first to the last matching row.
 
-    The hourly counts are one partial+final aggregate (one row per hour). The
-    hour spine is generated from min/max of those counts (``sequence`` over a
-    single row) and the counts are broadcast into it: their size is bounded by
-    the number of hours in the capture span (8,760 a year), not by the data.
-    Both sides come from the same aggregate, so its exchange is reused. A span
-    over ``max_hours`` (a corrupt timestamp) fails the query instead of
-    generating an unbounded spine.
+    One scan: the hourly counts are a partial+final aggregate (one row per hour
+    present). The gaps are filled from that aggregate alone: ordered by hour,
+    each row is exploded into itself plus the empty hours up to the next one
+    (``lead``). That ordered pass sees one row per hour present, at most
+    ``max_hours`` (checked: a larger gap, i.e. a corrupt timestamp, fails the
+    query instead of generating an unbounded spine), never the raw rows.
     """
     d = df.where(F.col(ts).isNotNull())
     if where is not None:
         d = d.where(where)
     counts = d.groupBy(hour_of(ts).alias(HOUR)).agg(F.count(F.lit(1)).alias(name))
-    span = F.expr("timestampdiff(HOUR, lo, hi)")
-    hours = F.when(span > max_hours,
+    one_hour = F.expr("INTERVAL 1 HOUR")
+    nxt = F.lead(HOUR).over(Window.orderBy(HOUR))
+    last = F.coalesce(F.col("__next") - one_hour, F.col(HOUR))
+    gap = F.expr("timestampdiff(HOUR, hour, coalesce(__next, hour))")
+    hours = F.when(gap > max_hours,
                    F.raise_error(F.lit(f"hour span exceeds max_hours={max_hours}"))) \
-             .otherwise(F.sequence("lo", "hi", F.expr("INTERVAL 1 HOUR")))
-    spine = (counts.agg(F.min(HOUR).alias("lo"), F.max(HOUR).alias("hi"))
-                   .where(F.col("lo").isNotNull())
-                   .select(F.explode(hours).alias(HOUR)))
-    return (spine.join(F.broadcast(counts), HOUR, "left")
-                 .select(HOUR, F.coalesce(F.col(name), F.lit(0).cast("bigint")).alias(name)))
+             .otherwise(F.sequence(F.col(HOUR), last, one_hour))
+    return (counts.withColumn("__next", nxt)
+                  .select(F.explode(hours).alias("__h"), HOUR, name)
+                  .select(F.col("__h").alias(HOUR),
+                          F.when(F.col("__h") == F.col(HOUR), F.col(name))
+                           .otherwise(F.lit(0).cast("bigint")).alias(name)))
 
 
 def discover_values(df: DataFrame, col: str, max_values: int = 1000) -> list:
