@@ -173,3 +173,19 @@ def list_files(spark: SparkSession, root: str, glob: str = "*") -> list[str]:
     except AnalysisException:
         return []
 
+
+
+def conform(df: DataFrame, log_type: str) -> DataFrame:
+    """Add every column the analytics of ``log_type`` read that ``df`` lacks, as typed NULLs."""
+    st = Z.struct_for(log_type)
+    have = set(df.columns)
+    extra = [F.lit(None).cast(f.dataType).alias(f.name) for f in st.fields if f.name not in have]
+    return df.select("*", *extra) if extra else df
+
+
+def stack_logs(*dfs: DataFrame) -> DataFrame:
+    """Union by name; columns missing on one side are NULL."""
+    out = dfs[0]
+    for d in dfs[1:]:
+        out = out.unionByName(d, allowMissingColumns=True)
+    return out
