@@ -32,17 +32,21 @@ def ingest(spark: SparkSession, raw_root: str, landed: str, dates: list[str] | N
                 land(df, landed)
 
 
-def report_tables(log: DataFrame, log_type: str) -> dict[str, DataFrame]:
-    """Every named analytic of ``log_type`` on ``log`` (lazy DataFrames)."""
+def report_tables(log: DataFrame, log_type: str, keys: list[str] | tuple | None = None,
+                  params: dict[str, dict] | None = None) -> dict[str, DataFrame]:
+    """The named analytics of ``log_type`` on ``log`` (lazy DataFrames): all of them,
+    or ``keys``; ``params`` passes keyword arguments per key (day variants)."""
     v = conform(log, log_type)
-    return {a.key: a.build(v) for a in analytics(log_type)}
+    params = params or {}
+    return {a.key: a.build(v, **params.get(a.key, {})) for a in analytics(log_type)
+            if keys is None or a.key in keys}
 
 
 def report(spark: SparkSession, landed: str, log_type: str, date: str, out: str,
-           export: bool = True, fmt: str = "parquet") -> list[str]:
+           export: bool = True, fmt: str = "parquet", keys=None, params=None) -> list[str]:
     log = read_landed(spark, landed, log_type, [date])
     base = f"{out.rstrip('/')}/{log_type}/{date}"
-    written = write_report(report_tables(log, log_type), base, fmt)
+    written = write_report(report_tables(log, log_type, keys, params), base, fmt)
     if export:
         export_csv(log, f"{base}/_export", log_type)
     return written

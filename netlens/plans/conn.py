@@ -153,10 +153,10 @@ def locality_counts(v: DataFrame) -> DataFrame:
 
 @register("conn_heavy_senders", "conn", S.detail(
     "id_orig_h, id_resp_h, orig_bytes, resp_bytes, duration AS duration_seconds", "orig_bytes > 1e6"))
-def heavy_senders(v: DataFrame) -> DataFrame:
-    """Connections sending more than 1 MB."""
-    return (v.where(F.col("orig_bytes") > HEAVY_BYTES)
-             .select("id_orig_h", "id_resp_h", "orig_bytes", "resp_bytes", _dur()))
+def heavy_senders(v: DataFrame, with_resp_bytes: bool = True) -> DataFrame:
+    """Connections sending more than 1 MB (the short form of other days omits resp_bytes)."""
+    cols = ["id_orig_h", "id_resp_h", "orig_bytes"] + (["resp_bytes"] if with_resp_bytes else [])
+    return v.where(F.col("orig_bytes") > HEAVY_BYTES).select(*cols, _dur())
 
 
 @register("conn_short_protos", "conn", S.value_counts("proto", where="duration < 1.0"))
@@ -227,9 +227,10 @@ def port9_detail(v: DataFrame) -> DataFrame:
 
 @register("conn_broadcast_detail", "conn", S.detail(
     "id_orig_h, proto, orig_bytes, duration AS duration_seconds, conn_state", SQL_BROADCAST))
-def broadcast_detail(v: DataFrame) -> DataFrame:
-    return (v.where(P.in_set("id_resp_h", BROADCAST_ADDRS))
-             .select("id_orig_h", "proto", "orig_bytes", _dur(), "conn_state"))
+def broadcast_detail(v: DataFrame, with_state: bool = True) -> DataFrame:
+    """Connections to a broadcast address (the short form omits conn_state)."""
+    cols = [_dur()] + (["conn_state"] if with_state else [])
+    return v.where(P.in_set("id_resp_h", BROADCAST_ADDRS)).select("id_orig_h", "proto", "orig_bytes", *cols)
 
 
 def _short_non_dns() -> Column:
@@ -247,9 +248,26 @@ def short_non_dns_detail(v: DataFrame) -> DataFrame:
 @register("conn_short_non_dns_dests", "conn",
           S.value_counts("id_resp_h", k=10, where="duration < 1.0 AND id_resp_p <> 53"))
 def short_non_dns_dests(v: DataFrame, k: int = 10) -> DataFrame:
+    """Top destinations of short non-DNS connections (top 10; other days use 5)."""
     return top_k(v.where(_short_non_dns()), "id_resp_h", k)
 
 
+# The analytics the shorter conn days compute (the richest day computes all), and
+# the parameters those days use.
+SUBSET_KEYS = (
+    "conn_columns_shape", "conn_state_counts", "conn_proto_counts", "conn_bytes_summary",
+    "conn_net_senders_count", "conn_duration_summary", "conn_short_count", "conn_top_sources",
+    "conn_top_dests", "conn_top_dest_ports", "conn_bytes_per_pkt_summary", "conn_hourly",
+    "conn_heavy_senders", "conn_broadcast_detail", "conn_failed_sources",
+    "conn_dns_duration_summary", "conn_short_non_dns_dests",
+)
+SUBSET_PARAMS = {
+    "conn_heavy_senders": {"with_resp_bytes": False},
+    "conn_broadcast_detail": {"with_state": False},
+    "conn_short_non_dns_dests": {"k": 5},
+}
+
+
 @register("conn_udp_bytes_summary", "conn", S.describe(["orig_bytes", "resp_bytes"], where="proto = 'udp'"))
 def udp_bytes_summary(v: DataFrame) -> DataFrame:
     return describe(v.where(F.col("proto") == "udp"), ["orig_bytes", "resp_bytes"])

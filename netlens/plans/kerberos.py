@@ -60,6 +60,13 @@ def unique_services_hourly(v: DataFrame) -> DataFrame:
     return distinct_hourly(v, "id_orig_h", "service", name="unique_services")
 
 
+# One capture day lacks the forwardable feature; its report omits this key.
+SUBSET_KEYS_NO_FORWARDABLE = ("kerberos_shape", "kerberos_sample", "kerberos_request_type_counts",
+                              "kerberos_top_clients", "kerberos_top_services",
+                              "kerberos_success_counts", "kerberos_top_sources",
+                              "kerberos_failed_ratio_hourly", "kerberos_unique_services_hourly")
+
+
 @register("kerberos_forwardable_hourly", "kerberos",
           S.count_hourly("id_orig_h", "forwardable = true"))
 def forwardable_hourly(v: DataFrame) -> DataFrame:

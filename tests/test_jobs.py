@@ -46,3 +46,14 @@ def test_conn_report_on_sparse_log(spark, tmpdir_path):
     assert tables["conn_short_count"].first()[0] == 1
     for k, df in tables.items():
         df.collect()
+
+
+def test_conn_subset_day_variant(spark):
+    from netlens.plans import conn
+    from netlens.sources.views import log_view
+    v = log_view(spark, "/root/testdata/sf0.001", "conn")
+    t = jobs.report_tables(v, "conn", conn.SUBSET_KEYS, conn.SUBSET_PARAMS)
+    assert set(t) == set(conn.SUBSET_KEYS)
+    assert "resp_bytes" not in t["conn_heavy_senders"].columns
+    assert "conn_state" not in t["conn_broadcast_detail"].columns
+    assert t["conn_short_non_dns_dests"].count() == 5
