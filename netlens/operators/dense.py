@@ -18,22 +18,24 @@ def hourly_dense(df: DataFrame, where: Column | None = None, name: str = "count"
     One scan: the hourly counts are a partial+final aggregate (one row per hour
     present). The gaps are filled from that aggregate alone: ordered by hour,
     each row is exploded into itself plus the empty hours up to the next one
-    (``lead``). That ordered pass sees one row per hour present, at most
-    ``max_hours`` (checked: a larger gap, i.e. a corrupt timestamp, fails the
-    query instead of generating an unbounded spine), never the raw rows.
+    (``lead``). That ordered pass sees one row per hour present, never the raw
+    rows; the first-to-last span is checked against ``max_hours`` (a corrupt
+    timestamp fails the query instead of generating an unbounded spine).
     """
     d = df.where(F.col(ts).isNotNull())
     if where is not None:
         d = d.where(where)
     counts = d.groupBy(hour_of(ts).alias(HOUR)).agg(F.count(F.lit(1)).alias(name))
     one_hour = F.expr("INTERVAL 1 HOUR")
-    nxt = F.lead(HOUR).over(Window.orderBy(HOUR))
+    w = Window.orderBy(HOUR)
+    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     last = F.coalesce(F.col("__next") - one_hour, F.col(HOUR))
-    gap = F.expr("timestampdiff(HOUR, hour, coalesce(__next, hour))")
-    hours = F.when(gap > max_hours,
+    span = F.expr("timestampdiff(HOUR, __lo, __hi)")
+    hours = F.when(span > max_hours,
                    F.raise_error(F.lit(f"hour span exceeds max_hours={max_hours}"))) \
              .otherwise(F.sequence(F.col(HOUR), last, one_hour))
-    return (counts.withColumn("__next", nxt)
+    return (counts.select(HOUR, name, F.lead(HOUR).over(w).alias("__next"),
+                          F.min(HOUR).over(every).alias("__lo"), F.max(HOUR).over(every).alias("__hi"))
                   .select(F.explode(hours).alias("__h"), HOUR, name)
                   .select(F.col("__h").alias(HOUR),
                           F.when(F.col("__h") == F.col(HOUR), F.col(name))
