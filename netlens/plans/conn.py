@@ -20,8 +20,8 @@ HIGH_BYTES_PER_PKT = 50
 FANOUT_THRESHOLD = 10
 DNS_PORT, HTTPS_PORT, DISCARD_PORT = 53, 443, 9
 
-SQL_FAILED = "conn_state IN ('S0', 'RSTO')"
-SQL_BROADCAST = "id_resp_h IN ('255.255.255.255', '172.30.30.255')"
+SQL_FAILED = f"conn_state IN {S.sql_list(FAILED_STATES)}"
+SQL_BROADCAST = f"id_resp_h IN {S.sql_list(BROADCAST_ADDRS)}"
 SQL_BPP = "orig_bytes / (orig_pkts + 1)"
 
 
@@ -193,7 +193,7 @@ def bytes_per_pkt_summary(v: DataFrame) -> DataFrame:
 
 @register("conn_host_detail", "conn", S.detail(
     "id_resp_h, proto, service, orig_bytes, duration AS duration_seconds, conn_state",
-    "id_orig_h = '172.30.30.250'"))
+    f"id_orig_h = '{WATCHED_HOST}'"))
 def host_detail(v: DataFrame, host: str = WATCHED_HOST) -> DataFrame:
     """All connections of one source host."""
     return (v.where(F.col("id_orig_h") == host)

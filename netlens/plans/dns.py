@@ -69,7 +69,7 @@ def avg_rtt_hourly(v: DataFrame) -> DataFrame:
 
 
 @register("dns_unusual_qtype_hourly", "dns",
-          S.count_hourly("id_orig_h", "qtype IS NOT NULL AND qtype NOT IN (1, 28)"))
+          S.count_hourly("id_orig_h", f"qtype IS NOT NULL AND qtype NOT IN {S.sql_list(COMMON_QTYPES)}"))
 def unusual_qtype_hourly(v: DataFrame) -> DataFrame:
     """Queries of a type other than A / AAAA per source per hour."""
     return count_hourly(v, "id_orig_h", P.set_and_not_in("qtype", COMMON_QTYPES))

@@ -60,7 +60,7 @@ def seen_bytes_hourly(v: DataFrame) -> DataFrame:
 
 @register("files_unusual_mime_hourly", "files",
           S.count_hourly("id_orig_h", "mime_type IS NOT NULL AND mime_type NOT IN "
-                         "('text/plain', 'application/pdf', 'image/jpeg', 'image/png', 'text/html')"))
+                         + S.sql_list(COMMON_MIME_TYPES)))
 def unusual_mime_hourly(v: DataFrame) -> DataFrame:
     """Files of an uncommon MIME type per source per hour."""
     return count_hourly(v, "id_orig_h", P.set_and_not_in("mime_type", COMMON_MIME_TYPES))

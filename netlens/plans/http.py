@@ -50,7 +50,7 @@ def errors_hourly(v: DataFrame) -> DataFrame:
 
 
 @register("http_suspicious_methods_hourly", "http",
-          S.count_hourly("id_orig_h", "method IN ('POST', 'PUT', 'DELETE')"))
+          S.count_hourly("id_orig_h", f"method IN {S.sql_list(SUSPICIOUS_METHODS)}"))
 def suspicious_methods_hourly(v: DataFrame) -> DataFrame:
     """POST / PUT / DELETE requests per source per hour."""
     return count_hourly(v, "id_orig_h", P.in_set("method", SUSPICIOUS_METHODS))

@@ -12,6 +12,11 @@ DIGITS = 6
 HOUR = "date_trunc('hour', ts)"
 
 
+def sql_list(values) -> str:
+    """A SQL IN-list of literals."""
+    return "(" + ", ".join(repr(v) if isinstance(v, str) else str(v) for v in values) + ")"
+
+
 def _where(*conds: str | None) -> str:
     cs = [c for c in conds if c]
     return (" WHERE " + " AND ".join(f"({c})" for c in cs)) if cs else ""

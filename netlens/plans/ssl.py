@@ -60,9 +60,8 @@ def invalid_cert_ratio_hourly(v: DataFrame) -> DataFrame:
                         name="invalid_ratio")
 
 
-@register("ssl_weak_cipher_hourly", "ssl", S.count_hourly(
-    "id_orig_h", "cipher IN ('TLS_RSA_WITH_3DES_EDE_CBC_SHA', 'TLS_RSA_WITH_RC4_128_SHA', "
-                 "'TLS_RSA_WITH_DES_CBC_SHA')"))
+@register("ssl_weak_cipher_hourly", "ssl",
+          S.count_hourly("id_orig_h", f"cipher IN {S.sql_list(WEAK_CIPHERS)}"))
 def weak_cipher_hourly(v: DataFrame) -> DataFrame:
     """Handshakes on a weak cipher per source per hour."""
     return count_hourly(v, "id_orig_h", P.in_set("cipher", WEAK_CIPHERS))
