@@ -15,6 +15,7 @@ import argparse
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans.features import feature_keys, host_hour_features, split_features
 from .plans.registry import analytics
 from .schemas import REQUIRED
 from .sources.ingest import land, read_landed
@@ -43,10 +44,27 @@ def report_tables(log: DataFrame, log_type: str, keys: list[str] | tuple | None
 
 
 def report(spark: SparkSession, landed: str, log_type: str, date: str, out: str,
-           export: bool = True, fmt: str = "parquet", keys=None, params=None) -> list[str]:
+           export: bool = True, fmt: str = "parquet", keys=None, params=None,
+           shared_features: bool = True) -> list[str]:
+    """Write every analytic of ``log_type`` for ``date``.
+
+    With ``shared_features`` the source-keyed hourly features are computed as one
+    aggregate, written first as ``_host_hour_features`` (a written table cuts the
+    lineage and survives executor loss), and each feature table is read from it."""
     log = read_landed(spark, landed, log_type, [date])
     base = f"{out.rstrip('/')}/{log_type}/{date}"
-    written = write_report(report_tables(log, log_type, keys, params), base, fmt)
+    fkeys = [k for k in feature_keys(log_type) if keys is None or k in keys]
+    tables = report_tables(log, log_type, keys, params) if not (shared_features and fkeys) else \
+        report_tables(log, log_type, [k for k in (keys or [a.key for a in analytics(log_type)])
+                                      if k not in fkeys], params)
+    written = []
+    if shared_features and fkeys:
+        wide_path = f"{base}/_host_hour_features"
+        host_hour_features(conform(log, log_type), log_type).write.mode("overwrite").parquet(wide_path)
+        split = split_features(spark.read.parquet(wide_path), log_type)
+        tables.update({k: split[k] for k in fkeys})
+        written.append(wide_path)
+    written += write_report(tables, base, fmt)
     if export:
         export_csv(log, f"{base}/_export", log_type)
     return written

@@ -25,7 +25,8 @@ def test_ingest_then_report(spark, tmpdir_path):
     jobs.ingest(spark, raw, landed, ["2025-01-09"], ["weird", "dns"])
     out = os.path.join(tmpdir_path, "out")
     written = jobs.report(spark, landed, "weird", "2025-01-09", out)
-    assert len(written) == len(analytics("weird"))
+    assert len(written) == len(analytics("weird")) + 1  # + the shared feature table
+    assert any(w.endswith("_host_hour_features") for w in written)
     ratio = spark.read.parquet(os.path.join(out, "weird", "2025-01-09", "weird_notice_ratio_hourly"))
     got = sorted((r["id_orig_h"], r["notice_ratio"]) for r in ratio.collect())
     assert got == [("10.0.0.1", 0.5), ("10.0.0.2", 0.0)]
