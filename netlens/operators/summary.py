@@ -26,16 +26,39 @@ def _r(x, digits):
     return None if x is None else (round(float(x), digits) if digits is not None else float(x))
 
 
+def describe_approx(df: DataFrame, cols: Sequence[str], digits: int | None = 6,
+                    accuracy: int = 10_000) -> list[tuple]:
+    """One job: the same statistics with ``percentile_approx`` quartiles (rank error
+    at most n / accuracy; each task keeps a bounded sketch)."""
+    aggs = []
+    for c in cols:
+        x = F.col(c).cast("double")
+        x = F.when(~F.isnan(x), x)
+        aggs += [F.count(x), F.avg(x), F.stddev_samp(x), F.min(x),
+                 F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy), F.max(x)]
+    r = df.agg(*aggs).first()
+    rows = []
+    for i, c in enumerate(cols):
+        n, mean, std, mn, qs, mx = r[6 * i: 6 * i + 6]
+        qs = qs or [None, None, None]
+        rows.append((c, int(n), _r(mean, digits), _r(std, digits), _r(mn, digits),
+                     *[_r(q, digits) for q in qs], _r(mx, digits)))
+    return rows
+
+
 def describe(df: DataFrame, cols: str | Sequence[str], digits: int | None = 6,
-             persist: bool = False, **quantile_opts) -> DataFrame:
+             persist: bool = False, exact: bool = True, **quantile_opts) -> DataFrame:
     """Count, mean, std (n-1), min, exact interpolated quartiles, max per column.
 
     One row per column (long layout). NULL and NaN are skipped. The quartiles
     are exact (see ``quantiles``); the driver receives only bounded summaries
     and builds the small result. ``persist`` keeps the projected input between
-    the few jobs (useful when the input is itself an aggregate).
+    the few jobs (useful when the input is itself an aggregate). ``exact=False``
+    computes approximate quartiles in a single job.
     """
     cols = [cols] if isinstance(cols, str) else list(cols)
+    if not exact:
+        return df.sparkSession.createDataFrame(describe_approx(df, cols, digits), DESCRIBE_SCHEMA)
     src = df.select(*cols)
     if persist:
         src = src.persist(StorageLevel.MEMORY_AND_DISK)

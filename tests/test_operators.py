@@ -109,3 +109,13 @@ def test_hourly_dense_span_guard(spark):
     assert hourly_dense(df, max_hours=100).count() == 25
     with pytest.raises(Exception):
         hourly_dense(df, max_hours=10).collect()
+
+
+def test_describe_approx_close(spark):
+    rows = [(float(i % 1000),) for i in range(20000)]
+    df = spark.createDataFrame(rows, "x double")
+    e = describe(df, "x").first()
+    a = describe(df, "x", exact=False).first()
+    assert a["count"] == e["count"] and a["mean"] == e["mean"] and a["max"] == e["max"]
+    for q in ("q25", "q50", "q75"):
+        assert abs(a[q] - e[q]) <= 1000 * 2 / 10_000 * 10  # rank error bound, in value units

@@ -51,3 +51,33 @@ def test_dns_stream_matches_batch(spark, tmpdir_path):
     for k, r in got.items():
         assert r["recursive"] == rec.get(k, 0)
     assert got[("10.0.0.1", min(k[1] for k in got))]["unique_queries_approx"] == 2
+
+
+def _weird_file(path, rows):
+    f = ZEEK_FIELD_ORDER["weird"]
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "w") as fh:
+        fh.write("#fields\t" + "\t".join(f) + "\n")
+        for ts, src in rows:
+            vals = {"ts": ts, "id.orig_h": src, "name": "bad_TCP", "notice": "F"}
+            fh.write("\t".join(vals.get(x, "-") for x in f) + "\n")
+
+
+def test_watermark_drops_late_rows(spark, tmpdir_path):
+    from netlens.streaming import weird_features_stream
+    root = os.path.join(tmpdir_path, "weird")
+    h0 = 1736380800  # 2025-01-09 00:00 UTC
+    _weird_file(os.path.join(root, "weird.1.log"), [(str(h0 + 600), "a"), (str(h0 + 3 * 3600 + 60), "a")])
+    q = (weird_features_stream(read_log_stream(spark, root, "weird"), watermark="1 hour")
+         .writeStream.outputMode("append").format("memory").queryName("weird_feat")
+         .option("checkpointLocation", os.path.join(tmpdir_path, "ckpt")).start())
+    try:
+        q.processAllAvailable()
+        # watermark is now 02:01: a row for hour 0 is late and must be dropped
+        _weird_file(os.path.join(root, "weird.2.log"), [(str(h0 + 1200), "a"), (str(h0 + 6 * 3600), "a")])
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = {(r["hour"].hour, r["count"]) for r in spark.sql("SELECT * FROM weird_feat").collect()}
+    assert (0, 1) in got and (0, 2) not in got
+    assert (3, 1) in got
