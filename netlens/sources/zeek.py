@@ -90,6 +90,28 @@ def _empty(spark: SparkSession, log_type: str | None) -> DataFrame:
     return spark.createDataFrame([], st)
 
 
+def read_log_declared(spark: SparkSession, path: str, log_type: str, fields: list[str],
+                      recursive: bool = True) -> DataFrame:
+    """One-scan reader for a fixed Zeek configuration: columns by position in
+    ``fields`` (no header pass). The CSV reader skips ``#`` lines and keeps
+    quotes as data; check headers with ``ingest.schema_conformance`` when the
+    configuration may drift."""
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(fields))])
+    try:
+        raw = (spark.read.schema(schema).option("sep", "\t").option("comment", "#")
+               .option("quote", "\u0000").option("escape", "\u0000")
+               .option("recursiveFileLookup", str(recursive).lower())
+               .option("pathGlobFilter", f"{log_type}*.log").csv(path))
+    except AnalysisException:
+        return _empty(spark, log_type)
+    cols = [_convert(F.col(f"c{i}"), _kind(log_type, f, set())).alias(Z.canonical(f))
+            for i, f in enumerate(fields)]
+    src = F.col("_metadata.file_path")
+    parts = F.split(src, "/")
+    return raw.select(*cols, src.alias(SRC), F.lit(log_type).alias("log_type"),
+                      F.element_at(parts, -3).try_cast("date").alias("log_date"))
+
+
 def read_log(spark: SparkSession, path: str, log_type: str | None = None, recursive: bool = True,
              max_rows_per_file: int | None = None, cap_files_over_bytes: int | None = None,
              broadcast_header_bytes: int = BROADCAST_HEADER_BYTES) -> DataFrame:

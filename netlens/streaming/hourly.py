@@ -16,6 +16,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .. import schemas as Z
+from ..session import checkpoint_dir
 from ..functions import predicates as P
 from ..sources.zeek import _convert
 
@@ -87,3 +88,14 @@ def weird_features_stream(df: DataFrame, watermark: str = "1 hour") -> DataFrame
         "unique_names_approx": F.approx_count_distinct("name", 0.01),
         "notice_ratio": share(P.is_true("notice")),
     }, watermark)
+
+
+def start_stream(df: DataFrame, path: str, name: str, checkpoint: str | None = None,
+                 trigger: str = "1 minute", fmt: str = "parquet"):
+    """Append finished hour windows to ``path``; the checkpoint defaults to
+    ``<spark.checkpoint.dir>/streams/<name>`` (a shared folder on a cluster), so a
+    restarted query resumes exactly once from where it stopped."""
+    ckpt = checkpoint or f"{checkpoint_dir(df.sparkSession).rstrip('/')}/streams/{name}"
+    return (df.writeStream.outputMode("append").format(fmt).option("path", path)
+              .option("checkpointLocation", ckpt).queryName(name)
+              .trigger(processingTime=trigger).start())

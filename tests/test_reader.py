@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from netlens.sources import ingest
 from netlens.sources.sinks import export_csv, write_report
-from netlens.sources.zeek import read_log
+from netlens.sources.zeek import read_log, read_log_declared
 
 HEADER = ("#separator \\x09\n#unset_field\t-\n#path\tconn\n"
           "#fields\tts\tid.orig_h\tflag\tdur\turi\n#types\ttime\taddr\tbool\tinterval\tstring\n")
@@ -103,3 +103,11 @@ def test_land_idempotent_and_export(spark, tmpdir_path):
     assert spark.read.option("header", True).csv(csv).columns == ["ts", "id.orig_h"]
     written = write_report({"shape": df.groupBy().count()}, os.path.join(tmpdir_path, "rep"))
     assert spark.read.parquet(written[0]).first()[0] == 2
+
+
+def test_declared_layout_one_scan(spark, tmpdir_path):
+    _write(tmpdir_path, "2025-01-09/conn/conn.b.log", HEADER + BODY)
+    df = read_log_declared(spark, tmpdir_path, "conn", ["ts", "id.orig_h", "flag", "dur", "uri"])
+    want = read_log(spark, tmpdir_path, "conn")
+    cols = ["ts", "id_orig_h", "uri", "log_date"]
+    assert sorted(map(tuple, df.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))

@@ -81,3 +81,20 @@ def test_watermark_drops_late_rows(spark, tmpdir_path):
     got = {(r["hour"].hour, r["count"]) for r in spark.sql("SELECT * FROM weird_feat").collect()}
     assert (0, 1) in got and (0, 2) not in got
     assert (3, 1) in got
+
+
+def test_start_stream_to_parquet(spark, tmpdir_path):
+    from netlens.streaming import start_stream, weird_features_stream
+    root = os.path.join(tmpdir_path, "weird")
+    h0 = 1736380800
+    _weird_file(os.path.join(root, "weird.1.log"), [(str(h0 + 60), "a"), (str(h0 + 5 * 3600), "b")])
+    out = os.path.join(tmpdir_path, "out")
+    q = start_stream(weird_features_stream(read_log_stream(spark, root, "weird")), out, "weird_out",
+                     trigger="1 second")
+    try:
+        q.processAllAvailable()
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    rows = spark.read.parquet(out).collect()
+    assert [(r["id_orig_h"], r["count"]) for r in rows] == [("a", 1)]
