@@ -9,7 +9,7 @@ prunes the ``events`` scan to the columns a query needs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 # The view definitions of FIXTURES.md §3, in order.
 VIEW_EXPRS: dict[str, list[str]] = {
@@ -103,8 +103,21 @@ def view_columns(log_type: str) -> list[str]:
     return [e.rsplit(" AS ", 1)[-1].strip() for e in VIEW_EXPRS[log_type]]
 
 
+# Declared schema of the driver's ``events`` table (TESTDATA.md). Declaring it
+# skips Parquet schema inference, which runs a footer-reading job per read; a
+# file that disagrees fails the scan instead of being silently re-typed.
+EVENTS_SCHEMA = T.StructType([
+    T.StructField("event_id", T.LongType()),
+    T.StructField("ts", T.TimestampNTZType()),
+    T.StructField("user_id", T.LongType()),
+    T.StructField("event_type", T.StringType()),
+    T.StructField("value", T.DoubleType()),
+    T.StructField("props", T.StringType()),
+])
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
+    return spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir.rstrip('/')}/events.parquet")
 
 
 def log_view(spark: SparkSession, sf_dir: str, log_type: str) -> DataFrame:
