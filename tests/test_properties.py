@@ -69,3 +69,24 @@ def test_frequency_and_dense_match_pandas(spark, rows):
     dense = {r["hour"]: r["count"] for r in hourly_dense(sdf).collect()}
     want = {h.to_pydatetime(): n for h, n in pdf.resample("1h").size().items()}
     assert dense == want
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.one_of(st.none(), st.integers(-50, 50), st.floats(-1e6, 1e6, allow_nan=False)),
+                min_size=1, max_size=80),
+       st.integers(2, 40))
+def test_describe_matches_pandas(spark, values, cap):
+    from netlens.operators import describe
+    vals = [None if v is None else float(v) for v in values]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    r = describe(df, "x", digits=None, cap=cap, bins=4).first()
+    d = pd.Series(vals, dtype="float64").describe()
+    assert r["count"] == int(d["count"])
+    if r["count"] == 0:
+        assert r["q50"] is None
+        return
+    for ours, theirs in [("mean", "mean"), ("min", "min"), ("q25", "25%"), ("q50", "50%"),
+                         ("q75", "75%"), ("max", "max")]:
+        assert abs(r[ours] - d[theirs]) <= 1e-9 * max(1.0, abs(d[theirs])), (ours, r[ours], d[theirs])
+    if r["count"] > 1:
+        assert abs(r["std"] - d["std"]) <= 1e-6 * max(1.0, abs(d["std"]))
