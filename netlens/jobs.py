@@ -15,7 +15,8 @@ import argparse
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans.features import feature_keys, host_hour_features, split_features
+from .plans.features import (feature_keys, frequency_keys, frequency_tables, host_hour_features,
+                             split_features, split_frequencies)
 from .plans.registry import analytics
 from .schemas import REQUIRED
 from .sources.ingest import land, read_landed
@@ -45,25 +46,38 @@ def report_tables(log: DataFrame, log_type: str, keys: list[str] | tuple | None
 
 def report(spark: SparkSession, landed: str, log_type: str, date: str, out: str,
            export: bool = True, fmt: str = "parquet", keys=None, params=None,
-           shared_features: bool = True) -> list[str]:
-    """Write every analytic of ``log_type`` for ``date``.
-
-    With ``shared_features`` the source-keyed hourly features are computed as one
-    aggregate, written first as ``_host_hour_features`` (a written table cuts the
-    lineage and survives executor loss), and each feature table is read from it."""
+           shared: bool = True) -> list[str]:
+    """Write every analytic of ``log_type`` for ``date`` (or ``keys``).
+
+    With ``shared``, two groups are computed once each: the source-keyed hourly
+    features (one aggregate) and the unfiltered frequency / top-k tables (one
+    stacked aggregate). Each shared table is written first (a written table cuts
+    the lineage and survives executor loss); the analytics of the group are then
+    projections of it, equal to their individual results."""
     log = read_landed(spark, landed, log_type, [date])
+    v = conform(log, log_type)
     base = f"{out.rstrip('/')}/{log_type}/{date}"
-    fkeys = [k for k in feature_keys(log_type) if keys is None or k in keys]
-    tables = report_tables(log, log_type, keys, params) if not (shared_features and fkeys) else \
-        report_tables(log, log_type, [k for k in (keys or [a.key for a in analytics(log_type)])
-                                      if k not in fkeys], params)
-    written = []
-    if shared_features and fkeys:
-        wide_path = f"{base}/_host_hour_features"
-        host_hour_features(conform(log, log_type), log_type).write.mode("overwrite").parquet(wide_path)
-        split = split_features(spark.read.parquet(wide_path), log_type)
-        tables.update({k: split[k] for k in fkeys})
-        written.append(wide_path)
+    wanted = list(keys) if keys is not None else [a.key for a in analytics(log_type)]
+    params = params or {}
+    written, tables = [], {}
+    if shared:
+        groups = [("_host_hour_features", feature_keys(log_type),
+                   lambda: host_hour_features(v, log_type),
+                   lambda t: split_features(t, log_type)),
+                  ("_frequencies", frequency_keys(log_type),
+                   lambda: frequency_tables(v, log_type),
+                   lambda t: split_frequencies(t, v.schema, log_type))]
+        for name, gkeys, build, split in groups:
+            gkeys = [k for k in gkeys if k in wanted and k not in params]
+            if not gkeys:
+                continue
+            path = f"{base}/{name}"
+            build().write.mode("overwrite").parquet(path)
+            parts = split(spark.read.parquet(path))
+            tables.update({k: parts[k] for k in gkeys})
+            written.append(path)
+    rest = [k for k in wanted if k not in tables]
+    tables.update(report_tables(log, log_type, rest, params))
     written += write_report(tables, base, fmt)
     if export:
         export_csv(log, f"{base}/_export", log_type)

@@ -88,3 +88,77 @@ def split_features(wide: DataFrame, log_type: str) -> dict[str, DataFrame]:
         t = wide.select(KEY, HOUR, F.col(k).alias(metric))
         out[k] = t.where(F.col(metric) > 0) if sparse else t
     return out
+
+
+# --- frequency tables -------------------------------------------------------
+# analytic key -> (column, k or None for the full table, keep the NULL value)
+_FREQ: dict[str, dict[str, tuple[str, int | None, bool]]] = {
+    "conn": {
+        "conn_state_counts": ("conn_state", None, False), "conn_proto_counts": ("proto", None, False),
+        "conn_top_sources": ("id_orig_h", 5, False), "conn_top_dests": ("id_resp_h", 5, False),
+        "conn_top_source_ports": ("id_orig_p", 5, False), "conn_top_dest_ports": ("id_resp_p", 5, False),
+        "conn_service_counts": ("service", None, True), "conn_top_history": ("history", 5, False),
+        "conn_missed_bytes_counts": ("missed_bytes", None, False),
+    },
+    "dns": {
+        "dns_proto_counts": ("proto", None, False), "dns_rcode_counts": ("rcode", None, False),
+        "dns_top_sources": ("id_orig_h", 5, False), "dns_top_dests": ("id_resp_h", 5, False),
+        "dns_top_queries": ("query", 5, False),
+    },
+    "files": {
+        "files_source_counts": ("source", None, False), "files_top_mime": ("mime_type", 5, False),
+        "files_top_sources": ("id_orig_h", 5, False), "files_top_dests": ("id_resp_h", 5, False),
+    },
+    "http": {
+        "http_method_counts": ("method", None, False), "http_status_counts": ("status_code", None, False),
+        "http_top_sources": ("id_orig_h", 5, False), "http_top_hosts": ("host", 5, False),
+    },
+    "kerberos": {
+        "kerberos_request_type_counts": ("request_type", None, False),
+        "kerberos_top_clients": ("client", 5, False), "kerberos_top_services": ("service", 5, False),
+        "kerberos_success_counts": ("success", None, False),
+        "kerberos_top_sources": ("id_orig_h", 5, False),
+    },
+    "ssl": {
+        "ssl_version_counts": ("version", None, False),
+        "ssl_validation_counts": ("validation_status", None, False),
+        "ssl_top_ciphers": ("cipher", 5, False), "ssl_top_sources": ("id_orig_h", 5, False),
+        "ssl_top_dests": ("id_resp_h", 5, False),
+    },
+    "weird": {
+        "weird_name_counts": ("name", None, False), "weird_notice_counts": ("notice", None, False),
+        "weird_source_counts": ("source", None, False), "weird_top_sources": ("id_orig_h", 5, False),
+        "weird_top_dests": ("id_resp_h", 5, False),
+    },
+}
+
+
+def frequency_keys(log_type: str) -> list[str]:
+    return list(_FREQ.get(log_type, {}))
+
+
+def frequency_tables(v: DataFrame, log_type: str) -> DataFrame:
+    """(column_name, value STRING, count) for every column a frequency analytic of
+    ``log_type`` reads: one scan, one aggregate. NULL values are kept (flagged by a
+    NULL ``value``); each analytic decides whether it shows them."""
+    cols = sorted({c for c, _, _ in _FREQ[log_type].values()})
+    items = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"))
+             for c in cols]
+    stacked = v.select(F.explode(F.array(*items)).alias("__s")).select("__s.*")
+    return stacked.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("count"))
+
+
+def split_frequencies(freq: DataFrame, v_schema, log_type: str) -> dict[str, DataFrame]:
+    """Each frequency / top-k analytic of ``log_type`` from the stacked table; values
+    are cast back to the column's type, so the tables equal the individual results."""
+    types = {f.name: f.dataType for f in v_schema.fields}
+    out = {}
+    for k, (c, top, keep_null) in _FREQ[log_type].items():
+        t = freq.where(F.col("column_name") == c)
+        if not keep_null:
+            t = t.where(F.col("value").isNotNull())
+        t = t.select(F.col("value").cast(types[c]).alias(c), "count")
+        if top is not None:
+            t = t.orderBy(F.desc("count"), F.asc_nulls_first(c)).limit(top)
+        out[k] = t
+    return out

@@ -19,3 +19,16 @@ def test_split_equals_individual(spark, log_type):
         want = qs[k](spark, SF)
         assert df.columns == want.columns, k
         assert sorted(map(tuple, df.collect())) == sorted(map(tuple, want.collect())), k
+
+
+@pytest.mark.parametrize("log_type", ["conn", "dns", "files", "http", "kerberos", "ssl", "weird"])
+def test_frequency_split_equals_individual(spark, log_type):
+    from netlens.plans.features import frequency_keys, frequency_tables, split_frequencies
+    v = log_view(spark, SF, log_type)
+    split = split_frequencies(frequency_tables(v, log_type), v.schema, log_type)
+    qs = E.queries()
+    assert set(split) == set(frequency_keys(log_type))
+    for k, df in split.items():
+        want = qs[k](spark, SF)
+        assert [(f.name, f.dataType) for f in df.schema] == [(f.name, f.dataType) for f in want.schema], k
+        assert sorted(map(tuple, df.collect()), key=str) == sorted(map(tuple, want.collect()), key=str), k

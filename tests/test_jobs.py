@@ -25,8 +25,18 @@ def test_ingest_then_report(spark, tmpdir_path):
     jobs.ingest(spark, raw, landed, ["2025-01-09"], ["weird", "dns"])
     out = os.path.join(tmpdir_path, "out")
     written = jobs.report(spark, landed, "weird", "2025-01-09", out)
-    assert len(written) == len(analytics("weird")) + 1  # + the shared feature table
+    assert len(written) == len(analytics("weird")) + 2  # + the two shared tables
     assert any(w.endswith("_host_hour_features") for w in written)
+    assert any(w.endswith("_frequencies") for w in written)
+    names = spark.read.parquet(os.path.join(out, "weird", "2025-01-09", "weird_name_counts"))
+    assert sorted((r["name"], r["count"]) for r in names.collect()) == [("bad_TCP", 2), ("dns_unmatched", 1)]
+    unshared = jobs.report(spark, landed, "weird", "2025-01-09", os.path.join(tmpdir_path, "o2"),
+                           export=False, shared=False)
+    for w in unshared:
+        key = os.path.basename(w)
+        a = spark.read.parquet(w).collect()
+        b = spark.read.parquet(os.path.join(out, "weird", "2025-01-09", key)).collect()
+        assert sorted(map(tuple, a), key=str) == sorted(map(tuple, b), key=str), key
     ratio = spark.read.parquet(os.path.join(out, "weird", "2025-01-09", "weird_notice_ratio_hourly"))
     got = sorted((r["id_orig_h"], r["notice_ratio"]) for r in ratio.collect())
     assert got == [("10.0.0.1", 0.5), ("10.0.0.2", 0.0)]
