@@ -28,8 +28,9 @@ BROADCAST_HEADER_BYTES = 64 << 20
 SALT = 64
 
 
-def _lines(spark: SparkSession, path: str, log_type: str | None, recursive: bool) -> DataFrame | None:
-    glob = f"{log_type}*.log" if log_type else "*.log"
+def _lines(spark: SparkSession, path: str, log_type: str | None, recursive: bool,
+           pattern: str | None = None) -> DataFrame | None:
+    glob = pattern or (f"{log_type}*.log" if log_type else "*.log")
     try:
         return (spark.read.option("recursiveFileLookup", str(recursive).lower())
                 .option("pathGlobFilter", glob).text(path)
@@ -114,15 +115,19 @@ def read_log_declared(spark: SparkSession, path: str, log_type: str, fields: lis
 
 def read_log(spark: SparkSession, path: str, log_type: str | None = None, recursive: bool = True,
              max_rows_per_file: int | None = None, cap_files_over_bytes: int | None = None,
-             broadcast_header_bytes: int = BROADCAST_HEADER_BYTES) -> DataFrame:
+             broadcast_header_bytes: int = BROADCAST_HEADER_BYTES,
+             pattern: str | None = None) -> DataFrame:
     """All ``<log_type>*.log`` files under ``path`` as one typed DataFrame.
 
+    ``pattern`` overrides the file-name glob, e.g. ``"conn*.log.gz"`` for
+    compressed archives (decompressed by extension; one task per such file).
+
     ``log_type=None`` reads every ``*.log`` and takes the type from the parent
     folder (S7). ``max_rows_per_file`` (off by default) keeps the first rows of a
     file in event-time order, only for files over ``cap_files_over_bytes`` when
     that is given (S3 / S4). Empty folders and header-only files give no rows.
     """
-    lines = _lines(spark, path, log_type, recursive)
+    lines = _lines(spark, path, log_type, recursive, pattern)
     if lines is None:
         return _empty(spark, log_type)
     headers = header_table(lines).persist(StorageLevel.MEMORY_AND_DISK)

@@ -111,3 +111,14 @@ def test_declared_layout_one_scan(spark, tmpdir_path):
     want = read_log(spark, tmpdir_path, "conn")
     cols = ["ts", "id_orig_h", "uri", "log_date"]
     assert sorted(map(tuple, df.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
+
+
+def test_gzipped_archives(spark, tmpdir_path):
+    import gzip
+    p = os.path.join(tmpdir_path, "2025-01-09", "conn", "conn.00_00_00-01_00_00.log.gz")
+    os.makedirs(os.path.dirname(p))
+    with gzip.open(p, "wt") as f:
+        f.write(HEADER + BODY)
+    assert read_log(spark, tmpdir_path, "conn").count() == 0  # the default glob is *.log
+    df = read_log(spark, tmpdir_path, "conn", pattern="conn*.log.gz")
+    assert sorted(r["uri"] for r in df.collect()) == ['"q', "/a#b"]
