@@ -89,7 +89,10 @@ def test_start_stream_to_parquet(spark, tmpdir_path):
     h0 = 1736380800
     _weird_file(os.path.join(root, "weird.1.log"), [(str(h0 + 60), "a"), (str(h0 + 5 * 3600), "b")])
     out = os.path.join(tmpdir_path, "out")
-    q = start_stream(weird_features_stream(read_log_stream(spark, root, "weird")), out, "weird_out",
+    # a fresh name: the default checkpoint lives under spark.checkpoint.dir, where a stream
+    # of the same name resumes from its earlier run
+    name = "weird_out_" + os.path.basename(tmpdir_path).replace("-", "_")
+    q = start_stream(weird_features_stream(read_log_stream(spark, root, "weird")), out, name,
                      trigger="1 second")
     try:
         q.processAllAvailable()
