@@ -6,7 +6,7 @@ columns of THAT file, ``-`` is NULL. Different files may carry different
 columns; the result is their union by name, with gaps as NULL.
 
 Plan: one text scan yields the ``#fields`` line of every file (a small table,
-one row per file, persisted and measured); the distinct header layouts (a
+one row per file, checkpointed and measured); the distinct header layouts (a
 handful) are collected, so each output column is a fixed-index pick per layout.
 Data lines are joined to their file's layout id: broadcast when the measured
 header table is small, otherwise a salted shuffle join so that one huge file
@@ -15,12 +15,12 @@ does not land in one task. Values are then cast to the declared types.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.utils import AnalysisException
 from pyspark.sql.window import Window
 
 from .. import schemas as Z
+from ..session import checkpoint_dir
 
 SRC, SIZE, LAYOUT, VALS = "src_file", "file_size", "__layout", "__vals"
 MAX_LAYOUTS = 1000
@@ -130,11 +130,13 @@ def read_log(spark: SparkSession, path: str, log_type: str | None = None, recurs
     lines = _lines(spark, path, log_type, recursive, pattern)
     if lines is None:
         return _empty(spark, log_type)
-    headers = header_table(lines).persist(StorageLevel.MEMORY_AND_DISK)
+    # one row per file; written to the shared checkpoint folder (cuts the text-scan
+    # lineage, survives executor loss, pins no memory) and measured from there
+    checkpoint_dir(spark)
+    headers = header_table(lines).checkpoint(eager=True)
     meas = headers.agg(F.count(F.lit(1)).alias("n"),
                        F.sum(F.length(F.concat_ws("\t", "fields")) + F.length(SRC)).alias("b")).first()
     if not meas["n"]:
-        headers.unpersist()
         return _empty(spark, log_type)
     got = headers.select("fields", "types").distinct().limit(MAX_LAYOUTS + 1).collect()
     if len(got) > MAX_LAYOUTS:
