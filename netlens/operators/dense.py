@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..functions.time import HOUR, hour_of
+from .bounded import collect_bounded
 
 
 MAX_HOURS = 1_000_000  # ~114 years of hours: 16 MB of (hour, count) at most
@@ -45,8 +46,7 @@ def hourly_dense(df: DataFrame, where: Column | None = None, name: str = "count"
 def discover_values(df: DataFrame, col: str, max_values: int = 1000) -> list:
     """Distinct non-NULL values of a low-cardinality column, sorted; refuses more than
     ``max_values`` (the fetch itself is capped, so the driver never sees more)."""
-    rows = (df.where(F.col(col).isNotNull()).select(col).distinct()
-              .limit(max_values + 1).collect())
+    rows = collect_bounded(df.where(F.col(col).isNotNull()).select(col).distinct(), max_values + 1)
     if len(rows) > max_values:
         raise ValueError(f"{col} has more than {max_values} distinct values; pass them explicitly")
     return sorted(r[0] for r in rows)

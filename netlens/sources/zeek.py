@@ -20,6 +20,7 @@ from pyspark.sql.utils import AnalysisException
 from pyspark.sql.window import Window
 
 from .. import schemas as Z
+from ..operators.bounded import collect_bounded
 from ..session import checkpoint_dir
 
 SRC, SIZE, LAYOUT, VALS = "src_file", "file_size", "__layout", "__vals"
@@ -138,7 +139,7 @@ def read_log(spark: SparkSession, path: str, log_type: str | None = None, recurs
                        F.sum(F.length(F.concat_ws("\t", "fields")) + F.length(SRC)).alias("b")).first()
     if not meas["n"]:
         return _empty(spark, log_type)
-    got = headers.select("fields", "types").distinct().limit(MAX_LAYOUTS + 1).collect()
+    got = collect_bounded(headers.select("fields", "types").distinct(), MAX_LAYOUTS + 1)
     if len(got) > MAX_LAYOUTS:
         raise ValueError(f"more than {MAX_LAYOUTS} distinct #fields layouts under {path}")
     ztypes: dict[str, set] = {}

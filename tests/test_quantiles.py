@@ -14,28 +14,47 @@ def _check(spark, values, **opts):
     assert np.allclose(p["quantiles"], want, rtol=0, atol=1e-9), (p["quantiles"], want)
 
 
+# small_input_bytes=0 forces the stats-first path (histogram refinement when the cap
+# is small); the default lets these small inputs take the single capped job
+PATHS = [{"small_input_bytes": 0}, {}]
+
+
+@pytest.mark.parametrize("path", PATHS)
 @pytest.mark.parametrize("cap", [200_000, 40])
-def test_uniform(spark, cap):
+def test_uniform(spark, cap, path):
     rng = np.random.default_rng(1)
-    _check(spark, rng.integers(0, 5000, 3000).tolist(), cap=cap, bins=16)
+    _check(spark, rng.integers(0, 5000, 3000).tolist(), cap=cap, bins=16, **path)
 
 
-def test_hot_value_third_of_rows(spark):
+@pytest.mark.parametrize("path", PATHS)
+def test_hot_value_third_of_rows(spark, path):
     rng = np.random.default_rng(2)
     vals = rng.lognormal(8, 2, 2000).round(3).tolist() + [42.0] * 1000
-    _check(spark, vals, cap=30, bins=8)
+    _check(spark, vals, cap=30, bins=8, **path)
 
 
-def test_heavy_tail_refines(spark):
+@pytest.mark.parametrize("path", PATHS)
+def test_heavy_tail_refines(spark, path):
     rng = np.random.default_rng(3)
     vals = (rng.pareto(1.2, 3000) * 1000).round(2).tolist()
-    _check(spark, vals, cap=20, bins=4)
+    _check(spark, vals, cap=20, bins=4, **path)
+
+
+def test_small_input_single_job_stats(spark):
+    rows = [(float(i % 7), None if i % 5 == 0 else float(i)) for i in range(200)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    fast = column_profiles(df, ["a", "b"])
+    slow = column_profiles(df, ["a", "b"], small_input_bytes=0)
+    for f, s in zip(fast, slow):
+        assert f["count"] == s["count"] and f["min"] == s["min"] and f["max"] == s["max"]
+        assert f["quantiles"] == s["quantiles"]
+        assert abs(f["mean"] - s["mean"]) < 1e-9 and abs(f["std"] - s["std"]) < 1e-9
 
 
 def test_multi_column_and_nulls(spark):
     rows = [(float(i), None if i % 3 == 0 else float(i * i)) for i in range(500)]
     df = spark.createDataFrame(rows, "a double, b double")
-    pa, pb = column_profiles(df, ["a", "b"], (0.25, 0.5), cap=25, bins=8)
+    pa, pb = column_profiles(df, ["a", "b"], (0.25, 0.5), cap=25, bins=8, small_input_bytes=0)
     a = np.array([r[0] for r in rows]); b = np.array([r[1] for r in rows if r[1] is not None])
     assert np.allclose(pa["quantiles"], np.quantile(a, [0.25, 0.5]))
     assert np.allclose(pb["quantiles"], np.quantile(b, [0.25, 0.5]))
