@@ -27,6 +27,7 @@ import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from .bounded import collect_bounded
@@ -191,17 +192,29 @@ def _profiles_from_pairs(pairs: dict[int, list], cols, probs) -> list[dict]:
 def column_profiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.25, 0.5, 0.75),
                     bins: int = 1024, cap: int = 200_000, accuracy: int = 10_000,
                     rsd: float = 0.05, max_rounds: int = 64,
-                    small_input_bytes: int = 64 << 20) -> list[dict]:
+                    small_input_bytes: int = 64 << 20, persist: bool = False) -> list[dict]:
     """count, mean, std, min, max and exact quantiles ``probs`` of each column.
 
     An input Catalyst estimates below ``small_input_bytes`` holds few rows, hence
     few distinct values: one capped (value, count) job answers everything. If the
-    cap is hit anyway, or the input is large, the stats-first path below runs."""
+    cap is hit anyway, or the input is large, the stats-first path runs; with
+    ``persist`` its input is kept between its jobs (worth it when the input is an
+    aggregate)."""
     wide = df.select(*[F.col(c).cast("double").alias(_d(i)) for i, c in enumerate(cols)])
     if estimated_bytes(wide) <= small_input_bytes:
         got = _fetch(wide, [(ci, -math.inf, math.inf) for ci in range(len(cols))], cap)
         if all(ci in got for ci in range(len(cols))):
             return _profiles_from_pairs(got, cols, probs)
+    if not persist:
+        return _stats_first(wide, cols, probs, bins, cap, accuracy, rsd, max_rounds)
+    wide = wide.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _stats_first(wide, cols, probs, bins, cap, accuracy, rsd, max_rounds)
+    finally:
+        wide.unpersist()
+
+
+def _stats_first(wide: DataFrame, cols, probs, bins, cap, accuracy, rsd, max_rounds) -> list[dict]:
     fracs = [i / bins for i in range(1, bins)]
     first = (_stack(wide, range(len(cols))).groupBy(CI).agg(
         F.count(F.lit(1)).alias("n"), F.avg(V).alias("mean"), F.stddev_samp(V).alias("std"),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .quantiles import column_profiles
@@ -59,14 +58,8 @@ def describe(df: DataFrame, cols: str | Sequence[str], digits: int | None = 6,
     cols = [cols] if isinstance(cols, str) else list(cols)
     if not exact:
         return df.sparkSession.createDataFrame(describe_approx(df, cols, digits), DESCRIBE_SCHEMA)
-    src = df.select(*cols)
-    if persist:
-        src = src.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        profiles = column_profiles(src, cols, (0.25, 0.5, 0.75), **quantile_opts)
-    finally:
-        if persist:
-            src.unpersist()
+    profiles = column_profiles(df.select(*cols), cols, (0.25, 0.5, 0.75), persist=persist,
+                               **quantile_opts)
     rows = [(p["column_name"], int(p["count"]), _r(p["mean"], digits), _r(p["std"], digits),
              _r(p["min"], digits), *[_r(q, digits) for q in p["quantiles"]], _r(p["max"], digits))
             for p in profiles]
