@@ -14,6 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.rounding import report_round
 from ..functions.time import HOUR, hour_of
 
 INF = float("inf")
@@ -25,7 +26,7 @@ def _bucketed(df: DataFrame, key: str, ts: str) -> DataFrame:
 
 
 def _maybe_round(c: Column, digits: int | None) -> Column:
-    return c if digits is None else F.round(c, digits)
+    return c if digits is None else report_round(c, digits)
 
 
 def count_hourly(df: DataFrame, key: str, where: Column | None = None,

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..functions.rounding import report_round_py
 from .quantiles import column_profiles
 
 DESCRIBE_SCHEMA = T.StructType([
@@ -22,7 +23,7 @@ DESCRIBE_SCHEMA = T.StructType([
 
 
 def _r(x, digits):
-    return None if x is None else (round(float(x), digits) if digits is not None else float(x))
+    return None if x is None else (report_round_py(float(x), digits) if digits is not None else float(x))
 
 
 def describe_approx(df: DataFrame, cols: Sequence[str], digits: int | None = 6,

@@ -62,7 +62,7 @@ def failed_ratio_hourly(v: DataFrame, null_is_failed: bool = True) -> DataFrame:
 
 
 @register("dns_avg_rtt_hourly", "dns",
-          S.hourly("id_resp_h", f"round(coalesce(avg(rtt), 0.0), {S.DIGITS}) AS avg_rtt"))
+          S.hourly("id_resp_h", f"{S.rnd('coalesce(avg(rtt), 0.0)')} AS avg_rtt"))
 def avg_rtt_hourly(v: DataFrame) -> DataFrame:
     """Mean round-trip time (seconds) per server per hour; no timed answer -> 0."""
     return mean_hourly(v, "id_resp_h", "rtt", fill=0.0, names=["avg_rtt"], digits=S.DIGITS)

@@ -57,8 +57,8 @@ def suspicious_methods_hourly(v: DataFrame) -> DataFrame:
 
 
 @register("http_avg_sizes_hourly", "http", S.hourly(
-    "host", f"round(avg(request_body_len), {S.DIGITS}) AS avg_request_body_len, "
-            f"round(avg(response_body_len), {S.DIGITS}) AS avg_response_body_len"))
+    "host", f"{S.rnd('avg(request_body_len)')} AS avg_request_body_len, "
+            f"{S.rnd('avg(response_body_len)')} AS avg_response_body_len"))
 def avg_sizes_hourly(v: DataFrame) -> DataFrame:
     """Mean request and response body length per host per hour."""
     return mean_hourly(v, "host", ["request_body_len", "response_body_len"], digits=S.DIGITS)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-DIGITS = 6
+from ..functions.rounding import DIGITS, report_round_sql as rnd  # noqa: F401
 HOUR = "date_trunc('hour', ts)"
 
 
@@ -68,7 +68,7 @@ def share_hourly(key: str, pred: str, name: str) -> str:
 def describe(cols: Sequence[str], source: str = "v", where: str | None = None) -> str:
     def one(c: str) -> str:
         x = f"CAST({c} AS DOUBLE)"
-        r = lambda e: f"round({e}, {DIGITS})"
+        r = rnd
         return (f"SELECT '{c}' AS column_name, count({x}) AS count, {r(f'avg({x})')} AS mean, "
                 f"{r(f'stddev_samp({x})')} AS std, {r(f'min({x})')} AS min, "
                 f"{r(f'quantile_cont({x}, 0.25)')} AS q25, {r(f'quantile_cont({x}, 0.5)')} AS q50, "
