@@ -7,6 +7,7 @@ as one table per analytic, plus the CSV export of the day.
 
     python -m netlens.jobs ingest --raw /logs --landed /lake/zeek --date 2025-01-09
     python -m netlens.jobs report --landed /lake/zeek --type dns --date 2025-01-09 --out /reports
+    python -m netlens.jobs report ... --key dns_failed_ratio_hourly --key dns_top_queries
 """
 
 from __future__ import annotations
@@ -54,10 +55,14 @@ def report(spark: SparkSession, landed: str, log_type: str, date: str, out: str,
     stacked aggregate). Each shared table is written first (a written table cuts
     the lineage and survives executor loss); the analytics of the group are then
     projections of it, equal to their individual results."""
+    known = [a.key for a in analytics(log_type)]
+    wanted = list(keys) if keys is not None else known
+    unknown = sorted(set(wanted) - set(known))
+    if unknown:
+        raise ValueError(f"not {log_type} analytics: {unknown}")
     log = read_landed(spark, landed, log_type, [date])
     v = conform(log, log_type)
     base = f"{out.rstrip('/')}/{log_type}/{date}"
-    wanted = list(keys) if keys is not None else [a.key for a in analytics(log_type)]
     params = params or {}
     written, tables = [], {}
     if shared:
@@ -69,7 +74,7 @@ def report(spark: SparkSession, landed: str, log_type: str, date: str, out: str,
                    lambda t: split_frequencies(t, v.schema, log_type))]
         for name, gkeys, build, split in groups:
             gkeys = [k for k in gkeys if k in wanted and k not in params]
-            if not gkeys:
+            if len(gkeys) < 2:  # a lone analytic runs on its own
                 continue
             path = f"{base}/{name}"
             build().write.mode("overwrite").parquet(path)
@@ -98,13 +103,14 @@ def main(argv: list[str] | None = None) -> None:
     r.add_argument("--date", required=True)
     r.add_argument("--out", required=True)
     r.add_argument("--format", default="parquet")
+    r.add_argument("--key", action="append", help="only these analytics (default: all of the type)")
     a = p.parse_args(argv)
     from .session import get_spark
     spark = get_spark()
     if a.cmd == "ingest":
         ingest(spark, a.raw, a.landed, a.date, a.type)
     else:
-        report(spark, a.landed, a.type, a.date, a.out, fmt=a.format)
+        report(spark, a.landed, a.type, a.date, a.out, fmt=a.format, keys=a.key)
 
 
 if __name__ == "__main__":

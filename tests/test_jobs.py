@@ -68,3 +68,10 @@ def test_conn_subset_day_variant(spark):
     assert "resp_bytes" not in t["conn_heavy_senders"].columns
     assert "conn_state" not in t["conn_broadcast_detail"].columns
     assert t["conn_short_non_dns_dests"].count() == 5
+
+
+def test_report_rejects_unknown_keys(spark, tmpdir_path):
+    import pytest
+    with pytest.raises(ValueError):
+        jobs.report(spark, os.path.join(tmpdir_path, "none"), "dns", "2025-01-09",
+                    os.path.join(tmpdir_path, "o"), keys=["dns_no_such_key"])
