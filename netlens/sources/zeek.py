@@ -175,7 +175,7 @@ def read_log(spark: SparkSession, path: str, log_type: str | None = None, recurs
         pick = None
         for i, lay in enumerate(layouts):
             if f in lay:
-                val = F.element_at(VALS, lay.index(f) + 1)
+                val = F.try_element_at(VALS, F.lit(lay.index(f) + 1))
                 pick = (F.when(F.col(LAYOUT) == i, val) if pick is None
                         else pick.when(F.col(LAYOUT) == i, val))
         cols.append(_convert(pick, _kind(log_type, f, ztypes[f])).alias(Z.canonical(f)))

@@ -122,3 +122,9 @@ def test_gzipped_archives(spark, tmpdir_path):
     assert read_log(spark, tmpdir_path, "conn").count() == 0  # the default glob is *.log
     df = read_log(spark, tmpdir_path, "conn", pattern="conn*.log.gz")
     assert sorted(r["uri"] for r in df.collect()) == ['"q', "/a#b"]
+
+
+def test_truncated_line_reads_missing_fields_as_null(spark, tmpdir_path):
+    _write(tmpdir_path, "2025-01-09/conn/conn.t.log", HEADER + "1736400000.5\t1.1.1.1\tT\n")
+    r = read_log(spark, tmpdir_path, "conn").first()
+    assert r["id_orig_h"] == "1.1.1.1" and r["flag"] is True and r["dur"] is None and r["uri"] is None
