@@ -42,10 +42,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = spark.sparkContext._jsc.sc().getCheckpointDir()
-        d = d.get() if d.isDefined() else None
+        try:  # a checkpoint folder set on the context only
+            opt = spark.sparkContext._jsc.sc().getCheckpointDir()
+            d = opt.get() if opt.isDefined() else None
+        except Exception:  # noqa: BLE001 - no JVM context (e.g. Spark Connect)
+            d = None
     if not d:
         d = tempfile.mkdtemp(prefix="netlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    try:
+        spark.sparkContext.setCheckpointDir(d)
+    except Exception:  # noqa: BLE001 - Spark Connect manages checkpoints server-side
+        pass
     return d
