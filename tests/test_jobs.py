@@ -75,3 +75,19 @@ def test_report_rejects_unknown_keys(spark, tmpdir_path):
     with pytest.raises(ValueError):
         jobs.report(spark, os.path.join(tmpdir_path, "none"), "dns", "2025-01-09",
                     os.path.join(tmpdir_path, "o"), keys=["dns_no_such_key"])
+
+
+def test_cli_in_process(spark, tmpdir_path):
+    raw = os.path.join(tmpdir_path, "raw")
+    p = os.path.join(raw, "2025-01-09", "weird", "weird.1.log")
+    os.makedirs(os.path.dirname(p))
+    with open(p, "w") as f:
+        f.write("#fields\t" + "\t".join(WEIRD) + "\n")
+        f.write("\t".join({"ts": "1736380800.5", "id.orig_h": "10.0.0.1", "name": "n", "notice": "T"}
+                          .get(c, "-") for c in WEIRD) + "\n")
+    landed, out = os.path.join(tmpdir_path, "landed"), os.path.join(tmpdir_path, "out")
+    jobs.main(["ingest", "--raw", raw, "--landed", landed, "--date", "2025-01-09", "--type", "weird"])
+    jobs.main(["report", "--landed", landed, "--type", "weird", "--date", "2025-01-09", "--out", out,
+               "--key", "weird_notice_ratio_hourly", "--key", "weird_events_hourly"])
+    got = spark.read.parquet(os.path.join(out, "weird", "2025-01-09", "weird_notice_ratio_hourly")).collect()
+    assert [(r["id_orig_h"], r["notice_ratio"]) for r in got] == [("10.0.0.1", 1.0)]

@@ -101,3 +101,26 @@ def test_start_stream_to_parquet(spark, tmpdir_path):
         q.stop()
     rows = spark.read.parquet(out).collect()
     assert [(r["id_orig_h"], r["count"]) for r in rows] == [("a", 1)]
+
+
+def test_stream_over_landed_parquet(spark, tmpdir_path):
+    from netlens.sources.ingest import land
+    from netlens.streaming import read_landed_stream
+    root = os.path.join(tmpdir_path, "raw", "2025-01-09", "dns")
+    _dns_file(os.path.join(root, "dns.1.log"), [
+        ("1736380800.1", "10.0.0.1", "0", "T", "1", "a.example"),
+        ("1736380900.2", "10.0.0.1", "3", "F", "16", "b.example"),
+    ])
+    batch = read_log(spark, os.path.join(tmpdir_path, "raw"), "dns")
+    landed = os.path.join(tmpdir_path, "landed")
+    land(batch, landed)
+    schema = spark.read.parquet(landed).schema
+    stream = dns_features_stream(read_landed_stream(spark, landed, schema, "dns"))
+    q = (stream.writeStream.outputMode("complete").format("memory").queryName("landed_feat")
+         .option("checkpointLocation", os.path.join(tmpdir_path, "ckpt")).start())
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    rows = spark.sql("SELECT * FROM landed_feat").collect()
+    assert [(r["id_orig_h"], r["failed_ratio"], r["recursive"]) for r in rows] == [("10.0.0.1", 0.5, 1)]
