@@ -28,12 +28,19 @@ def _share(pred: Column) -> Column:
     return F.count_if(pred) / F.count(F.lit(1))
 
 
-def _specs() -> dict[str, dict[str, tuple[str, Column, bool]]]:
-    """log type -> analytic key -> (metric name, aggregate, sparse)."""
+def _specs(approx_distinct: bool = False) -> dict[str, dict[str, tuple[str, Column, bool]]]:
+    """log type -> analytic key -> (metric name, aggregate, sparse).
+
+    ``approx_distinct`` swaps the exact distinct counts for HyperLogLog++ (1% error),
+    the only distinct count a stream supports."""
     zero = F.lit(0).cast("bigint")
+
+    def distinct(c: str) -> Column:
+        return F.approx_count_distinct(c, 0.01) if approx_distinct else F.count_distinct(c)
+
     return {
         "dns": {
-            "dns_unique_queries_hourly": ("unique_queries", F.count_distinct("query"), False),
+            "dns_unique_queries_hourly": ("unique_queries", distinct("query"), False),
             "dns_failed_ratio_hourly": ("failed_ratio", _share(P.not_equal_or_null("rcode", 0)), False),
             "dns_unusual_qtype_hourly": ("count", F.count_if(P.set_and_not_in("qtype", COMMON_QTYPES)), True),
             "dns_recursive_hourly": ("count", F.count_if(P.is_true("RD")), True),
@@ -47,13 +54,13 @@ def _specs() -> dict[str, dict[str, tuple[str, Column, bool]]]:
         "http": {
             "http_errors_hourly": ("count", F.count_if(P.between("status_code", 400, 599)), True),
             "http_suspicious_methods_hourly": ("count", F.count_if(P.in_set("method", SUSPICIOUS_METHODS)), True),
-            "http_unique_uris_hourly": ("unique_uris", F.count_distinct("uri"), False),
+            "http_unique_uris_hourly": ("unique_uris", distinct("uri"), False),
             "http_proxied_ratio_hourly": ("proxied_ratio", _share(P.non_empty("proxied")), False),
         },
         "kerberos": {
             "kerberos_failed_ratio_hourly": ("failed_ratio", _share(
                 P.any_of(P.is_false("success"), F.col("error_msg").isNotNull())), False),
-            "kerberos_unique_services_hourly": ("unique_services", F.count_distinct("service"), False),
+            "kerberos_unique_services_hourly": ("unique_services", distinct("service"), False),
             "kerberos_forwardable_hourly": ("count", F.count_if(P.is_true("forwardable")), True),
         },
         "ssl": {
@@ -64,7 +71,7 @@ def _specs() -> dict[str, dict[str, tuple[str, Column, bool]]]:
         },
         "weird": {
             "weird_events_hourly": ("count", F.count(F.lit(1)), False),
-            "weird_unique_names_hourly": ("unique_names", F.count_distinct("name"), False),
+            "weird_unique_names_hourly": ("unique_names", distinct("name"), False),
             "weird_notice_ratio_hourly": ("notice_ratio", _share(P.is_true("notice")), False),
         },
     }
@@ -74,6 +81,11 @@ def feature_keys(log_type: str) -> list[str]:
     return list(_specs().get(log_type, {}))
 
 
+def feature_aggregates(log_type: str, approx_distinct: bool = False) -> dict[str, Column]:
+    """analytic key -> aggregate, for the source-keyed hourly features of ``log_type``."""
+    return {k: agg for k, (_, agg, _) in _specs(approx_distinct)[log_type].items()}
+
+
 def host_hour_features(v: DataFrame, log_type: str, ts: str = "ts") -> DataFrame:
     """(id_orig_h, hour, one column per analytic key) for every (source, hour) present."""
     spec = _specs()[log_type]

@@ -1,5 +1,5 @@
-from .hourly import (dns_features_stream, hourly_stream, read_landed_stream, read_log_stream,
-                     start_stream, weird_features_stream)
+from .hourly import (features_stream, hourly_stream, read_landed_stream, read_log_stream,
+                     start_stream)
 
-__all__ = ["dns_features_stream", "hourly_stream", "read_landed_stream", "read_log_stream",
-           "start_stream", "weird_features_stream"]
+__all__ = ["features_stream", "hourly_stream", "read_landed_stream", "read_log_stream",
+           "start_stream"]

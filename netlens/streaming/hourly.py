@@ -3,9 +3,10 @@
 Sources: rotated Zeek files arriving in a folder (columns by position in the
 configured Zeek field order: a stream cannot wait for a file's header to be
 joined to its rows), or the partitioned Parquet that ``ingest.land`` writes.
-The features are the batch ones as ONE windowed aggregate with a watermark:
-counts and shares are plain / conditional counts, distinct counts use
-HyperLogLog (exact distinct is not supported on streams). Hour windows are
+The features are the batch ones (same definitions, ``plans.features``) as ONE
+windowed aggregate with a watermark: counts and shares are plain / conditional
+counts, distinct counts use HyperLogLog (exact distinct is not supported on
+streams). Hour windows are
 emitted once the watermark passes their end (append), so state stays bounded.
 """
 
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from .. import schemas as Z
 from ..session import checkpoint_dir
-from ..functions import predicates as P
+from ..plans.features import feature_aggregates
 from ..sources.zeek import _convert
 
 # Default Zeek field order of the log types (the columns a
@@ -59,35 +60,29 @@ def read_landed_stream(spark: SparkSession, path: str, schema: T.StructType,
 
 def hourly_stream(df: DataFrame, key: str, metrics: Mapping[str, Column],
                   watermark: str = "1 hour", ts: str = "ts") -> DataFrame:
-    """One windowed aggregate per (key, hour) with the given named metrics."""
-    d = df.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).withWatermark(ts, watermark)
+    """One windowed aggregate per (key, hour) with the given named metrics.
+
+    A watermark needs TIMESTAMP event time: a TIMESTAMP_NTZ column is read as a
+    wall-clock time of the session zone (UTC under ``get_spark``) and the hour is
+    returned in the input's type."""
+    ntz = isinstance(df.schema[ts].dataType, T.TimestampNTZType)
+    d = df.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
+    if ntz:
+        d = d.withColumn(ts, F.col(ts).cast("timestamp"))
+    d = d.withWatermark(ts, watermark)
     out = d.groupBy(F.col(key), F.window(ts, "1 hour")).agg(
         *[m.alias(n) for n, m in metrics.items()])
-    return out.select(key, F.col("window.start").alias("hour"), *metrics)
+    hour = F.col("window.start")
+    return out.select(key, (hour.cast("timestamp_ntz") if ntz else hour).alias("hour"), *metrics)
 
 
-def share(pred: Column) -> Column:
-    return F.count_if(pred) / F.count(F.lit(1))
-
-
-def dns_features_stream(df: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """dns per source per hour: failed share, distinct queries (HLL), recursive
-    and unusual-type counts."""
-    return hourly_stream(df, "id_orig_h", {
-        "failed_ratio": share(P.not_equal_or_null("rcode", 0)),
-        "unique_queries_approx": F.approx_count_distinct("query", 0.01),
-        "recursive": F.count_if(P.is_true("RD")),
-        "unusual_qtype": F.count_if(P.set_and_not_in("qtype", [1, 28])),
-    }, watermark)
-
-
-def weird_features_stream(df: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """weird per source per hour: events, distinct names (HLL), notice share."""
-    return hourly_stream(df, "id_orig_h", {
-        "count": F.count(F.lit(1)),
-        "unique_names_approx": F.approx_count_distinct("name", 0.01),
-        "notice_ratio": share(P.is_true("notice")),
-    }, watermark)
+def features_stream(df: DataFrame, log_type: str, watermark: str = "1 hour") -> DataFrame:
+    """The source-keyed hourly features of ``log_type`` on a stream: the same
+    definitions as the batch feature table (``plans.features``), one column per
+    analytic key, distinct counts by HyperLogLog++. Count features are 0 (not
+    absent) for a (source, hour) that has rows but no match."""
+    return hourly_stream(df, "id_orig_h", feature_aggregates(log_type, approx_distinct=True),
+                         watermark)
 
 
 def start_stream(df: DataFrame, path: str, name: str, checkpoint: str | None = None,
