@@ -69,3 +69,17 @@ def test_share_equals_two_aggregate_join(spark):
     two = (den.join(num, ["id_orig_h", "hour"], "full")
               .select("id_orig_h", "hour", F.coalesce(F.col("f") / F.col("t"), F.lit(0.0)).alias("failed_ratio")))
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+
+
+@pytest.mark.parametrize("key,log_type,col", [
+    ("dns_rcode_counts", "dns", "rcode"), ("conn_state_counts", "conn", "conn_state"),
+    ("http_status_counts", "http", "status_code"), ("ssl_validation_counts", "ssl", "validation_status"),
+    ("weird_notice_counts", "weird", "notice"), ("kerberos_success_counts", "kerberos", "success"),
+])
+def test_frequency_plus_nulls_is_rows(spark, key, log_type, col):
+    from netlens.sources.views import log_view
+    v = log_view(spark, SF, log_type)
+    total = v.count()
+    nulls = v.where(F.col(col).isNull()).count()
+    counted = E.queries()[key](spark, SF).agg(F.sum("count")).first()[0]
+    assert counted + nulls == total
