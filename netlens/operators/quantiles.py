@@ -2,11 +2,15 @@
 
 Spark's exact ``percentile`` merges a value->count map of the WHOLE column
 into the single task of a global aggregate: unbounded at scale. Here the
-order statistics are found by distributed histogram refinement; the driver
-only ever holds bounded summaries:
-
-1. one aggregate per column: count, mean, std, min, max and ``bins`` approximate
-   quantiles (a bounded sketch per task);
+driver only ever holds bounded summaries:
+
+0. an input Catalyst estimates as small (no job needed) is answered by one
+   capped job fetching each column's (value, count) table; past the cap, or for
+   a large input, the stats-first path runs:
+1. one aggregate per column: count, mean, std, min, max and an approximate
+   distinct count; a column with at most ``cap`` distinct values has its
+   (value, count) table fetched in one capped job; for the others, ``bins``
+   approximate quantiles (a bounded sketch per task);
 2. the approximate quantiles become bucket edges; one more aggregate counts rows
    and (approximately) distinct values per (column, bucket): at most
    ``columns x (bins + 1)`` rows reach the driver;
@@ -26,8 +30,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark import StorageLevel
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, functions as F
 
 from .bounded import collect_bounded
