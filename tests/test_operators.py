@@ -119,3 +119,13 @@ def test_describe_approx_close(spark):
     assert a["count"] == e["count"] and a["mean"] == e["mean"] and a["max"] == e["max"]
     for q in ("q25", "q50", "q75"):
         assert abs(a[q] - e[q]) <= 1000 * 2 / 10_000 * 10  # rank error bound, in value units
+
+
+def test_approx_distinct_and_sorted_counts(spark):
+    rows = [("a", T0, f"v{i % 7}") for i in range(50)] + [("b", T0, "v1")] * 3
+    df = _df(spark, rows, "k string, ts timestamp, v string")
+    exact = {r["k"]: r["d"] for r in distinct_hourly(df, "k", "v", name="d").collect()}
+    approx = {r["k"]: r["d"] for r in distinct_hourly(df, "k", "v", name="d", approx=True).collect()}
+    assert exact == approx == {"a": 7, "b": 1}
+    got = [(r["v"], r["count"]) for r in value_counts(df, "v", sort=True).collect()]
+    assert got[0] == ("v1", 11) and [c for _, c in got] == sorted((c for _, c in got), reverse=True)
