@@ -74,8 +74,18 @@ def path_part(from_end: int) -> Column:
     return F.element_at(F.split(F.col(SRC), "/"), -1 - from_end)
 
 
+# Zeek's markers for an unset field and for an empty set / string.
+UNSET_FIELD = "-"
+EMPTY_FIELD = "(empty)"
+
+
 def _convert(raw: Column, kind: str) -> Column:
-    v = F.when(raw != "-", raw)
+    """Raw text -> typed value: the unset marker is NULL; the empty marker is ''
+    for strings (an empty set or string) and NULL for typed columns."""
+    v = F.when(raw != UNSET_FIELD, raw)
+    if kind == Z.STR:
+        return F.when(v == EMPTY_FIELD, F.lit("")).otherwise(v)
+    v = F.when(v != EMPTY_FIELD, v)
     if kind == Z.TS:
         return F.timestamp_seconds(v.try_cast("decimal(20,6)"))
     if kind == Z.BOOL:

@@ -128,3 +128,15 @@ def test_truncated_line_reads_missing_fields_as_null(spark, tmpdir_path):
     _write(tmpdir_path, "2025-01-09/conn/conn.t.log", HEADER + "1736400000.5\t1.1.1.1\tT\n")
     r = read_log(spark, tmpdir_path, "conn").first()
     assert r["id_orig_h"] == "1.1.1.1" and r["flag"] is True and r["dur"] is None and r["uri"] is None
+
+
+def test_empty_marker_is_empty_string(spark, tmpdir_path):
+    from netlens.plans.http import proxied_ratio_hourly
+    head = "#separator \\x09\n#unset_field\t-\n#empty_field\t(empty)\n#fields\tts\tid.orig_h\tproxied\tstatus_code\n"
+    body = "1736400000.5\t1.1.1.1\t(empty)\t(empty)\n1736400001.5\t1.1.1.1\tVIA\t200\n1736400002.5\t1.1.1.1\t-\t-\n"
+    _write(tmpdir_path, "2025-01-09/http/http.1.log", head + body)
+    df = read_log(spark, tmpdir_path, "http")
+    assert sorted((r["proxied"] is None, r["proxied"]) for r in df.collect()) == \
+        [(False, ""), (False, "VIA"), (True, None)]
+    assert [r["status_code"] for r in df.orderBy("ts").collect()] == [None, 200, None]
+    assert proxied_ratio_hourly(df).first()["proxied_ratio"] == 1 / 3
