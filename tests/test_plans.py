@@ -48,3 +48,15 @@ def test_detail_queries_do_not_shuffle(plans):
     for k in ["conn_heavy_senders", "conn_host_detail", "conn_port9_detail", "conn_endpoints",
               "conn_tcp_downloads", "conn_high_bytes_per_pkt"]:
         assert "Exchange" not in plans[k], k
+
+
+def test_aggregates_combine_map_side(plans):
+    """Hot keys: every shuffle feeding an aggregate ships partial aggregates (a key with a
+    third of the rows sends one partial row per task), never raw rows."""
+    for k, p in plans.items():
+        if "Exchange hashpartitioning" in p and "HashAggregate" in p:
+            assert "partial_" in p or "merge_" in p, k
+            # the first operator above the scan side of each exchange is a partial aggregate
+            for block in p.split("Exchange hashpartitioning")[1:]:
+                below = block.split("\n", 2)[1] if "\n" in block else ""
+                assert "Aggregate" in below, (k, below[:120])
