@@ -8,6 +8,7 @@ as one table per analytic, plus the CSV export of the day.
     python -m netlens.jobs ingest --raw /logs --landed /lake/zeek --date 2025-01-09
     python -m netlens.jobs report --landed /lake/zeek --type dns --date 2025-01-09 --out /reports
     python -m netlens.jobs report ... --key dns_failed_ratio_hourly --key dns_top_queries
+    python -m netlens.jobs list --type dns
 """
 
 from __future__ import annotations
@@ -104,7 +105,13 @@ def main(argv: list[str] | None = None) -> None:
     r.add_argument("--out", required=True)
     r.add_argument("--format", default="parquet")
     r.add_argument("--key", action="append", help="only these analytics (default: all of the type)")
+    ls = sub.add_parser("list", help="the named analytics (key, log type, description)")
+    ls.add_argument("--type")
     a = p.parse_args(argv)
+    if a.cmd == "list":
+        for an in analytics(a.type):
+            print(f"{an.key}\t{an.log_type}\t{(an.doc.splitlines() or [''])[0]}")
+        return
     from .session import get_spark
     spark = get_spark()
     if a.cmd == "ingest":

@@ -26,11 +26,30 @@ class Analytic:
 REGISTRY: dict[str, Analytic] = {}
 
 
+def _default_doc(key: str, log_type: str) -> str:
+    """A description from the key's naming pattern, for analytics without a docstring."""
+    words = key[len(log_type) + 1:].replace("_", " ")
+    if key.endswith("_shape"):
+        return "Row and column count."
+    if key.endswith("_sample"):
+        return "Five rows in a fixed total order."
+    if key.endswith("_counts"):
+        return f"Frequency table: {words[:-len(' counts')]} (rows per value)."
+    if "_top_" in key or key.startswith(f"{log_type}_top"):
+        return f"The {words.replace('top ', '', 1)} seen most often, with their counts."
+    if key.endswith("_summary"):
+        return f"Summary of {words[:-len(' summary')]}: count, mean, std, min, quartiles, max."
+    if key.endswith("_detail"):
+        return f"Matching rows: {words[:-len(' detail')]}."
+    return words[:1].upper() + words[1:] + "."
+
+
 def register(key: str, log_type: str, sql: str | None):
     def deco(fn: Callable[[DataFrame], DataFrame]):
         if key in REGISTRY:
             raise ValueError(f"duplicate analytic {key}")
-        REGISTRY[key] = Analytic(key, log_type, fn, sql, (fn.__doc__ or "").strip())
+        doc = (fn.__doc__ or "").strip() or _default_doc(key, log_type)
+        REGISTRY[key] = Analytic(key, log_type, fn, sql, doc)
         return fn
     return deco
 

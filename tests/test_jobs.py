@@ -91,3 +91,10 @@ def test_cli_in_process(spark, tmpdir_path):
                "--key", "weird_notice_ratio_hourly", "--key", "weird_events_hourly"])
     got = spark.read.parquet(os.path.join(out, "weird", "2025-01-09", "weird_notice_ratio_hourly")).collect()
     assert [(r["id_orig_h"], r["notice_ratio"]) for r in got] == [("10.0.0.1", 1.0)]
+
+
+def test_cli_list(capsys):
+    jobs.main(["list", "--type", "ssl"])
+    out = capsys.readouterr().out.strip().splitlines()
+    assert len(out) == len(analytics("ssl")) and all(line.count("\t") == 2 for line in out)
+    assert all(line.split("\t")[2] for line in out)  # every analytic has a description
