@@ -17,8 +17,9 @@ import argparse
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans.features import (feature_keys, frequency_keys, frequency_tables, host_hour_features,
-                             split_features, split_frequencies)
+from .plans.features import (dense_keys, feature_keys, frequency_keys, frequency_tables,
+                             host_hour_features, hourly_counts_table, split_dense, split_features,
+                             split_frequencies)
 from .plans.registry import analytics
 from .schemas import REQUIRED
 from .sources.ingest import land, read_landed
@@ -51,9 +52,9 @@ def report(spark: SparkSession, landed: str, log_type: str, date: str, out: str,
            shared: bool = True) -> list[str]:
     """Write every analytic of ``log_type`` for ``date`` (or ``keys``).
 
-    With ``shared``, two groups are computed once each: the source-keyed hourly
-    features (one aggregate) and the unfiltered frequency / top-k tables (one
-    stacked aggregate). Each shared table is written first (a written table cuts
+    With ``shared``, three groups are computed once each: the source-keyed hourly
+    features (one aggregate), the unfiltered frequency / top-k tables (one
+    stacked aggregate) and the dense hourly series (one per-hour aggregate). Each shared table is written first (a written table cuts
     the lineage and survives executor loss); the analytics of the group are then
     projections of it, equal to their individual results."""
     known = [a.key for a in analytics(log_type)]
@@ -72,7 +73,10 @@ def report(spark: SparkSession, landed: str, log_type: str, date: str, out: str,
                    lambda t: split_features(t, log_type)),
                   ("_frequencies", frequency_keys(log_type),
                    lambda: frequency_tables(v, log_type),
-                   lambda t: split_frequencies(t, v.schema, log_type))]
+                   lambda t: split_frequencies(t, v.schema, log_type)),
+                  ("_hourly_counts", dense_keys(log_type),
+                   lambda: hourly_counts_table(v, log_type),
+                   lambda t: split_dense(t, log_type))]
         for name, gkeys, build, split in groups:
             gkeys = [k for k in gkeys if k in wanted and k not in params]
             if len(gkeys) < 2:  # a lone analytic runs on its own

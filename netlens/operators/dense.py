@@ -27,6 +27,12 @@ def hourly_dense(df: DataFrame, where: Column | None = None, name: str = "count"
     if where is not None:
         d = d.where(where)
     counts = d.groupBy(hour_of(ts).alias(HOUR)).agg(F.count(F.lit(1)).alias(name))
+    return fill_hours(counts, name, max_hours)
+
+
+def fill_hours(counts: DataFrame, name: str = "count", max_hours: int = MAX_HOURS) -> DataFrame:
+    """Dense series from (hour, count) rows of the hours present: every hour from the
+    first to the last, gaps as 0. Works on the per-hour aggregate only."""
     one_hour = F.expr("INTERVAL 1 HOUR")
     w = Window.orderBy(HOUR)
     every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -174,3 +174,36 @@ def split_frequencies(freq: DataFrame, v_schema, log_type: str) -> dict[str, Dat
             t = t.orderBy(F.desc("count"), F.asc_nulls_first(c)).limit(top)
         out[k] = t
     return out
+
+
+# --- dense hourly series ----------------------------------------------------
+
+
+def _dense_specs() -> dict[str, dict[str, Column | None]]:
+    """log type -> analytic key -> row predicate (None: every row)."""
+    from . import conn as C
+    return {"conn": {
+        "conn_hourly": None,
+        "conn_broadcast_hourly": P.in_set("id_resp_h", C.BROADCAST_ADDRS),
+        "conn_failed_hourly": P.in_set("conn_state", C.FAILED_STATES),
+        "conn_dns_hourly": F.col("id_resp_p") == C.DNS_PORT,
+        "conn_non_dns_hourly": F.col("id_resp_p") != C.DNS_PORT,
+    }}
+
+
+def dense_keys(log_type: str) -> list[str]:
+    return list(_dense_specs().get(log_type, {}))
+
+
+def hourly_counts_table(v: DataFrame, log_type: str, ts: str = "ts") -> DataFrame:
+    """(hour, one count per dense analytic) for every hour present: one scan."""
+    spec = _dense_specs()[log_type]
+    aggs = [(F.count(F.lit(1)) if p is None else F.count_if(p)).alias(k) for k, p in spec.items()]
+    return v.where(F.col(ts).isNotNull()).groupBy(hour_of(ts).alias(HOUR)).agg(*aggs)
+
+
+def split_dense(wide: DataFrame, log_type: str) -> dict[str, DataFrame]:
+    """Each dense series from the shared per-hour table: its own first-to-last range."""
+    from ..operators.dense import fill_hours
+    return {k: fill_hours(wide.where(F.col(k) > 0).select(HOUR, F.col(k).alias("count")), "count")
+            for k in _dense_specs()[log_type]}

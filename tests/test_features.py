@@ -32,3 +32,14 @@ def test_frequency_split_equals_individual(spark, log_type):
         want = qs[k](spark, SF)
         assert [(f.name, f.dataType) for f in df.schema] == [(f.name, f.dataType) for f in want.schema], k
         assert sorted(map(tuple, df.collect()), key=str) == sorted(map(tuple, want.collect()), key=str), k
+
+
+def test_dense_split_equals_individual(spark):
+    from netlens.plans.features import dense_keys, hourly_counts_table, split_dense
+    v = log_view(spark, SF, "conn")
+    split = split_dense(hourly_counts_table(v, "conn"), "conn")
+    assert set(split) == set(dense_keys("conn")) and len(split) == 5
+    for k, df in split.items():
+        want = E.queries()[k](spark, SF)
+        assert df.columns == want.columns, k
+        assert sorted(map(tuple, df.collect())) == sorted(map(tuple, want.collect())), k

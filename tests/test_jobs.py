@@ -98,3 +98,27 @@ def test_cli_list(capsys):
     out = capsys.readouterr().out.strip().splitlines()
     assert len(out) == len(analytics("ssl")) and all(line.count("\t") == 2 for line in out)
     assert all(line.split("\t")[2] for line in out)  # every analytic has a description
+
+
+def test_conn_report_shared_equals_unshared(spark, tmpdir_path):
+    raw = os.path.join(tmpdir_path, "raw")
+    p = os.path.join(raw, "2025-01-09", "conn", "conn.1.log")
+    os.makedirs(os.path.dirname(p))
+    with open(p, "w") as f:
+        f.write("#fields\tts\tid.orig_h\tid.resp_h\tid.resp_p\tproto\tconn_state\tduration\torig_bytes\n")
+        f.write("1736380800.5\t10.0.0.1\t255.255.255.255\t53\tudp\tS0\t0.2\t10\n")
+        f.write("1736391600.5\t10.0.0.1\t10.0.0.8\t443\ttcp\tSF\t3.0\t2000000\n")
+        f.write("1736398800.5\t10.0.0.2\t10.0.0.8\t53\tudp\tRSTO\t0.1\t5\n")
+    landed = os.path.join(tmpdir_path, "landed")
+    jobs.ingest(spark, raw, landed, ["2025-01-09"], ["conn"])
+    a = jobs.report(spark, landed, "conn", "2025-01-09", os.path.join(tmpdir_path, "a"), export=False)
+    b = jobs.report(spark, landed, "conn", "2025-01-09", os.path.join(tmpdir_path, "b"), export=False,
+                    shared=False)
+    assert any(w.endswith("_hourly_counts") for w in a)
+    for w in b:
+        key = os.path.basename(w)
+        x = spark.read.parquet(w).collect()
+        y = spark.read.parquet(os.path.join(tmpdir_path, "a", "conn", "2025-01-09", key)).collect()
+        assert sorted(map(tuple, x), key=str) == sorted(map(tuple, y), key=str), key
+    hourly = spark.read.parquet(os.path.join(tmpdir_path, "a", "conn", "2025-01-09", "conn_dns_hourly"))
+    assert [r["count"] for r in hourly.orderBy("hour").collect()] == [1, 0, 0, 0, 0, 1]
