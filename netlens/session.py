@@ -34,24 +34,41 @@ def get_spark(master: str | None = None, app: str = "netlens",
     return spark
 
 
+_SCRATCH: dict[str, str] = {}  # application id -> scratch folder made here (local runs only)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this must be set by the deployment (a shared file system);
-    only when it is unset (local tests) a scratch folder is created here.
-    """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        try:  # a checkpoint folder set on the context only
-            opt = spark.sparkContext._jsc.sc().getCheckpointDir()
-            d = opt.get() if opt.isDefined() else None
-        except Exception:  # noqa: BLE001 - no JVM context (e.g. Spark Connect)
-            d = None
-    if not d:
-        d = tempfile.mkdtemp(prefix="netlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", d)
+    On a cluster this is set by the deployment (a shared file system) and is
+    returned as is, so stream checkpoints under it survive restarts. When it is
+    unset (local tests), the context's checkpoint folder is used, or a scratch
+    folder is created and given to the context (``spark.checkpoint.dir`` is a
+    static setting and is not changed here)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    current = None
+    try:
+        opt = spark.sparkContext._jsc.sc().getCheckpointDir()
+        current = opt.get() if opt.isDefined() else None
+    except Exception:  # noqa: BLE001 - no JVM context (e.g. Spark Connect)
+        pass
+    if base:
+        if current is None:
+            _set_context_dir(spark, base)
+        return base
+    app = spark.sparkContext.applicationId
+    if app in _SCRATCH:
+        return _SCRATCH[app]
+    if current:
+        return current
+    d = tempfile.mkdtemp(prefix="netlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+    _set_context_dir(spark, d)
+    _SCRATCH[app] = d
+    return d
+
+
+def _set_context_dir(spark: SparkSession, d: str) -> None:
     try:
         spark.sparkContext.setCheckpointDir(d)
     except Exception:  # noqa: BLE001 - Spark Connect manages checkpoints server-side
         pass
-    return d
