@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import mixing, quality_rules, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_secret_scan": secret_scan.op3_secret_scan,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op6_mixing": mixing.op6_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_secret_scan": secret_scan.ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
 }
