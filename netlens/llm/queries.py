@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality_rules, secret_scan
+from . import mixing, quality_rules, secret_scan, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": simhash.op1_simhash,
     "op3_secret_scan": secret_scan.op3_secret_scan,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op6_mixing": mixing.op6_mixing,
