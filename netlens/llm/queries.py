@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality_rules, secret_scan, simhash
+from . import chunk_fingerprints, mixing, quality_rules, secret_scan, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
     "op3_secret_scan": secret_scan.op3_secret_scan,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op5_warc": warc.op5_warc,
     "op6_mixing": mixing.op6_mixing,
+    "op7_chunk_fingerprints": chunk_fingerprints.op7_chunk_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_secret_scan": secret_scan.ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
+    "op5_warc": warc.ORACLE,
 }
