@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_fingerprints, mixing, quality_rules, secret_scan, simhash, warc
+from . import chunk_fingerprints, mixing, quality_rules, secret_scan, sentencepiece_codec, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": warc.op5_warc,
     "op6_mixing": mixing.op6_mixing,
     "op7_chunk_fingerprints": chunk_fingerprints.op7_chunk_fingerprints,
+    "op8_sentencepiece": sentencepiece_codec.op8_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {
