@@ -27,9 +27,12 @@ begin with the magic line has no records; a chain ends where no record starts.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, scratch_path, stored, table
@@ -38,6 +41,7 @@ MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8"
 MIN_REVISIT = 1000
+BROADCAST_ROWS = 100_000
 BLOCK = 8 << 20  # bytes of an archive whose candidates one task follows
 
 
@@ -50,7 +54,7 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     first = p.where(F.col("bytes") >= min_revisit).groupBy("digest", "bytes").agg(
         F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1 AND keeper IS NOT NULL") \
         .select("digest", "bytes", "keeper")
-    p = p.join(first, ["digest", "bytes"], "left")
+    p = p.join(_small(cut(first)), ["digest", "bytes"], "left")
     revisit = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     number = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
     block_bytes = F.lit(len(HTTP + END)) + F.when(revisit, 0).otherwise(F.col("bytes"))
@@ -69,23 +73,43 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     p.select(record.alias("value")).write.option("lineSep", END).text(path)
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, broadcast in joins if its counted rows (numbers and digests) are few; otherwise
+    the join shuffles."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """path, block_start, seq, value, n: the archive's bytes between magic lines."""
+    """path, split, value, n: the archive's bytes between magic lines, in file order."""
     return spark.read.option("lineSep", MAGIC).text(path).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"),
-        F.monotonically_increasing_id().alias("seq"), "value", F.octet_length("value").cast("bigint").alias("n"))
+        "value", F.octet_length("value").cast("bigint").alias("n"))
+
+
+def _placed(pieces: DataFrame) -> DataFrame:
+    """Adds ``in_split``, the piece's offset in its split: a task reads a split's pieces in
+    order, so this is a running sum over its batches, without a shuffle."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: dict = {}
+        for b in batches:
+            out = np.zeros(b.num_rows, np.int64)
+            for k, (path, split, n) in enumerate(zip(*(b.column(c).to_pylist() for c in ("path", "split", "n")))):
+                if (path, split) not in at:
+                    at = {(path, split): 0}
+                out[k] = at[path, split]
+                at[path, split] += n + len(MAGIC)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names=[*b.schema.names, "in_split"])
+
+    schema = pieces.select("*", F.lit(0).cast("bigint").alias("in_split")).schema
+    return pieces.mapInArrow(run, schema)
 
 
-def _with_offsets(pieces: DataFrame, *keep: str) -> DataFrame:
-    """Adds ``at``: the piece's offset, first inside its split, then over the splits of a file
-    (two windows: over the pieces of one split, and over one row per split)."""
-    from pyspark.sql import Window
-    inner = Window.partitionBy("path", "split").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    d = pieces.select("path", "split", "seq", "n", *keep, F.coalesce(F.sum(F.col("n") + len(MAGIC)).over(inner), F.lit(0)).alias("in_split"))
+def _with_offsets(pieces: DataFrame) -> DataFrame:
+    """Adds ``at``, the offset in the file, from ``in_split`` and one row per split."""
     sums = pieces.groupBy("path", "split").agg(F.sum(F.col("n") + len(MAGIC)).alias("all"))
-    outer = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("path", "split", F.coalesce(F.sum("all").over(outer), F.lit(0)).alias("base"))
-    return d.join(sums, ["path", "split"]).withColumn("at", F.col("base") + F.col("in_split")).drop("base", "in_split", "split", "seq")
+    before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("path", "split", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("base"))
+    return pieces.join(sums, ["path", "split"]).withColumn("at", F.col("base") + F.col("in_split")).drop("base")
 
 
 def _parsed(pieces: DataFrame) -> DataFrame:
@@ -98,7 +122,7 @@ def _parsed(pieces: DataFrame) -> DataFrame:
     d = d.withColumn("body", F.when(F.col("length") + F.col("h") + len(END) <= F.col("n"), body))
     field = lambda name: F.regexp_extract("head", rf"(?:^|\n){name}: ([^\r\n]*)", 1)
     return d.select(
-        "path", "split", "seq", "n", "h", "length", field("WARC-Type").alias("type"),
+        "path", "split", "n", "h", "length", field("WARC-Type").alias("type"),
         F.regexp_extract("head", r"WARC-Record-ID: <urn:x-page:(-?\d*)>", 1).alias("page"),
         F.regexp_extract("head", r"WARC-Refers-To: <urn:x-page:(-?\d*)>", 1).alias("refers"),
         F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "").alias("digest"),
@@ -173,24 +197,29 @@ def reachable(candidates: DataFrame) -> DataFrame:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row per record: path, at (offset), type, page_id, refers_to, digest (header), bytes
     and sha1 of the payload as read."""
-    pieces = stored(_with_offsets(_parsed(_pieces(spark, path)), "h", "length", "type", "page", "refers", "digest", "bytes", "sha1"), "warc")
+    pieces = cut(_with_offsets(stored(_placed(_parsed(_pieces(spark, path))), "warc-pieces")))
     # a piece begins after its magic line; the first piece of a file is what stands before it
     cand = pieces.where(F.col("length").isNotNull() & (F.col("at") > 0)) \
         .withColumn("at", F.col("at") - len(MAGIC)) \
         .withColumn("succ", F.col("at") + len(MAGIC) + F.col("h") + F.col("length") + 2 * len(END))
     records = cand.join(reachable(cand), ["path", "at"], "left_semi")
+    records = cut(records)
+    numbers = [F.expr("try_cast(page AS bigint)").alias("page_id"), F.expr("try_cast(refers AS bigint)").alias("refers_to")]
     long = records.where("sha1 IS NULL").select("path", F.col("at").alias("start"), "succ", F.col("h").alias("rh"), F.col("length").alias("rl"))
+    # pieces of records that span several: their places are known, their bytes are read again
     spread = long.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor(F.col("succ") / BLOCK))))
-    parts = _with_offsets(_pieces(spark, path), "value").withColumn("at", F.col("at") - len(MAGIC)) \
-        .withColumn("block", F.floor(F.col("at") / BLOCK))
-    whole = parts.join(spread, ["path", "block"]).where("at >= start AND at < succ") \
+    spots = pieces.select("path", "split", "in_split", (F.col("at") - len(MAGIC)).alias("at")) \
+        .withColumn("block", F.floor(F.col("at") / BLOCK)).join(spread, ["path", "block"]).where("at >= start AND at < succ").drop("block")
+    spots = cut(spots)
+    if not spots.take(1):  # every record lies in one piece: nothing to read again
+        return records.select("path", "at", "type", *numbers, "digest", "sha1", "bytes")
+    whole = _placed(_pieces(spark, path)).drop("n").join(_small(spots), ["path", "split", "in_split"]) \
         .groupBy("path", "start", "rh", "rl").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("x")) \
         .select("path", F.col("start").alias("at"), F.expr(
             "substring(cast(array_join(x.value, '" + MAGIC.replace("\r", "\\r").replace("\n", "\\n") + "') AS binary), cast(rh + 5 AS int), cast(rl AS int))").alias("body"))
     whole = whole.select("path", "at", *[c.alias(n) for c, n in zip(_payload(F.col("body")), ("b2", "s2"))])
     return records.join(whole, ["path", "at"], "left").select(
-        "path", "at", "type", F.expr("try_cast(page AS bigint)").alias("page_id"), F.expr("try_cast(refers AS bigint)").alias("refers_to"),
-        "digest", F.coalesce("sha1", "s2").alias("sha1"), F.coalesce("bytes", "b2").alias("bytes"))
+        "path", "at", "type", *numbers, "digest", F.coalesce("sha1", "s2").alias("sha1"), F.coalesce("bytes", "b2").alias("bytes"))
 
 
 def resolve(records: DataFrame) -> DataFrame:
