@@ -7,8 +7,9 @@ probabilities. The neighbours are returned as evidence.
 
 * Examples: training-fold labels, at most ``MAX_EXAMPLES`` per class, the ones with the
   smallest hash of their id (documented bound; each class is weighted back to its share).
-* Terms: words of the examples whose association with the label passes a chi-square test, at
-  most ``MAX_TERMS``; the list is broadcast, its size is bounded by that number.
+* Terms: words of the examples, and their first ``PREFIXES`` letters, whose association with
+  label 1 passes a likelihood-ratio test corrected for the number of candidates, at most
+  ``MAX_TERMS``; the list is broadcast, its size is bounded by that number.
 * Document frequencies of these terms are counted over all documents.
 * Index: per term, its examples in blocks of ``BLOCK`` with the largest weight of each block.
   For a text, the blocks' bounds (sum of its weights times block maxima) are visited in
@@ -40,18 +41,24 @@ FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.5
 MAX_EXAMPLES = 4096   # of each class
 MAX_TERMS = 2048
-CHI_SQUARE = 15.0     # least association of a term with the label
+PREFIXES = (4, 5)     # a word's first letters, so that inflected forms share a term
 LEAST_TEXTS = 3       # toxic examples that hold a term
+FALSE_TERMS = 0.1     # terms expected to pass the test by chance
+CACHE_WORDS = 300_000
 K = 15                # neighbours
 SMOOTHING = 1.0       # votes of the class shares
 BLOCK = 64
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def terms_of(text: str) -> list[str]:
+def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def terms_of(word: str) -> list[str]:
+    return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
+
+
 def choose_examples(labels: DataFrame) -> DataFrame:
     """doc_id, toxic (0/1), share: the sample of training labels and what a row stands for."""
     per = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()
@@ -75,7 +82,7 @@ def choose_terms(docs: DataFrame, examples: DataFrame) -> list[str]:
         for b in batches:
             n: Counter = Counter()
             for y, t in zip(b.column("toxic"), b.column("text")):
-                n.update((y.as_py(), w) for w in set(terms_of(t.as_py() or "")))
+                n.update((y.as_py(), w) for w in {x for w in set(words_of(t.as_py() or "")) for x in terms_of(w)})
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[1] for k in n], pa.string()), pa.array([k[0] for k in n], pa.int32()),
                  pa.array(list(n.values()), pa.int64())], names=["term", "toxic", "n"])
@@ -86,10 +93,13 @@ def choose_terms(docs: DataFrame, examples: DataFrame) -> list[str]:
     c = texts.mapInArrow(run, "term string, toxic int, n bigint").groupBy("term").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).cast("double").alias("a"),
         F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).cast("double").alias("b"))
-    a, b, total = F.col("a"), F.col("b"), float(n1 + n0)
-    chi = total * (a * n0 - b * n1) ** 2 / ((a + b) * (total - a - b) * float(n1) * float(n0))
-    return [r.term for r in c.where((a >= LEAST_TEXTS) & (a + b < total) & (a * n0 > b * n1)).withColumn("chi", chi)
-            .where(F.col("chi") >= CHI_SQUARE).orderBy(F.col("chi").desc(), "term").limit(MAX_TERMS).collect()]
+    a, b, rate = F.col("a"), F.col("b"), float(n1) / (n1 + n0)
+    c = cut(c.where((a >= LEAST_TEXTS) & (a * n0 > b * n1)))
+    # log-likelihood of the term's label counts against the labels' own shares
+    part = lambda x, p: F.when(x > 0, x * F.log(x / ((a + b) * p))).otherwise(0.0)
+    passes = F.col("g") >= 2 * np.log(max(1, c.count()) / FALSE_TERMS)
+    return [r.term for r in c.withColumn("g", 2 * (part(a, rate) + part(b, 1 - rate))).where(passes)
+            .orderBy(F.col("g").desc(), "term").limit(MAX_TERMS).collect()]
 
 
 def term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
@@ -97,11 +107,19 @@ def term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
     number = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = number.value.get
+        get, known = number.value.get, {}
         for b in batches:
             ids, counts = [], []
             for t in b.column("text"):
-                n = Counter(i for i in map(get, terms_of(t.as_py() or "")) if i is not None)
+                n: Counter = Counter()
+                for w in words_of(t.as_py() or ""):
+                    at = known.get(w)
+                    if at is None:
+                        if len(known) >= CACHE_WORDS:
+                            known.clear()
+                        at = known[w] = [i for i in map(get, terms_of(w)) if i is not None]
+                    if at:
+                        n.update(at)
                 at = sorted(n)
                 ids.append(at)
                 counts.append([n[i] for i in at])
