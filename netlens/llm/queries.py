@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_fingerprints, mixing, quality_rules, secret_scan, sentencepiece_codec, simhash, warc
+from . import (chunk_fingerprints, mixing, pu_quality, quality_rules, secret_scan, sentencepiece_codec, simhash,
+               toxicity, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_pu_quality": pu_quality.op2_pu_quality,
     "op3_secret_scan": secret_scan.op3_secret_scan,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_warc": warc.op5_warc,
     "op6_mixing": mixing.op6_mixing,
     "op7_chunk_fingerprints": chunk_fingerprints.op7_chunk_fingerprints,
     "op8_sentencepiece": sentencepiece_codec.op8_sentencepiece,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {

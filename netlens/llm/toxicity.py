@@ -41,7 +41,7 @@ FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.5
 MAX_EXAMPLES = 4096   # of each class
 MAX_TERMS = 2048
-PREFIXES = (4, 5)     # a word's first letters, so that inflected forms share a term
+PREFIXES = (4, 5, 6, 7)  # a word's first letters, so that inflected forms share a term
 LEAST_TEXTS = 3       # toxic examples that hold a term
 FALSE_TERMS = 0.1     # terms expected to pass the test by chance
 CACHE_WORDS = 300_000
