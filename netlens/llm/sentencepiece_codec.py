@@ -38,7 +38,7 @@ from .common import table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_MODEL_BYTES = 64 << 20  # broadcast bound, checked
 SPACE = "▁"
-CACHE_WORDS = 250_000       # words whose ids a worker keeps, in each of two generations
+CACHE_WORDS = 500_000       # words whose ids a worker keeps, in each of two generations
 CACHE_PAIRS = 1_000_000
 CACHE_CHARS = 48            # longer strings are not kept
 _OUT_IDS = 4_000_000
