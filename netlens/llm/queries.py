@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (chunk_fingerprints, mixing, pu_quality, quality_rules, secret_scan, sentencepiece_codec, simhash,
-               toxicity, warc)
+               suffix_dedup, toxicity, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": mixing.op6_mixing,
     "op7_chunk_fingerprints": chunk_fingerprints.op7_chunk_fingerprints,
     "op8_sentencepiece": sentencepiece_codec.op8_sentencepiece,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
@@ -25,4 +26,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_secret_scan": secret_scan.ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
     "op5_warc": warc.ORACLE,
+    "op9_suffix_dedup": suffix_dedup.ORACLE,
 }
