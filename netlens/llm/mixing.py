@@ -156,14 +156,16 @@ def document_sizes(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, seed: int = 42) -> DataFrame:
     """The documents of the mix: each row as often as its copies say (0 to 3); the columns
     of ``documents``. Equal rows share their copies in turn."""
-    dec = copies(document_sizes(docs), seed).groupBy("key", F.col("id").alias("i")).agg(
+    same = ["key", "known", "number"]  # join keys without nulls
+    known, number = F.col("id").isNotNull(), F.coalesce("id", F.lit(0).cast("bigint"))
+    dec = copies(document_sizes(docs), seed).groupBy("key", known.alias("known"), number.alias("number")).agg(
         F.sum("copies").alias("all"), F.count(F.lit(1)).alias("m"))
-    rows = docs.select(*DOCUMENT_COLUMNS, F.xxhash64("doc_id", "source", "text").alias("key"))
-    both = rows.join(dec, (rows.key == dec.key) & rows.doc_id.eqNullSafe(dec.i)).drop(dec.key)
-    turn = F.row_number().over(Window.partitionBy("key", "doc_id").orderBy("key"))
+    rows = docs.select(*DOCUMENT_COLUMNS, F.xxhash64("doc_id", "source", "text").alias("key"),
+                       F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0).cast("bigint")).alias("number"))
+    turn = F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(1)))
     each = F.floor(F.col("all") / F.col("m")) + F.when(F.col("turn") <= F.col("all") % F.col("m"), 1).otherwise(0)
-    return both.withColumn("turn", turn).withColumn("copy", each.cast("int")) \
-        .where("copy > 0").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copy")))).select(DOCUMENT_COLUMNS)
+    return rows.join(dec, same).withColumn("turn", turn).withColumn("copy", each.cast("int")).where("copy > 0") \
+        .withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copy")))).select(DOCUMENT_COLUMNS)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .common import DOCUMENT_COLUMNS, WHITE_RUN, WORD_CHAR, table, words_of
 
 SYMBOLS = r"[#*$%&|<>]"
+LOUD = r"[!?#*$%&|<>]"  # what a line of prose holds little of
 SEPARATORS = r"[|»›·•]"
 NAVIGATION = (r"(?i)^[\x20\x09-\x0D]*(home|menu|log ?in|log ?out|sign ?(in|up)|skip to (main )?content|next|previous"
               r"|back to top|read more|share this|subscribe|search|contact us|about us)[\x20\x09-\x0D]*$")
@@ -28,7 +29,7 @@ BOILERPLATE = (r"(?i)(all rights reserved|cookie policy|accept (all )?cookies|we
 WINDOW = 5               # words in a repetition window
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20  # of the words, inside windows seen twice or more
-MAX_SYMBOL_PERCENT = 10  # of a line's characters
+MAX_LOUD_PERCENT = 10    # of a line's characters
 MIN_SEPARATORS = 3       # in a line, to call it a navigation bar
 MAX_LOST_PERCENT = 50    # of the word characters, removed with failing lines
 
@@ -40,7 +41,7 @@ def _n_matches(text: Column, cls: str) -> Column:
 
 def line_passes(line: Column) -> Column:
     """The three rules on one line that has a word."""
-    punctuation = (_n_matches(line, SYMBOLS) * 100 <= F.length(line) * MAX_SYMBOL_PERCENT) \
+    punctuation = (_n_matches(line, LOUD) * 100 <= F.length(line) * MAX_LOUD_PERCENT) \
         & line.rlike(r"[\p{L}\p{N}]")
     navigation = (_n_matches(line, SEPARATORS) >= MIN_SEPARATORS) | line.rlike(NAVIGATION)
     return punctuation & ~navigation & ~line.rlike(BOILERPLATE)
@@ -119,9 +120,11 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def clean(docs: DataFrame) -> DataFrame:
     """The documents that pass, with failing lines removed from ``text`` (and ``n_chars``
     brought up to date); the columns of ``documents``."""
-    m = measure(docs).where("kept")
-    return m.select("row.doc_id", F.col("clean_text").alias("text"), "row.lang", "row.source",
-                    F.length("clean_text").cast("long").alias("n_chars")).select(DOCUMENT_COLUMNS)
+    m = measure(docs)
+    out = F.struct("row.doc_id", F.col("clean_text").alias("text"), "row.lang", "row.source",
+                   F.length("clean_text").cast("long").alias("n_chars"))
+    # a generator, as a filter would be pushed below the projections and repeat their work
+    return m.select(F.inline(F.when(F.col("kept"), F.array(out)))).select(DOCUMENT_COLUMNS)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +145,7 @@ twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY d
 reps AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY doc_id),
 lined AS (SELECT doc_id, k, line FROM (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS k FROM t2)),
 judged AS (SELECT doc_id, k, line, NOT regexp_matches(line, '[^\x20\x09-\x0D]') AS blank,
-    (length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g'))) * 100 <= length(line) * 10
+    (length(line) - length(regexp_replace(line, '[!?#*$%&|<>]', '', 'g'))) * 100 <= length(line) * 10
     AND regexp_matches(line, '[\p{{L}}\p{{N}}]')
     AND length(line) - length(regexp_replace(line, '[|»›·•]', '', 'g')) < 3
     AND NOT regexp_matches(line, '(?i)^[\x20\x09-\x0D]*(home|menu|log ?in|log ?out|sign ?(in|up)|skip to (main )?content|next|previous|back to top|read more|share this|subscribe|search|contact us|about us)[\x20\x09-\x0D]*$')

@@ -263,18 +263,17 @@ def classes(sigs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def deduplicate(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One document of each component: the one with the smallest doc_id (null ids last; of
-    rows with the same id one is kept). The columns of ``documents``."""
-    docs = docs.select(DOCUMENT_COLUMNS)
-    identity = F.xxhash64(*DOCUMENT_COLUMNS)
-    sigs = stored(fingerprints(docs.select("doc_id", "text", identity.alias("k")), shingle), "simhash")
+    rows with the same id one is kept; of a component whose rows all lack an id, one row of
+    each fingerprint). The columns of ``documents``."""
+    # two hashes of the whole row name it in 128 bits, null columns included
+    docs = docs.select(*DOCUMENT_COLUMNS, F.xxhash64(*DOCUMENT_COLUMNS).alias("a"),
+                       F.xxhash64(F.lit(1), *DOCUMENT_COLUMNS).alias("b"))
+    sigs = stored(fingerprints(docs.select("doc_id", "text", "a", "b"), shingle), "simhash")
     c = classes(sigs, radius)
-    # a component without any id is named by its smallest fingerprint's rows
+    # a component without any id keeps one row of each fingerprint
     best = c.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("f")).agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "k")).alias("x")) \
-        .select(F.col("x.doc_id").alias("i"), F.col("x.k").alias("k2"))
-    rows = docs.withColumn("k", identity)
-    kept = rows.join(best, rows.doc_id.eqNullSafe(best.i) & (rows.k == best.k2), "left_semi")
-    return kept.dropDuplicates(["doc_id", "k"]).select(DOCUMENT_COLUMNS)
+        F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "a", "b")).alias("x")).select("x.a", "x.b")
+    return docs.join(best, ["a", "b"], "left_semi").dropDuplicates(["a", "b"]).select(DOCUMENT_COLUMNS)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
