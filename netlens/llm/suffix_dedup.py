@@ -9,10 +9,10 @@ document with a smaller id, or earlier in the same one. Matches never cross docu
    ``GRAM``-byte grams. Equal strings have equal anchors at equal places, so strings can only
    meet under an anchor that occurs twice or more. Anchors are counted by packed numbers;
    within a task's batch equal ones are combined first.
-3. For every occurrence of a repeated anchor, the region of all strings that have it goes to
-   the anchor's shard. Within a batch equal regions are combined: the first one goes, the
-   others are repeats of it.
-4. A shard's regions are joined and sorted as suffixes by induced sorting; permuted common
+3. For every occurrence of a repeated anchor, the region of the strings that have it there goes
+   to the anchor's shard. Within a batch, and again in the shard, equal regions are combined:
+   the first one goes on, the others are repeats of it.
+4. A shard's different regions are joined and sorted as suffixes by induced sorting; permuted common
    prefixes of ``LENGTH`` or more tie suffixes to groups; all but the earliest member of a
    group start a removed string.
 5. Anchors with more than ``HOT`` occurrences would make one shard too large. Their strings go
@@ -63,14 +63,15 @@ def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
     return h
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the anchors of all ``length``-byte strings of ``data``."""
+def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Hash of each anchor of ``data``, and the first and last start of the ``length``-byte
+    strings that have it: the leftmost least gram moves to the right from string to string, so
+    these are runs, and each string is in one of them."""
     if len(data) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     h = gram_hashes(data, gram)
     w = length - gram + 1            # grams of a string
-    at = np.arange(len(h))
-    least, width = at, 1             # leftmost least gram of ``width`` grams, by doubling
+    least, width = np.arange(len(h)), 1  # leftmost least gram of ``width`` grams, by doubling
     while 2 * width <= w:
         a, b = least[:-width], least[width:]
         least = np.where(h[b] < h[a], b, a)
@@ -79,8 +80,8 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
     if rest:
         a, b = least[:-rest], least[rest:]
         least = np.where(h[b] < h[a], b, a)
-    at = least[np.r_[True, least[1:] != least[:-1]]]
-    return at, h[at]
+    first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+    return h[least[first]], first, np.r_[first[1:], len(least)] - 1
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -119,7 +120,7 @@ def _count_batches(buckets: int):
             k1, k2 = (b.column(c).to_numpy() for c in ("k1", "k2"))
             hs, docs, ns = [], [], []
             for i, text in enumerate(_texts(b)):
-                _, h = anchors(np.frombuffer(text, np.uint8))
+                h, _, _ = anchors(np.frombuffer(text, np.uint8))
                 u, n = np.unique(h, return_counts=True)
                 hs.append(u)
                 ns.append(n)
@@ -228,18 +229,17 @@ def _send(hot: np.ndarray):
             best: dict = {}   # (kind, key, body) -> earliest (k1, k2, start)
             spans: list[tuple] = []
             for text, k1, k2, want in zip(_texts(b), b.column("k1").to_pylist(), b.column("k2").to_pylist(), b.column("hashes")):
-                at, h = anchors(np.frombuffer(text, np.uint8))
+                h, lo, hi = anchors(np.frombuffer(text, np.uint8))
                 h = h.view(np.int64)
                 pick = np.isin(h, want.values.to_numpy(zero_copy_only=False))
-                at, h = at[pick], h[pick]
+                h, lo, hi = h[pick], lo[pick], hi[pick]
                 is_hot = np.isin(h, hot)
-                for p, x, digest in zip(at.tolist(), h.tolist(), is_hot.tolist()):
-                    s, e = max(0, p + GRAM - LENGTH), min(len(text), p + LENGTH)
+                for x, s, e, digest in zip(h.tolist(), lo.tolist(), hi.tolist(), is_hot.tolist()):
                     if digest:
                         items = [(DIGEST, None, hashlib.blake2b(text[i:i + LENGTH], digest_size=16).digest(), i)
-                                 for i in range(s, e - LENGTH + 1)]
+                                 for i in range(s, e + 1)]
                     else:
-                        items = [(REGION, x, text[s:e], s)]
+                        items = [(REGION, x, text[s:e + LENGTH], s)]
                     for kind, key, body, i in items:
                         me, other = (k1, k2, i), best.get((kind, key, body))
                         if other is None or me < other:
@@ -269,46 +269,33 @@ def _joined(spans: list[tuple]) -> list[tuple]:
     return [tuple(x) for x in out]
 
 
-def shard_repeats(key: np.ndarray, k1: np.ndarray, k2: np.ndarray, start: np.ndarray, body: list[bytes]) -> list[tuple]:
-    """(k1, k2, start, length) of strings of the regions that start earlier elsewhere."""
-    spans: list[tuple] = []
-    best: dict = {}
-    for i, x in enumerate(body):  # equal regions of a shard: all but the earliest repeat
-        me, other = (int(k1[i]), int(k2[i]), int(start[i]), i), best.get((key[i], x))
-        if other is None or me < other:
-            best[key[i], x] = me
-        if other is not None and other[:3] != me[:3]:
-            spans.append((*max(me, other)[:3], len(x)))
-    left = [v[3] for v in best.values() if len(body[v[3]]) >= LENGTH]
-    if len(left) < 2:
-        return spans
-    lens = np.array([len(body[i]) for i in left])
+def shard_repeats(k1: np.ndarray, k2: np.ndarray, start: np.ndarray, body: list[bytes]) -> list[tuple]:
+    """(k1, k2, start, length) of strings of the regions that start earlier in another."""
+    lens = np.array([len(x) for x in body])
     ends = np.cumsum(lens + 1)
     # bytes stand for 2.., a separator for 1, the end for 0
     t = np.ones(int(ends[-1]) + 1, np.int32)
     t[-1] = 0
-    flat = np.frombuffer(b"".join(body[i] for i in left), np.uint8)
-    of = np.repeat(np.arange(len(left)), lens)
+    flat = np.frombuffer(b"".join(body), np.uint8)
+    of = np.repeat(np.arange(len(body)), lens)
     place = np.arange(len(flat)) + of
     t[place] = flat.astype(np.int32) + 2
     sa = suffix_array(t)
     lcp = permuted_lcp(t, sa)[sa]
     region = np.searchsorted(ends, sa, side="right")
-    region = np.minimum(region, len(left) - 1)
+    region = np.minimum(region, len(body) - 1)
     whole = sa + LENGTH <= (ends - 1)[region]  # the string ends before the separator
     whole[0] = False
     group = np.cumsum(lcp < LENGTH)
     keep = np.flatnonzero(whole)
     group, region, pos = group[keep], region[keep], sa[keep].astype(np.int64)
-    at = np.array(left)[region]
-    a, b, c = k1[at], k2[at], start[at] + pos - (ends - 1 - lens)[region]
+    a, b, c = k1[region], k2[region], start[region] + pos - (ends - 1 - lens)[region]
     order = np.lexsort((c, b, a, group))
     group, a, b, c = group[order], a[order], b[order], c[order]
     head = np.r_[True, group[1:] != group[:-1]] if len(group) else np.zeros(0, bool)
     lead = np.flatnonzero(head)[np.cumsum(head) - 1] if len(group) else np.zeros(0, np.int64)
     later = (a != a[lead]) | (b != b[lead]) | (c != c[lead])
-    spans += [(x, y, z, LENGTH) for x, y, z in zip(a[later].tolist(), b[later].tolist(), c[later].tolist())]
-    return spans
+    return [(x, y, z, LENGTH) for x, y, z in zip(a[later].tolist(), b[later].tolist(), c[later].tolist())]
 
 
 def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,12 +305,13 @@ def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["k1", "k2", "start", "end"])
 
-    held: list[tuple] = []
+    shard: list[tuple] = []   # regions to sort: of anchors with two or more different ones
+    group: list[tuple] = []   # different regions of the current anchor
     size, digest, first = 0, None, None
 
     def close() -> Iterator[pa.RecordBatch]:
-        key, k1, k2, start = (np.array([r[k] for r in held], np.int64) for k in range(4))
-        yield from out(shard_repeats(key, k1, k2, start, [r[4] for r in held]))
+        k1, k2, start = (np.array([r[k] for r in shard], np.int64) for k in (1, 2, 3))
+        yield from out(shard_repeats(k1, k2, start, [r[4] for r in shard]))
 
     for b in batches:
         spans: list[tuple] = []
@@ -335,14 +323,23 @@ def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     digest, first = body, (k1, k2, start)
                 elif (k1, k2, start) != first:
                     spans.append((k1, k2, start, LENGTH))
+            elif group and group[-1][0] == key and group[-1][4] == body:
+                if group[-1][1:4] != (k1, k2, start):  # equal regions: the earliest comes first
+                    spans.append((k1, k2, start, len(body)))
             else:
-                if size >= SHARD_BYTES and held[-1][0] != key:
-                    yield from close()
-                    held, size = [], 0
-                held.append((key, k1, k2, start, body))
-                size += len(body)
+                if group and group[0][0] != key:
+                    if len(group) > 1:
+                        shard += group
+                        size += sum(len(r[4]) for r in group)
+                    group = []
+                    if size >= SHARD_BYTES:
+                        yield from close()
+                        shard, size = [], 0
+                group.append((key, k1, k2, start, body))
         yield from out(spans)
-    if held:
+    if len(group) > 1:
+        shard += group
+    if shard:
         yield from close()
 
 
