@@ -4,8 +4,8 @@ Engines round ties differently (decimal HALF_UP of the shortest repr, binary
 half-even, scaled binary); means of few-decimal values hit ties often. The
 report rule is built from IEEE operations only, so every engine gives the same
 bits for the same input: sign(x) * floor(|x| * 10^d + 0.5) / 10^d (half away
-from zero). Values of magnitude 1e9 and more carry no such decimals in a double
-and are returned unchanged (this also keeps ``floor`` inside the long range).
+from zero). From 2^53 / 10^d on a double has no d-th decimal and the scaled value
+is no longer exact; such values are returned unchanged.
 """
 
 from __future__ import annotations
@@ -15,17 +15,21 @@ import math
 from pyspark.sql import Column, functions as F
 
 DIGITS = 6
-LIMIT = 1e9
+
+
+def limit(digits: int = DIGITS) -> float:
+    """Magnitude from which a double has no ``digits``-th decimal."""
+    return float(2 ** 53) / float(10 ** digits)
 
 
 def report_round(c: Column, digits: int = DIGITS) -> Column:
     scale = float(10 ** digits)
     rounded = F.signum(c) * F.floor(F.abs(c) * scale + 0.5) / scale
-    return F.when(F.abs(c) < LIMIT, rounded).otherwise(c)
+    return F.when(F.abs(c) < limit(digits), rounded).otherwise(c)
 
 
 def report_round_py(x: float | None, digits: int = DIGITS) -> float | None:
-    if x is None or math.isnan(x) or abs(x) >= LIMIT:
+    if x is None or math.isnan(x) or abs(x) >= limit(digits):
         return x
     scale = float(10 ** digits)
     return math.copysign(1.0, x) * math.floor(abs(x) * scale + 0.5) / scale if x != 0 else 0.0
@@ -33,5 +37,5 @@ def report_round_py(x: float | None, digits: int = DIGITS) -> float | None:
 
 def report_round_sql(expr: str, digits: int = DIGITS) -> str:
     scale = f"{float(10 ** digits)!r}"
-    return (f"(CASE WHEN abs({expr}) < {LIMIT!r} THEN sign({expr}) * floor(abs({expr}) * {scale} + 0.5)"
+    return (f"(CASE WHEN abs({expr}) < {limit(digits)!r} THEN sign({expr}) * floor(abs({expr}) * {scale} + 0.5)"
             f" / {scale} ELSE {expr} END)")

@@ -2,73 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from ..functions.time import HOUR, hour_of
-from .bounded import collect_bounded
-
-
-MAX_HOURS = 1_000_000  # ~114 years of hours: 16 MB of (hour, count) at most
 
 
 def hourly_dense(df: DataFrame, where: Column | None = None, name: str = "count",
-                 ts: str = "ts", max_hours: int = MAX_HOURS) -> DataFrame:
-    """Rows per hour for EVERY hour from the first to the last matching row.
-
-    One scan: the hourly counts are a partial+final aggregate (one row per hour
-    present). The gaps are filled from that aggregate alone: ordered by hour,
-    each row is exploded into itself plus the empty hours up to the next one
-    (``lead``). That ordered pass sees one row per hour present, never the raw
-    rows; the first-to-last span is checked against ``max_hours`` (a corrupt
-    timestamp fails the query instead of generating an unbounded spine).
-    """
+                 ts: str = "ts") -> DataFrame:
+    """Rows per hour for EVERY hour from the first to the last matching row. The raw rows
+    are read once, into one count per hour present."""
     d = df.where(F.col(ts).isNotNull())
     if where is not None:
         d = d.where(where)
     counts = d.groupBy(hour_of(ts).alias(HOUR)).agg(F.count(F.lit(1)).alias(name))
-    return fill_hours(counts, name, max_hours)
-
+    return fill_hours(counts, name)
 
-def fill_hours(counts: DataFrame, name: str = "count", max_hours: int = MAX_HOURS) -> DataFrame:
-    """Dense series from (hour, count) rows of the hours present: every hour from the
-    first to the last, gaps as 0. Works on the per-hour aggregate only."""
-    one_hour = F.expr("INTERVAL 1 HOUR")
-    w = Window.orderBy(HOUR)
-    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    last = F.coalesce(F.col("__next") - one_hour, F.col(HOUR))
-    span = F.expr("timestampdiff(HOUR, __lo, __hi)")
-    hours = F.when(span > max_hours,
-                   F.raise_error(F.lit(f"hour span exceeds max_hours={max_hours}"))) \
-             .otherwise(F.sequence(F.col(HOUR), last, one_hour))
-    return (counts.select(HOUR, name, F.lead(HOUR).over(w).alias("__next"),
-                          F.min(HOUR).over(every).alias("__lo"), F.max(HOUR).over(every).alias("__hi"))
-                  .select(F.explode(hours).alias("__h"), HOUR, name)
-                  .select(F.col("__h").alias(HOUR),
-                          F.when(F.col("__h") == F.col(HOUR), F.col(name))
-                           .otherwise(F.lit(0).cast("bigint")).alias(name)))
 
+def fill_hours(counts: DataFrame, name: str = "count") -> DataFrame:
+    """Dense series from (hour, count) rows of the hours present: every hour from the first to
+    the last, gaps as 0.
 
-def discover_values(df: DataFrame, col: str, max_values: int = 1000) -> list:
-    """Distinct non-NULL values of a low-cardinality column, sorted; refuses more than
-    ``max_values`` (the fetch itself is capped, so the driver never sees more)."""
-    rows = collect_bounded(df.where(F.col(col).isNotNull()).select(col).distinct(), max_values + 1)
-    if len(rows) > max_values:
-        raise ValueError(f"{col} has more than {max_values} distinct values; pass them explicitly")
-    return sorted(r[0] for r in rows)
+    The spine grows from one row (first, last): a row per day, dealt out by day, then a row per
+    hour of each day, and the counts join it on the hour. No window over the whole series."""
+    span = counts.agg(F.min(HOUR).alias("__lo"), F.max(HOUR).alias("__hi")).where(F.col("__lo").isNotNull())
+    one_day, one_hour = F.expr("INTERVAL 1 DAY"), F.expr("INTERVAL 1 HOUR")
+    day = lambda c: F.date_trunc("DAY", c).cast(counts.schema[HOUR].dataType)
+    days = span.select("__lo", "__hi", F.explode(F.sequence(day(F.col("__lo")), day(F.col("__hi")), one_day)).alias("__d")) \
+        .repartition("__d")
+    hours = F.sequence(F.greatest("__lo", "__d"), F.least(F.col("__hi"), F.col("__d") + F.expr("INTERVAL 23 HOUR")), one_hour)
+    return days.select(F.explode(hours).alias(HOUR)).join(counts.select(HOUR, name), HOUR, "left") \
+        .select(HOUR, F.coalesce(F.col(name), F.lit(0).cast("bigint")).alias(name))
 
 
-def crosstab(df: DataFrame, key: str, col: str, values: list | None = None,
-             max_values: int = 1000) -> DataFrame:
-    """Per ``key``, the row count of each ``col`` value, gaps as 0.
+def crosstab(df: DataFrame, key: str, col: str, values: Sequence) -> DataFrame:
+    """Per ``key``, the row count of each of ``values`` in ``col``, gaps as 0.
 
-    One conditional aggregate per value: a single shuffle on ``key`` with
-    map-side partial counts (``pivot`` would aggregate twice). Values are
-    discovered when not given (as the source's unstack does)."""
+    One conditional aggregate per value: a single shuffle on ``key`` with map-side partial
+    counts (``pivot`` would aggregate twice). The values are a parameter, so building the plan
+    runs no job; keys whose rows hold other values only count 0 everywhere."""
     d = df.where(F.col(key).isNotNull() & F.col(col).isNotNull())
-    if values is None:
-        values = discover_values(d, col, max_values)
-    aggs = [F.count_if(F.col(col) == F.lit(v)).alias(str(v)) for v in values]
-    if not aggs:
-        return d.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).drop("__n")
-    return d.groupBy(key).agg(*aggs)
+    return d.groupBy(key).agg(*[F.count_if(F.col(col) == F.lit(v)).alias(str(v)) for v in values])

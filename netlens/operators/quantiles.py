@@ -1,296 +1,69 @@
-"""Exact, interpolated quantiles without one task holding every distinct value.
-
-Spark's exact ``percentile`` merges a value->count map of the WHOLE column
-into the single task of a global aggregate: unbounded at scale. Here the
-driver only ever holds bounded summaries:
-
-0. an input Catalyst estimates as small (no job needed) is answered by one
-   capped job fetching each column's (value, count) table; past the cap, or for
-   a large input, the stats-first path runs:
-1. one aggregate per column: count, mean, std, min, max and an approximate
-   distinct count; a column with at most ``cap`` distinct values has its
-   (value, count) table fetched in one capped job; for the others, ``bins``
-   approximate quantiles (a bounded sketch per task);
-2. the approximate quantiles become bucket edges; one more aggregate counts rows
-   and (approximately) distinct values per (column, bucket): at most
-   ``columns x (bins + 1)`` rows reach the driver;
-3. the cumulative bucket counts locate the bucket and offset of every rank the
-   interpolation needs; only those buckets' (value, count) pairs are fetched,
-   behind a hard row cap. A bucket whose distinct values exceed the cap is
-   refined again (new edges inside its range, with equal-width edges added so
-   every round narrows the range) until it fits.
-
-Interpolation is the linear rule of pandas ``describe`` / SQL
-``percentile_cont``: position p*(n-1) between the two neighbouring order
-statistics.
+"""Exact, interpolated quantiles as one lazy plan.
+
+Spark's exact ``percentile`` merges a value -> count map of the whole column into the single
+task of a global aggregate. Here the values are cut into buckets first:
+
+1. rows become (column, value, n) by one aggregate with map-side combine;
+2. ``bins`` approximate quantiles of the distinct values are the bucket edges of each column
+   (one row per column, so the broadcast is bounded by columns x bins);
+3. rows are counted per bucket and cumulated over the buckets of a column (at most ``bins``
+   rows each);
+4. only the buckets that hold a rank the interpolation needs go on (at most two per probability
+   and column, each a ``bins``-th of the distinct values); there the values are cumulated in
+   order, and the order statistics are interpolated by one aggregate.
+
+No step collects, and nothing depends on the size of the input; the exchange of step 1 is
+shared by the steps that follow. Interpolation is the linear rule of pandas ``describe`` / SQL
+``percentile_cont``: position p * (n - 1) between the two neighbouring order statistics.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, functions as F
-
-from .bounded import collect_bounded
-
-CI, V, B = "__ci", "__v", "__b"
-
-
-def _d(ci: int) -> str:
-    return f"__d{ci}"
-
-
-def _ranks(n: int, probs: Sequence[float]) -> list[int]:
-    out = set()
-    for p in probs:
-        pos = p * (n - 1)
-        out.add(int(math.floor(pos)))
-        out.add(int(math.ceil(pos)))
-    return sorted(out)
-
-
-def _interp(order_stat: dict[int, float], n: int, probs: Sequence[float]) -> list[float]:
-    res = []
-    for p in probs:
-        pos = p * (n - 1)
-        lo, hi = int(math.floor(pos)), int(math.ceil(pos))
-        a, b = order_stat[lo], order_stat[hi]
-        res.append(a + (b - a) * (pos - lo))
-    return res
-
-
-def _edges(lo: float, hi: float, approx: Sequence[float], vmin, vmax, bins: int) -> list[float]:
-    """Strictly increasing edges from -inf to +inf; [lo, hi) is a union of buckets.
-
-    Inner edges are the approximate quantiles inside (lo, hi) plus equal-width
-    points between the observed min and max, so each refinement narrows."""
-    inner = {x for x in (approx or []) if x is not None and lo < x < hi}
-    if vmin is not None and vmax is not None and vmax > vmin:
-        step = (vmax - vmin) / bins
-        inner.update(vmin + step * i for i in range(1, bins) if lo < vmin + step * i < hi)
-    inner.update(x for x in (lo, hi) if math.isfinite(x))
-    return [-math.inf] + sorted(inner) + [math.inf]
-
-
-def _in_range(lo: float, hi: float):
-    c = F.col(V) >= lo if math.isfinite(lo) else F.lit(True)
-    return c & (F.col(V) < hi) if math.isfinite(hi) else c
-
-
-def _stack(wide: DataFrame, cis: Sequence[int], extra: Sequence[str] = ()) -> DataFrame:
-    """(column index, value[, extra]) rows for the given wide columns; NULL/NaN dropped."""
-    items = [F.struct(F.lit(ci).alias(CI), F.col(_d(ci)).alias(V),
-                      *[F.col(f"{x}{ci}").alias(x) for x in extra]) for ci in cis]
-    s = wide.select(F.explode(F.array(*items)).alias("__s")).select("__s.*")
-    return s.where(F.col(V).isNotNull() & ~F.isnan(V))
-
-
-def _histogram(wide: DataFrame, tasks, edges: dict[int, list[float]], rsd: float) -> dict:
-    """Rows and approximate distinct values per (column, bucket) inside each task range:
-    one job for all tasks of the round (at most one task per column)."""
-    cis = [t[0] for t in tasks]
-    bz = Bucketizer(splitsArray=[edges[ci] for ci in cis], inputCols=[_d(ci) for ci in cis],
-                    outputCols=[f"{B}{ci}" for ci in cis], handleInvalid="keep")
-    s = _stack(bz.transform(wide.select(*[_d(ci) for ci in cis])), cis, extra=[B])
-    cond = None
-    for t in tasks:
-        c = (F.col(CI) == t[0]) & _in_range(t[1], t[2])
-        cond = c if cond is None else cond | c
-    rows = (s.where(cond).groupBy(CI, B)
-              .agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(V, rsd).alias("nd"))
-              .collect())
-    out: dict[int, dict[int, tuple[int, int]]] = {}
-    for r in rows:
-        out.setdefault(r[CI], {})[int(r[B])] = (r["n"], r["nd"])
-    return out
-
-
-def _fetch(wide: DataFrame, targets, cap: int) -> dict:
-    """Sorted (value, count) pairs of each target range ``(ci, lo, hi)`` in ONE job.
-
-    The result is capped at ``len(targets) * cap + 1`` rows. Under the cap every
-    target is complete ({index: pairs}, empty ranges included); over it, each
-    target is fetched alone under ``cap`` and the ones still over it are left
-    out (the caller refines them)."""
-    tid = None
-    for i, (ci, lo, hi) in enumerate(targets):
-        cond = (F.col(CI) == ci) & _in_range(lo, hi)
-        tid = F.when(cond, F.lit(i)) if tid is None else tid.when(cond, F.lit(i))
-    cis = sorted({t[0] for t in targets})
-    limit = len(targets) * cap
-    rows = collect_bounded(_stack(wide.select(*[_d(ci) for ci in cis]), cis)
-                           .select(tid.alias("__t"), V).where(F.col("__t").isNotNull())
-                           .groupBy("__t", V).agg(F.count(F.lit(1)).alias("n")), limit + 1)
-    if len(rows) > limit:
-        if len(targets) == 1:
-            return {}
-        out = {}
-        for i, t in enumerate(targets):
-            one = _fetch(wide, [t], cap)
-            if 0 in one:
-                out[i] = one[0]
-        return out
-    by: dict[int, list] = {i: [] for i in range(len(targets))}
-    for r in rows:
-        by[r["__t"]].append((r[V], r["n"]))
-    return {i: sorted(p) for i, p in by.items()}
-
-
-def _walk(pairs, offsets: Sequence[int]) -> dict[int, float]:
-    out, seen, i = {}, 0, 0
-    offs = sorted(set(offsets))
-    for v, n in pairs:
-        while i < len(offs) and offs[i] < seen + n:
-            out[offs[i]] = v
-            i += 1
-        seen += n
-        if i == len(offs):
-            break
-    return out
-
-
-def _locate(hist: dict[int, tuple[int, int]], ranks: Sequence[int]):
-    """bucket -> [(rank, offset in bucket)] for ranks relative to the task range."""
-    need: dict[int, list[tuple[int, int]]] = {}
-    cum, i = 0, 0
-    rs = sorted(set(ranks))
-    for b in sorted(hist):
-        n = hist[b][0]
-        while i < len(rs) and rs[i] < cum + n:
-            need.setdefault(b, []).append((rs[i], rs[i] - cum))
-            i += 1
-        cum += n
-    return need
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df`` (from file sizes; no job runs)."""
-    try:
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        return int(size) if isinstance(size, int) else int(size.toString())
-    except Exception:  # noqa: BLE001 - no estimate: treat as large
-        return 1 << 62
-
-
-def _profiles_from_pairs(pairs: dict[int, list], cols, probs) -> list[dict]:
-    """All statistics from complete sorted (value, count) tables."""
-    out = []
-    for ci, c in enumerate(cols):
-        p = pairs.get(ci, [])
-        n = sum(k for _, k in p)
-        if n == 0:
-            out.append({"column_name": c, "count": 0, "mean": None, "std": None, "min": None,
-                        "max": None, "quantiles": [None] * len(probs)})
-            continue
-        mean = math.fsum(v * k for v, k in p) / n
-        std = math.sqrt(math.fsum(k * (v - mean) ** 2 for v, k in p) / (n - 1)) if n > 1 else None
-        ranks = _ranks(n, probs)
-        out.append({"column_name": c, "count": n, "mean": mean, "std": std, "min": p[0][0],
-                    "max": p[-1][0], "quantiles": _interp(_walk(p, ranks), n, probs)})
-    return out
-
-
-def column_profiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.25, 0.5, 0.75),
-                    bins: int = 1024, cap: int = 200_000, accuracy: int = 10_000,
-                    rsd: float = 0.05, max_rounds: int = 64,
-                    small_input_bytes: int = 64 << 20, persist: bool = False) -> list[dict]:
-    """count, mean, std, min, max and exact quantiles ``probs`` of each column.
-
-    An input Catalyst estimates below ``small_input_bytes`` holds few rows, hence
-    few distinct values: one capped (value, count) job answers everything. If the
-    cap is hit anyway, or the input is large, the stats-first path runs; with
-    ``persist`` its input is kept between its jobs (worth it when the input is an
-    aggregate)."""
-    wide = df.select(*[F.col(c).cast("double").alias(_d(i)) for i, c in enumerate(cols)])
-    if estimated_bytes(wide) <= small_input_bytes:
-        got = _fetch(wide, [(ci, -math.inf, math.inf) for ci in range(len(cols))], cap)
-        if all(ci in got for ci in range(len(cols))):
-            return _profiles_from_pairs(got, cols, probs)
-    if not persist:
-        return _stats_first(wide, cols, probs, bins, cap, accuracy, rsd, max_rounds)
-    wide = wide.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return _stats_first(wide, cols, probs, bins, cap, accuracy, rsd, max_rounds)
-    finally:
-        wide.unpersist()
-
-
-def _stats_first(wide: DataFrame, cols, probs, bins, cap, accuracy, rsd, max_rounds) -> list[dict]:
-    fracs = [i / bins for i in range(1, bins)]
-    first = (_stack(wide, range(len(cols))).groupBy(CI).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(V).alias("mean"), F.stddev_samp(V).alias("std"),
-        F.min(V).alias("min"), F.max(V).alias("max"),
-        F.approx_count_distinct(V, rsd).alias("nd")).collect())
-    stats = {r[CI]: r for r in first}
-    order_stats: dict[int, dict[int, float]] = {ci: {} for ci in stats}
-
-    # fast path: columns with few distinct values -> their whole (value, count)
-    # table, capped, in one job
-    few = [ci for ci, r in sorted(stats.items()) if r["nd"] <= cap]
-    got = _fetch(wide, [(ci, -math.inf, math.inf) for ci in few], cap) if few else {}
-    for i, ci in enumerate(few):
-        if i in got:
-            ranks = _ranks(stats[ci]["n"], probs)
-            vals = _walk(got[i], ranks)
-            order_stats[ci].update({k: vals[k] for k in ranks})
-    many = [ci for i, ci in enumerate(few) if i not in got]
-    many += [ci for ci in sorted(stats) if ci not in few]
-
-    # a task: (column, lo, hi, approx quantiles, min, max, [(absolute rank, rank in range)])
-    tasks = []
-    if many:
-        sk = (_stack(wide.select(*[_d(ci) for ci in many]), many).groupBy(CI)
-              .agg(F.percentile_approx(V, fracs, accuracy).alias("q")).collect())
-        sk = {r[CI]: r["q"] for r in sk}
-        tasks = [(ci, -math.inf, math.inf, sk.get(ci), stats[ci]["min"], stats[ci]["max"],
-                  [(k, k) for k in _ranks(stats[ci]["n"], probs)]) for ci in many]
-    rounds = 0
-    while tasks:
-        rounds += 1
-        if rounds > max_rounds:
-            raise RuntimeError("quantile refinement did not converge")
-        batch, rest, used = [], [], set()
-        for t in tasks:
-            (rest if t[0] in used else batch).append(t)
-            used.add(t[0])
-        edges = {t[0]: _edges(t[1], t[2], t[3], t[4], t[5], bins) for t in batch}
-        hist = _histogram(wide, batch, edges, rsd)
-        tasks = list(rest)
-        wanted = []  # (ci, lo, hi, [(abs rank, offset)], rel_to_abs) per bucket holding a rank
-        for t in batch:
-            ci, e, h = t[0], edges[t[0]], hist.get(t[0], {})
-            rel_to_abs = {rel: ab for ab, rel in t[6]}
-            for b, pairs in _locate(h, list(rel_to_abs)).items():
-                wanted.append((ci, e[b], e[b + 1], h[b][1],
-                               [(rel_to_abs[rel], off) for rel, off in pairs]))
-        small = [w for w in wanted if w[3] <= cap]
-        fetched = _fetch(wide, [(w[0], w[1], w[2]) for w in small], cap) if small else {}
-        for i, w in enumerate(small):
-            if i in fetched:
-                vals = _walk(fetched[i], [off for _, off in w[4]])
-                for ab, off in w[4]:
-                    order_stats[w[0]][ab] = vals[off]
-        for i, w in enumerate(wanted):
-            if w in small and small.index(w) in fetched:
-                continue
-            ci, blo, bhi = w[0], w[1], w[2]
-            # too many distinct values: new edges inside [blo, bhi) from a sketch of that range
-            sub = _stack(wide.select(_d(ci)), [ci]).where(_in_range(blo, bhi))
-            s = sub.agg(F.min(V).alias("min"), F.max(V).alias("max"),
-                        F.percentile_approx(V, fracs, accuracy).alias("q")).collect()[0]
-            tasks.append((ci, blo, bhi, s["q"], s["min"], s["max"], w[4]))
-
-    profiles = []
-    for ci, c in enumerate(cols):
-        r = stats.get(ci)
-        if r is None:
-            profiles.append({"column_name": c, "count": 0, "mean": None, "std": None,
-                             "min": None, "max": None, "quantiles": [None] * len(probs)})
-            continue
-        profiles.append({"column_name": c, "count": r["n"], "mean": r["mean"], "std": r["std"],
-                         "min": r["min"], "max": r["max"],
-                         "quantiles": _interp(order_stats[ci], r["n"], probs)})
-    return profiles
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+CI, V, N, B = "__ci", "__v", "__n", "__b"
+BINS = 1024
+
+
+def _bucket(edges: Column, v: Column, bins: int) -> Column:
+    """Number of ``edges`` (ascending, fewer than ``bins``) that are <= v, by bisection."""
+    def step(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        right = F.get(edges, mid) <= v
+        return F.when(s["lo"] >= s["hi"], s).otherwise(F.struct(
+            F.when(right, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(right, s["hi"]).otherwise(mid).alias("hi")))
+
+    start = F.struct(F.lit(0).alias("lo"), F.size(edges).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(bins.bit_length() + 1)), start, step)["lo"]
+
+
+def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.25, 0.5, 0.75),
+                     bins: int = BINS) -> DataFrame:
+    """(__ci, quantiles): exact quantiles ``probs`` of each column (by position in ``cols``);
+    NULL and NaN are skipped, a column without values has no row."""
+    items = [F.struct(F.lit(i).alias(CI), F.col(c).cast("double").alias(V)) for i, c in enumerate(cols)]
+    stacked = df.select(F.explode(F.array(*items)).alias("__s")).select("__s.*") \
+        .where(F.col(V).isNotNull() & ~F.isnan(V))
+    values = stacked.groupBy(CI, V).agg(F.count(F.lit(1)).alias(N))
+    shares = ", ".join(f"{i / bins!r}D" for i in range(1, bins))
+    edges = values.groupBy(CI).agg(F.expr(f"array_distinct(percentile_approx({V}, array({shares}), {8 * bins}))").alias("__e"))
+    buckets = values.join(F.broadcast(edges), CI).groupBy(CI, _bucket(F.col("__e"), F.col(V), bins).alias(B)).agg(
+        F.sum(N).alias("__rows"), F.min(V).alias("__from"), F.max(V).alias("__to"))
+    by_column = Window.partitionBy(CI)
+    buckets = buckets.select("*", F.sum("__rows").over(by_column).alias("__total"),
+                             (F.sum("__rows").over(by_column.orderBy(B)) - F.col("__rows")).alias("__before"))
+    pos = [F.lit(float(p)) * (F.col("__total") - 1) for p in probs]
+    ranks = F.array_distinct(F.array(*[f(p) for p in pos for f in (F.floor, F.ceil)]))
+    within = lambda r, first, n: (r >= first) & (r < first + n)
+    needed = buckets.withColumn("__ranks", F.filter(ranks, lambda r: within(r, F.col("__before"), F.col("__rows")))) \
+        .where(F.size("__ranks") > 0).select(F.col(CI).alias("__c"), B, "__from", "__to", "__before", "__total", "__ranks")
+    inside = values.join(F.broadcast(needed), (F.col(CI) == F.col("__c")) & F.col(V).between(F.col("__from"), F.col("__to")))
+    first = F.col("__before") + F.sum(N).over(Window.partitionBy(CI, B).orderBy(V)) - F.col(N)
+    stats = inside.withColumn("__first", first).withColumn(
+        "__rank", F.explode(F.filter("__ranks", lambda r: within(r, F.col("__first"), F.col(N)))))
+    at = lambda rank: F.max(F.when(F.col("__rank") == rank, F.col(V)))
+    low_high = [F.struct(at(F.floor(p)).alias("a"), at(F.ceil(p)).alias("z"), F.max(p - F.floor(p)).alias("f")) for p in pos]
+    return stats.groupBy(CI).agg(F.array(*low_high).alias("s")).select(
+        CI, F.transform("s", lambda x: x["a"] + (x["z"] - x["a"]) * x["f"]).alias("quantiles"))

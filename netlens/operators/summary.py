@@ -4,67 +4,47 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F, types as T
-
-from ..functions.rounding import report_round_py
-from .quantiles import column_profiles
-
-DESCRIBE_SCHEMA = T.StructType([
-    T.StructField("column_name", T.StringType()),
-    T.StructField("count", T.LongType()),
-    T.StructField("mean", T.DoubleType()),
-    T.StructField("std", T.DoubleType()),
-    T.StructField("min", T.DoubleType()),
-    T.StructField("q25", T.DoubleType()),
-    T.StructField("q50", T.DoubleType()),
-    T.StructField("q75", T.DoubleType()),
-    T.StructField("max", T.DoubleType()),
-])
-
-
-def _r(x, digits):
-    return None if x is None else (report_round_py(float(x), digits) if digits is not None else float(x))
-
-
-def describe_approx(df: DataFrame, cols: Sequence[str], digits: int | None = 6,
-                    accuracy: int = 10_000) -> list[tuple]:
-    """One job: the same statistics with ``percentile_approx`` quartiles (rank error
-    at most n / accuracy; each task keeps a bounded sketch)."""
-    aggs = []
-    for c in cols:
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..functions.rounding import report_round
+from .quantiles import CI, column_quantiles
+
+QUARTILES = (0.25, 0.5, 0.75)
+
+
+def _moments(df: DataFrame, cols: Sequence[str], approx: int | None = None) -> DataFrame:
+    """One row per column: count, mean, std, min, max (and approximate quartiles), from one
+    aggregate of the input."""
+    def of(c: str) -> list[Column]:
         x = F.col(c).cast("double")
         x = F.when(~F.isnan(x), x)
-        aggs += [F.count(x), F.avg(x), F.stddev_samp(x), F.min(x),
-                 F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy), F.max(x)]
-    r = df.agg(*aggs).first()
-    rows = []
-    for i, c in enumerate(cols):
-        n, mean, std, mn, qs, mx = r[6 * i: 6 * i + 6]
-        qs = qs or [None, None, None]
-        rows.append((c, int(n), _r(mean, digits), _r(std, digits), _r(mn, digits),
-                     *[_r(q, digits) for q in qs], _r(mx, digits)))
-    return rows
-
-
-def describe(df: DataFrame, cols: str | Sequence[str], digits: int | None = 6,
-             persist: bool = False, exact: bool = True, **quantile_opts) -> DataFrame:
-    """Count, mean, std (n-1), min, exact interpolated quartiles, max per column.
-
-    One row per column (long layout). NULL and NaN are skipped. The quartiles
-    are exact (see ``quantiles``); the driver receives only bounded summaries
-    and builds the small result. ``persist`` keeps the projected input between
-    the few jobs (useful when the input is itself an aggregate). ``exact=False``
-    computes approximate quartiles in a single job.
-    """
+        out = [F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+               F.min(x).alias("min"), F.max(x).alias("max")]
+        return out + [F.percentile_approx(x, list(QUARTILES), approx).alias("quantiles")] if approx else out
+
+    wide = df.agg(*[F.struct(*of(c)).alias(f"__m{i}") for i, c in enumerate(cols)])
+    rows = F.array(*[F.struct(F.lit(i).alias(CI), F.lit(c).alias("column_name"), F.col(f"__m{i}").alias("m"))
+                     for i, c in enumerate(cols)])
+    return wide.select(F.explode(rows).alias("r")).select(f"r.{CI}", "r.column_name", "r.m.*")
+
+
+def describe(df: DataFrame, cols: str | Sequence[str], digits: int | None = 6, exact: bool = True,
+             **quantile_opts) -> DataFrame:
+    """Count, mean, std (n-1), min, interpolated quartiles, max per column.
+
+    One row per column (long layout); NULL and NaN are skipped. The plan is lazy: moments are
+    one aggregate, the quartiles are exact (see ``quantiles``), and no job runs until the
+    result is used. ``exact=False`` takes the quartiles from bounded sketches in the same
+    aggregate (rank error at most n / 10,000)."""
     cols = [cols] if isinstance(cols, str) else list(cols)
-    if not exact:
-        return df.sparkSession.createDataFrame(describe_approx(df, cols, digits), DESCRIBE_SCHEMA)
-    profiles = column_profiles(df.select(*cols), cols, (0.25, 0.5, 0.75), persist=persist,
-                               **quantile_opts)
-    rows = [(p["column_name"], int(p["count"]), _r(p["mean"], digits), _r(p["std"], digits),
-             _r(p["min"], digits), *[_r(q, digits) for q in p["quantiles"]], _r(p["max"], digits))
-            for p in profiles]
-    return df.sparkSession.createDataFrame(rows, DESCRIBE_SCHEMA)
+    if exact:
+        d = _moments(df, cols).join(column_quantiles(df, cols, QUARTILES, **quantile_opts), CI, "left")
+    else:
+        d = _moments(df, cols, approx=10_000)
+    r = (lambda c: report_round(c, digits)) if digits is not None else (lambda c: c)
+    q = [r(F.get("quantiles", F.lit(i))).alias(n) for i, n in enumerate(("q25", "q50", "q75"))]
+    return d.select("column_name", "count", r(F.col("mean")).alias("mean"), r(F.col("std")).alias("std"),
+                    r(F.col("min")).alias("min"), *q, r(F.col("max")).alias("max"))
 
 
 def distinct_per_key(df: DataFrame, key: str, col: str, name: str = "n_distinct") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import predicates as P
@@ -12,6 +14,8 @@ from .registry import register
 
 # Fixed values (parameters of the analytics, as used by the source).
 FAILED_STATES = ["S0", "RSTO"]
+# The connection states that Zeek documents.
+CONN_STATES = ["S0", "S1", "SF", "REJ", "S2", "S3", "RSTO", "RSTR", "RSTOS0", "RSTRH", "SH", "SHR", "OTH"]
 BROADCAST_ADDRS = ["255.255.255.255", "172.30.30.255"]
 WATCHED_HOST = "172.30.30.250"
 HEAVY_BYTES = 1e6
@@ -108,7 +112,7 @@ def top_dest_ports(v: DataFrame) -> DataFrame:
                            "FROM v WHERE id_orig_h IS NOT NULL GROUP BY id_orig_h) f"))
 def fanout_summary(v: DataFrame) -> DataFrame:
     """Summary of the number of distinct destinations per source."""
-    return describe(distinct_per_key(v, "id_orig_h", "id_resp_h"), ["n_distinct"], persist=True)
+    return describe(distinct_per_key(v, "id_orig_h", "id_resp_h"), ["n_distinct"])
 
 
 @register("conn_fanout_over_10", "conn",
@@ -279,11 +283,11 @@ def tcp_bytes_summary(v: DataFrame) -> DataFrame:
 
 
 @register("conn_source_state_matrix", "conn",
-          "PIVOT (SELECT id_orig_h, conn_state FROM v WHERE id_orig_h IS NOT NULL "
-          "AND conn_state IS NOT NULL) ON conn_state USING count(*) GROUP BY id_orig_h")
-def source_state_matrix(v: DataFrame) -> DataFrame:
-    """Per source, connections in each state (one column per state seen)."""
-    return crosstab(v, "id_orig_h", "conn_state")
+          "SELECT id_orig_h, " + ", ".join(f"count(*) FILTER (WHERE conn_state = '{s}') AS \"{s}\"" for s in CONN_STATES)
+          + " FROM v WHERE id_orig_h IS NOT NULL AND conn_state IS NOT NULL GROUP BY id_orig_h")
+def source_state_matrix(v: DataFrame, states: Sequence[str] = CONN_STATES) -> DataFrame:
+    """Per source, connections in each state (one column per state)."""
+    return crosstab(v, "id_orig_h", "conn_state", states)
 
 
 @register("conn_high_bytes_per_pkt", "conn", S.detail(

@@ -79,7 +79,7 @@ def test_describe_matches_pandas(spark, values, cap):
     from netlens.operators import describe
     vals = [None if v is None else float(v) for v in values]
     df = spark.createDataFrame([(v,) for v in vals], "x double")
-    r = describe(df, "x", digits=None, cap=cap, bins=4).first()
+    r = describe(df, "x", digits=None, bins=cap).first()
     d = pd.Series(vals, dtype="float64").describe()
     assert r["count"] == int(d["count"])
     if r["count"] == 0:

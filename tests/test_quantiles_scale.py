@@ -1,5 +1,5 @@
-"""Exact quartiles on the driver's lineitem table (about 600,000 rows at sf0.1) with a small
-cap, so the histogram refinement path runs on real data; checked against DuckDB."""
+"""Exact quartiles on the driver's lineitem table (about 600,000 rows) and of the conn durations,
+both at sf0.1, checked against DuckDB."""
 
 import os
 
@@ -17,7 +17,7 @@ pytestmark = pytest.mark.skipif(not os.path.exists(f"{SF}/lineitem.parquet"), re
 def test_refinement_matches_duckdb(spark):
     li = spark.read.parquet(f"{SF}/lineitem.parquet")
     got = {r["column_name"]: r for r in
-           describe(li, COLS, small_input_bytes=0, cap=2_000, bins=32).collect()}
+           describe(li, COLS).collect()}
     con = duckdb.connect()
     for c in COLS:
         x = f"CAST({c} AS DOUBLE)"
@@ -26,3 +26,12 @@ def test_refinement_matches_duckdb(spark):
                            f"{report_round_sql(f'max({x})')} FROM read_parquet('{SF}/lineitem.parquet')").fetchone()
         r = got[c]
         assert (r["count"], r["min"], r["q25"], r["q50"], r["q75"], r["max"]) == tuple(want), c
+
+
+def test_conn_durations(spark):
+    import __spark_entry__ as E
+    from tools.compare_oracle import canon, duck
+    df = E.queries()["conn_duration_summary"](spark, SF)
+    res = duck(SF).execute(E.oracle_sql()["conn_duration_summary"])
+    cols = [d[0] for d in res.description]
+    assert canon(df.columns, [tuple(r) for r in df.collect()]) == canon(cols, res.fetchall())

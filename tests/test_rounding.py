@@ -10,7 +10,7 @@ def test_same_bits_everywhere(spark):
     rng = np.random.default_rng(7)
     # means of few-decimal values: exact ties at the 7th decimal are common
     vals = [float(x) for x in (rng.integers(-10**7, 10**7, 400) / 2 / 10**6)]
-    vals += [0.0158525, 2.5e-7, -2.5e-7, 0.0, 1e9, -3e12, 123456.0000005]
+    vals += [0.0158525, 2.5e-7, -2.5e-7, 0.0, 1e9, -3e12, 123456.0000005, 1e9 + 0.12345678, 2.0 ** 53 / 1e6 - 0.3]
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     got_spark = [r[0] for r in df.select(report_round(df["x"])).collect()]
     con = duckdb.connect()
