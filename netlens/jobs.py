@@ -14,7 +14,9 @@ as one table per analytic, plus the CSV export of the day.
 from __future__ import annotations
 
 import argparse
+import warnings
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from .plans.features import (dense_keys, feature_keys, frequency_keys, frequency_tables,
@@ -24,24 +26,34 @@ from .plans.registry import analytics
 from .schemas import REQUIRED
 from .sources.ingest import land, read_landed
 from .sources.sinks import export_csv, write_report
-from .sources.zeek import conform, read_log
+from .sources.zeek import SRC, conform, read_log
 
 
 def ingest(spark: SparkSession, raw_root: str, landed: str, dates: list[str] | None = None,
-           log_types: list[str] | None = None) -> None:
+           log_types: list[str] | None = None, allow_missing: bool = False) -> None:
+    """Reads the raw files of each day and type and lands them. A day without a folder is
+    skipped with a warning; a log that lacks a column its analytics read is an error that names
+    it (with ``allow_missing`` a warning, and the column reads as NULL)."""
     for d in dates or [None]:
         root = f"{raw_root.rstrip('/')}/{d}" if d else raw_root
         for t in log_types or list(REQUIRED):
-            df = read_log(spark, root, t)
-            if df.columns and "ts" in df.columns:
-                land(df, landed)
+            try:
+                df = read_log(spark, root, t)
+            except AnalysisException as e:
+                if d is None or e.getCondition() != "PATH_NOT_FOUND":
+                    raise
+                warnings.warn(f"no folder for {d}: {root}", stacklevel=2)
+                break
+            if SRC in df.columns and not df.isEmpty():
+                land(conform(df, t, allow_missing), landed)
 
 
 def report_tables(log: DataFrame, log_type: str, keys: list[str] | tuple | None = None,
-                  params: dict[str, dict] | None = None) -> dict[str, DataFrame]:
+                  params: dict[str, dict] | None = None, allow_missing: bool = False) -> dict[str, DataFrame]:
     """The named analytics of ``log_type`` on ``log`` (lazy DataFrames): all of them,
-    or ``keys``; ``params`` passes keyword arguments per key (day variants)."""
-    v = conform(log, log_type)
+    or ``keys``; ``params`` passes keyword arguments per key (day variants). A log that lacks a
+    column is refused by name unless ``allow_missing``."""
+    v = conform(log, log_type, allow_missing)
     params = params or {}
     return {a.key: a.build(v, **params.get(a.key, {})) for a in analytics(log_type)
             if keys is None or a.key in keys}
@@ -62,8 +74,7 @@ def report(spark: SparkSession, landed: str, log_type: str, date: str, out: str,
     unknown = sorted(set(wanted) - set(known))
     if unknown:
         raise ValueError(f"not {log_type} analytics: {unknown}")
-    log = read_landed(spark, landed, log_type, [date])
-    v = conform(log, log_type)
+    v = log = read_landed(spark, landed, log_type, [date])
     base = f"{out.rstrip('/')}/{log_type}/{date}"
     params = params or {}
     written, tables = [], {}
@@ -90,7 +101,7 @@ def report(spark: SparkSession, landed: str, log_type: str, date: str, out: str,
     tables.update(report_tables(log, log_type, rest, params))
     written += write_report(tables, base, fmt)
     if export:
-        export_csv(log, f"{base}/_export", log_type)
+        export_csv(read_landed(spark, landed, log_type, [date], all_columns=True), f"{base}/_export", log_type)
     return written
 
 
@@ -102,6 +113,7 @@ def main(argv: list[str] | None = None) -> None:
     i.add_argument("--landed", required=True)
     i.add_argument("--date", action="append")
     i.add_argument("--type", action="append")
+    i.add_argument("--allow-missing", action="store_true", help="land logs that lack columns (read as NULL)")
     r = sub.add_parser("report")
     r.add_argument("--landed", required=True)
     r.add_argument("--type", required=True)
@@ -119,7 +131,7 @@ def main(argv: list[str] | None = None) -> None:
     from .session import get_spark
     spark = get_spark()
     if a.cmd == "ingest":
-        ingest(spark, a.raw, a.landed, a.date, a.type)
+        ingest(spark, a.raw, a.landed, a.date, a.type, a.allow_missing)
     else:
         report(spark, a.landed, a.type, a.date, a.out, fmt=a.format, keys=a.key)
 

@@ -1,44 +1,42 @@
-"""Reading rotated Zeek TSV logs into typed DataFrames.
+"""Reading rotated Zeek TSV logs into typed DataFrames.
 
 File layout: ``<root>/<date>/<log_type>/<log_type>.<from>-<to>.log``. A file is
 tab-separated; lines starting with ``#`` are metadata, ``#fields`` names the
 columns of THAT file, ``-`` is NULL. Different files may carry different
 columns; the result is their union by name, with gaps as NULL.
 
-Plan: one text scan yields the ``#fields`` line of every file (a small table,
-one row per file, checkpointed and measured); the distinct header layouts (a
-handful) are collected, so each output column is a fixed-index pick per layout.
-Data lines are joined to their file's layout id: broadcast when the measured
-header table is small, otherwise a salted shuffle join so that one huge file
-does not land in one task. Values are then cast to the declared types.
+Plan: one aggregate over the lines yields the header of every file (one row per
+file, checkpointed and measured). Files with data but no ``#fields`` line, and
+files whose ``#fields`` lines differ, are refused by name. Data lines join their
+file's header and pick each column by its position there: broadcast when the
+measured header table is small, otherwise a salted shuffle join, with as many
+salts as the largest file needs, so that one huge file does not land in one
+task. Values are then cast to the declared types.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.utils import AnalysisException
-from pyspark.sql.window import Window
+import warnings
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schemas as Z
-from ..operators.bounded import collect_bounded
 from ..session import checkpoint_dir
 
-SRC, SIZE, LAYOUT, VALS = "src_file", "file_size", "__layout", "__vals"
-MAX_LAYOUTS = 1000
+SRC, SIZE, FIELDS, VALS = "src_file", "file_size", "__fields", "__vals"
 BROADCAST_HEADER_BYTES = 64 << 20
-SALT = 64
+BYTES_PER_SALT = 128 << 20
 
 
-def _lines(spark: SparkSession, path: str, log_type: str | None, recursive: bool,
-           pattern: str | None = None) -> DataFrame | None:
+def scan_lines(spark: SparkSession, path: str, log_type: str | None = None, recursive: bool = True,
+               pattern: str | None = None) -> DataFrame:
+    """(value, src_file, file_size): the lines of the matching files. A path that does not
+    exist is an error; a folder without matching files has no lines."""
     glob = pattern or (f"{log_type}*.log" if log_type else "*.log")
-    try:
-        return (spark.read.option("recursiveFileLookup", str(recursive).lower())
-                .option("pathGlobFilter", glob).text(path)
-                .select("value", F.col("_metadata.file_path").alias(SRC),
-                        F.col("_metadata.file_size").alias(SIZE)))
-    except AnalysisException:
-        return None
+    return (spark.read.option("recursiveFileLookup", str(recursive).lower())
+            .option("pathGlobFilter", glob).text(path)
+            .select("value", F.col("_metadata.file_path").alias(SRC),
+                    F.col("_metadata.file_size").alias(SIZE)))
 
 
 def _meta(prefix: str) -> Column:
@@ -48,12 +46,22 @@ def _meta(prefix: str) -> Column:
 
 
 def header_table(lines: DataFrame) -> DataFrame:
-    """(src_file, file_size, fields, types) from each file's ``#fields`` / ``#types`` lines;
-    only files with a ``#fields`` line. Two metadata rows per file reach the shuffle."""
-    return (lines.where(F.col("value").startswith("#fields\t") | F.col("value").startswith("#types\t"))
-            .groupBy(SRC).agg(F.max(SIZE).alias(SIZE), F.max(_meta("#fields")).alias("fields"),
-                              F.max(_meta("#types")).alias("types"))
-            .where(F.col("fields").isNotNull()))
+    """One row per file that has a line: src_file, file_size, layouts (its different
+    ``#fields`` lines), fields (the only one, else NULL), types, n_data. One partial row per
+    file and task reaches the shuffle."""
+    is_data = ~F.col("value").startswith("#") & (F.col("value") != "")
+    h = lines.groupBy(SRC).agg(F.max(SIZE).alias(SIZE), F.collect_set(_meta("#fields")).alias("layouts"),
+                               F.max(_meta("#types")).alias("types"), F.count_if(is_data).alias("n_data"))
+    return h.withColumn("fields", F.when(F.size("layouts") == 1, F.get("layouts", F.lit(0))))
+
+
+def refuse_unreadable(headers: DataFrame) -> None:
+    """Raises, naming files, where data lines have no header or more than one."""
+    bad = headers.where((F.size("layouts") > 1) | ((F.size("layouts") == 0) & (F.col("n_data") > 0)))
+    some = bad.select(SRC, F.size("layouts").alias("n")).orderBy(SRC).take(20)  # names for the message
+    if some:
+        names = ", ".join(f"{r[SRC]} ({'no #fields line' if not r['n'] else str(r['n']) + ' different #fields lines'})" for r in some)
+        raise ValueError(f"{bad.count()} files cannot be read by one header: {names}")
 
 
 # Zeek type names -> our column kinds.
@@ -96,6 +104,7 @@ def _convert(raw: Column, kind: str) -> Column:
 
 
 def _empty(spark: SparkSession, log_type: str | None) -> DataFrame:
+    from pyspark.sql import types as T
     st = Z.struct_for(log_type) if log_type in Z.REQUIRED else T.StructType(
         [T.StructField("ts", T.TimestampType())])
     st = st.add(SRC, T.StringType()).add("log_type", T.StringType()).add("log_date", T.DateType())
@@ -105,17 +114,14 @@ def _empty(spark: SparkSession, log_type: str | None) -> DataFrame:
 def read_log_declared(spark: SparkSession, path: str, log_type: str, fields: list[str],
                       recursive: bool = True) -> DataFrame:
     """One-scan reader for a fixed Zeek configuration: columns by position in
-    ``fields`` (no header pass). The CSV reader skips ``#`` lines and keeps
+    ``fields`` (no header pass over the text). The CSV reader skips ``#`` lines and keeps
     quotes as data; check headers with ``ingest.schema_conformance`` when the
     configuration may drift."""
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(fields))])
-    try:
-        raw = (spark.read.schema(schema).option("sep", "\t").option("comment", "#")
-               .option("quote", "\u0000").option("escape", "\u0000")
-               .option("recursiveFileLookup", str(recursive).lower())
-               .option("pathGlobFilter", f"{log_type}*.log").csv(path))
-    except AnalysisException:
-        return _empty(spark, log_type)
+    schema = ", ".join(f"c{i} string" for i in range(len(fields)))
+    raw = (spark.read.schema(schema).option("sep", "\t").option("comment", "#")
+           .option("quote", "\u0000").option("escape", "\u0000")
+           .option("recursiveFileLookup", str(recursive).lower())
+           .option("pathGlobFilter", f"{log_type}*.log").csv(path))
     cols = [_convert(F.col(f"c{i}"), _kind(log_type, f, set())).alias(Z.canonical(f))
             for i, f in enumerate(fields)]
     src = F.col("_metadata.file_path")
@@ -125,79 +131,57 @@ def read_log_declared(spark: SparkSession, path: str, log_type: str, fields: lis
 
 
 def read_log(spark: SparkSession, path: str, log_type: str | None = None, recursive: bool = True,
-             max_rows_per_file: int | None = None, cap_files_over_bytes: int | None = None,
              broadcast_header_bytes: int = BROADCAST_HEADER_BYTES,
              pattern: str | None = None) -> DataFrame:
     """All ``<log_type>*.log`` files under ``path`` as one typed DataFrame.
 
     ``pattern`` overrides the file-name glob, e.g. ``"conn*.log.gz"`` for
     compressed archives (decompressed by extension; one task per such file).
-
     ``log_type=None`` reads every ``*.log`` and takes the type from the parent
-    folder (S7). ``max_rows_per_file`` (off by default) keeps the first rows of a
-    file in event-time order, only for files over ``cap_files_over_bytes`` when
-    that is given (S3 / S4). Empty folders and header-only files give no rows.
+    folder (S7). Folders without matching files and header-only files give no
+    rows; a path that does not exist is an error.
     """
-    lines = _lines(spark, path, log_type, recursive, pattern)
-    if lines is None:
-        return _empty(spark, log_type)
-    # one row per file; written to the shared checkpoint folder (cuts the text-scan
-    # lineage, survives executor loss, pins no memory) and measured from there
+    return parse_lines(scan_lines(spark, path, log_type, recursive, pattern), log_type, broadcast_header_bytes)
+
+
+def parse_lines(lines: DataFrame, log_type: str | None = None,
+                broadcast_header_bytes: int = BROADCAST_HEADER_BYTES) -> DataFrame:
+    """Typed rows of ``lines`` (value, src_file, file_size); see ``read_log``."""
+    spark = lines.sparkSession
+    # written to the shared checkpoint folder (cuts the scan's lineage, survives executor
+    # loss, pins no memory) and measured from there
     checkpoint_dir(spark)
     headers = header_table(lines).checkpoint(eager=True)
-    meas = headers.agg(F.count(F.lit(1)).alias("n"),
+    refuse_unreadable(headers)
+    headers = headers.where(F.col("fields").isNotNull())
+    meas = headers.agg(F.count(F.lit(1)).alias("n"), F.max(SIZE).alias("largest"),
                        F.sum(F.length(F.concat_ws("\t", "fields")) + F.length(SRC)).alias("b")).first()
     if not meas["n"]:
         return _empty(spark, log_type)
-    got = collect_bounded(headers.select("fields", "types").distinct(), MAX_LAYOUTS + 1)
-    if len(got) > MAX_LAYOUTS:
-        raise ValueError(f"more than {MAX_LAYOUTS} distinct #fields layouts under {path}")
-    ztypes: dict[str, set] = {}
-    for r in got:
-        for i, f in enumerate(r["fields"]):
-            ztypes.setdefault(f, set()).add((r["types"] or [])[i] if i < len(r["types"] or []) else None)
-    layouts = sorted({tuple(r["fields"]) for r in got})
-    key = F.concat_ws("\t", "fields")
-    lid = None
-    for i, lay in enumerate(layouts):
-        cond = key == "\t".join(lay)
-        lid = F.when(cond, F.lit(i)) if lid is None else lid.when(cond, F.lit(i))
-    hdr = headers.select(SRC, lid.alias(LAYOUT))
+    # the result's columns: each name once, in order of its first place in a header
+    named = headers.select(F.posexplode("fields").alias("at", "f"), "types") \
+        .select("f", "at", F.get("types", F.col("at")).alias("t"))
+    names = named.groupBy("f").agg(F.min("at").alias("at"), F.collect_set("t").alias("ts")).orderBy("at", "f").collect()
 
+    hdr = headers.select(SRC, F.col("fields").alias(FIELDS))
     data = (lines.where(~F.col("value").startswith("#") & (F.col("value") != ""))
-                 .select(SRC, SIZE, F.split("value", "\t", -1).alias(VALS)))
+                 .select(SRC, F.split("value", "\t", -1).alias(VALS)))
     if meas["b"] <= broadcast_header_bytes:
         joined = data.join(F.broadcast(hdr), SRC)
     else:
-        # salted: each header row is replicated SALT times, data rows pick one copy by hash,
-        # so the rows of one large file spread over SALT reducers
-        salt = F.pmod(F.xxhash64(VALS), F.lit(SALT))
-        joined = (data.withColumn("__salt", salt)
-                  .join(hdr.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))),
+        # each header row is replicated once per salt and data rows pick one copy by hash, so
+        # the rows of the largest file spread over reducers of about BYTES_PER_SALT
+        salts = max(1, -(-int(meas["largest"] or 0) // BYTES_PER_SALT))
+        joined = (data.withColumn("__salt", F.pmod(F.xxhash64(VALS), F.lit(salts)))
+                  .join(hdr.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))),
                         [SRC, "__salt"]).drop("__salt"))
-
-    names: list[str] = []
-    for lay in layouts:
-        names += [f for f in lay if f not in names]
-    ltype = F.lit(log_type) if log_type else path_part(1)
     cols = []
-    for f in names:
-        pick = None
-        for i, lay in enumerate(layouts):
-            if f in lay:
-                val = F.try_element_at(VALS, F.lit(lay.index(f) + 1))
-                pick = (F.when(F.col(LAYOUT) == i, val) if pick is None
-                        else pick.when(F.col(LAYOUT) == i, val))
-        cols.append(_convert(pick, _kind(log_type, f, ztypes[f])).alias(Z.canonical(f)))
-    out = joined.select(*cols, F.col(SRC), F.col(SIZE), ltype.alias("log_type"),
-                        path_part(2).try_cast("date").alias("log_date"))
-    if max_rows_per_file is not None:
-        rn = F.row_number().over(Window.partitionBy(SRC).orderBy(F.col("ts").asc_nulls_last()))
-        keep = rn <= max_rows_per_file
-        if cap_files_over_bytes is not None:
-            keep = keep | (F.col(SIZE) <= cap_files_over_bytes)
-        out = out.withColumn("__keep", keep).where("__keep").drop("__keep")
-    return out.drop(SIZE)
+    for r in names:
+        at = F.array_position(FIELDS, F.lit(r["f"])).cast("int")  # 0: not in this file
+        raw = F.when(at > 0, F.get(VALS, at - 1))
+        cols.append(_convert(raw, _kind(log_type, r["f"], set(r["ts"]))).alias(Z.canonical(r["f"])))
+    ltype = F.lit(log_type) if log_type else path_part(1)
+    return joined.select(*cols, F.col(SRC), ltype.alias("log_type"), path_part(2).try_cast("date").alias("log_date"))
 
 
 def log_shape(df: DataFrame) -> DataFrame:
@@ -207,20 +191,27 @@ def log_shape(df: DataFrame) -> DataFrame:
 
 def list_files(spark: SparkSession, root: str, glob: str = "*") -> list[str]:
     """File paths under ``root`` from the file index (no content is read)."""
-    try:
-        return spark.read.format("binaryFile").option("recursiveFileLookup", "true") \
-            .option("pathGlobFilter", glob).load(root).inputFiles()
-    except AnalysisException:
-        return []
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true") \
+        .option("pathGlobFilter", glob).load(root).inputFiles()
+
 
+def missing_columns(df: DataFrame, log_type: str) -> list[str]:
+    """The columns that the analytics of ``log_type`` read and ``df`` lacks."""
+    return [f.name for f in Z.struct_for(log_type).fields if f.name not in df.columns]
 
 
-def conform(df: DataFrame, log_type: str) -> DataFrame:
-    """Add every column the analytics of ``log_type`` read that ``df`` lacks, as typed NULLs."""
+def conform(df: DataFrame, log_type: str, allow_missing: bool = False) -> DataFrame:
+    """``df`` if it has every column the analytics of ``log_type`` read. Otherwise an error that
+    names the absent ones; with ``allow_missing`` a warning that names them, and they are added
+    as typed NULLs."""
+    absent = missing_columns(df, log_type)
+    if not absent:
+        return df
+    if not allow_missing:
+        raise ValueError(f"{log_type} log lacks the columns {absent}")
+    warnings.warn(f"{log_type} log lacks the columns {absent}; they are read as NULL", stacklevel=2)
     st = Z.struct_for(log_type)
-    have = set(df.columns)
-    extra = [F.lit(None).cast(f.dataType).alias(f.name) for f in st.fields if f.name not in have]
-    return df.select("*", *extra) if extra else df
+    return df.select("*", *[F.lit(None).cast(st[c].dataType).alias(c) for c in absent])
 
 
 def stack_logs(*dfs: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import os
 
+import pytest
+
 from netlens import jobs
 from netlens.plans.registry import analytics
 
@@ -44,7 +46,8 @@ def test_ingest_then_report(spark, tmpdir_path):
 
 
 def test_conn_report_on_sparse_log(spark, tmpdir_path):
-    """A conn file with only a few columns still runs every conn analytic."""
+    """A conn file with only a few columns runs every conn analytic on request; otherwise the
+    absent columns are named."""
     raw = os.path.join(tmpdir_path, "raw")
     p = os.path.join(raw, "2025-01-09", "conn", "conn.1.log")
     os.makedirs(os.path.dirname(p))
@@ -52,7 +55,12 @@ def test_conn_report_on_sparse_log(spark, tmpdir_path):
         f.write("#fields\tts\tid.orig_h\tid.resp_h\tconn_state\tduration\n")
         f.write("1736380800.5\t10.0.0.1\t10.0.0.9\tS0\t0.2\n1736388000.5\t10.0.0.1\t10.0.0.8\tSF\t3.0\n")
     from netlens.sources.zeek import read_log
-    tables = jobs.report_tables(read_log(spark, raw, "conn"), "conn")
+    with pytest.raises(ValueError, match="id_orig_p.*history"):
+        jobs.report_tables(read_log(spark, raw, "conn"), "conn")
+    with pytest.raises(ValueError, match="orig_bytes"):
+        jobs.ingest(spark, raw, os.path.join(tmpdir_path, "landed"), ["2025-01-09"], ["conn"])
+    with pytest.warns(UserWarning, match="orig_bytes"):
+        tables = jobs.report_tables(read_log(spark, raw, "conn"), "conn", allow_missing=True)
     assert tables["conn_hourly"].count() == 3
     assert tables["conn_short_count"].first()[0] == 1
     for k, df in tables.items():
@@ -71,7 +79,6 @@ def test_conn_subset_day_variant(spark):
 
 
 def test_report_rejects_unknown_keys(spark, tmpdir_path):
-    import pytest
     with pytest.raises(ValueError):
         jobs.report(spark, os.path.join(tmpdir_path, "none"), "dns", "2025-01-09",
                     os.path.join(tmpdir_path, "o"), keys=["dns_no_such_key"])
@@ -110,7 +117,7 @@ def test_conn_report_shared_equals_unshared(spark, tmpdir_path):
         f.write("1736391600.5\t10.0.0.1\t10.0.0.8\t443\ttcp\tSF\t3.0\t2000000\n")
         f.write("1736398800.5\t10.0.0.2\t10.0.0.8\t53\tudp\tRSTO\t0.1\t5\n")
     landed = os.path.join(tmpdir_path, "landed")
-    jobs.ingest(spark, raw, landed, ["2025-01-09"], ["conn"])
+    jobs.ingest(spark, raw, landed, ["2025-01-09"], ["conn"], allow_missing=True)
     a = jobs.report(spark, landed, "conn", "2025-01-09", os.path.join(tmpdir_path, "a"), export=False)
     b = jobs.report(spark, landed, "conn", "2025-01-09", os.path.join(tmpdir_path, "b"), export=False,
                     shared=False)
@@ -122,3 +129,42 @@ def test_conn_report_shared_equals_unshared(spark, tmpdir_path):
         assert sorted(map(tuple, x), key=str) == sorted(map(tuple, y), key=str), key
     hourly = spark.read.parquet(os.path.join(tmpdir_path, "a", "conn", "2025-01-09", "conn_dns_hourly"))
     assert [r["count"] for r in hourly.orderBy("hour").collect()] == [1, 0, 0, 0, 0, 1]
+
+
+def _one_day(root, types=None):
+    """A small file of every type; each with all the columns its analytics read."""
+    from netlens import schemas as Z
+    value = {"ts": "1736380800.5", "id.orig_h": "10.0.0.1", "id.resp_h": "10.0.0.9", "rcode": "0", "qtype": "1", "query": "a.example",
+             "conn_state": "SF", "duration": "0.5", "orig_bytes": "10", "orig_pkts": "1", "name": "bad", "notice": "T", "success": "F"}
+    for t in types or Z.REQUIRED:
+        p = os.path.join(root, "2025-01-09", t, f"{t}.1.log")
+        os.makedirs(os.path.dirname(p))
+        with open(p, "w") as f:
+            f.write("#fields\t" + "\t".join(Z.REQUIRED[t]) + "\n" + "\t".join(value.get(c, "-") for c in Z.REQUIRED[t]) + "\n")
+
+
+def test_all_types_of_a_day_landed_together(spark, tmpdir_path):
+    """Every report of the shared landed root equals the report of the type landed alone."""
+    from netlens import schemas as Z
+    from netlens.sources.ingest import read_landed
+    raw, landed = os.path.join(tmpdir_path, "raw"), os.path.join(tmpdir_path, "landed")
+    _one_day(raw)
+    jobs.ingest(spark, raw, landed, ["2025-01-09"])
+    for t in Z.REQUIRED:
+        alone = os.path.join(tmpdir_path, "alone-" + t)
+        jobs.ingest(spark, raw, alone, ["2025-01-09"], [t])
+        a, b = (jobs.report_tables(read_landed(spark, x, t, ["2025-01-09"]), t) for x in (landed, alone))
+        for k in a:
+            assert sorted(map(tuple, a[k].collect()), key=str) == sorted(map(tuple, b[k].collect()), key=str), k
+    dns = jobs.report_tables(read_landed(spark, landed, "dns"), "dns")
+    assert [r["failed_ratio"] for r in dns["dns_failed_ratio_hourly"].collect()] == [0.0]
+    assert [tuple(r) for r in dns["dns_rcode_counts"].collect()] == [(0, 1)]
+
+
+def test_missing_day_is_a_warning(spark, tmpdir_path):
+    raw, landed = os.path.join(tmpdir_path, "raw"), os.path.join(tmpdir_path, "landed")
+    _one_day(raw, ["weird"])
+    with pytest.warns(UserWarning, match="2025-01-10"):
+        jobs.ingest(spark, raw, landed, ["2025-01-09", "2025-01-10"], ["weird"])
+    from netlens.sources.ingest import read_landed
+    assert read_landed(spark, landed, "weird").count() == 1

@@ -3,6 +3,8 @@
 import datetime as dt
 import os
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from netlens.sources import ingest
@@ -56,18 +58,42 @@ def test_salted_join_path(spark, tmpdir_path):
     assert df.count() == 2
 
 
-def test_empty_folder(spark, tmpdir_path):
-    df = read_log(spark, os.path.join(tmpdir_path, "nothing"), "conn")
+def test_empty_folder_and_missing_path(spark, tmpdir_path):
+    os.makedirs(os.path.join(tmpdir_path, "empty"))
+    df = read_log(spark, os.path.join(tmpdir_path, "empty"), "conn")
     assert df.count() == 0 and "id_orig_h" in df.columns
+    with pytest.raises(AnalysisException):
+        read_log(spark, os.path.join(tmpdir_path, "nothing"), "conn")
 
 
-def test_type_from_folder_and_row_cap(spark, tmpdir_path):
+def test_type_from_folder(spark, tmpdir_path):
     _write(tmpdir_path, "2025-01-11/nested/dns/dns.1.log",
            HEADER.replace("conn", "dns") + BODY)
     df = read_log(spark, tmpdir_path)
     assert [r["log_type"] for r in df.collect()] == ["dns", "dns"]
-    assert read_log(spark, tmpdir_path, max_rows_per_file=1).count() == 1
-    assert read_log(spark, tmpdir_path, max_rows_per_file=1, cap_files_over_bytes=10**9).count() == 2
+
+
+def test_file_without_header_is_refused_by_name(spark, tmpdir_path):
+    _write(tmpdir_path, "2025-01-09/conn/conn.a.log", HEADER + BODY)
+    _write(tmpdir_path, "2025-01-09/conn/conn.bare.log", BODY)
+    with pytest.raises(ValueError, match="conn.bare.log .no #fields line"):
+        read_log(spark, tmpdir_path, "conn")
+
+
+def test_file_with_two_headers_is_refused_by_name(spark, tmpdir_path):
+    swapped = HEADER.replace("#fields\tts\tid.orig_h", "#fields\tid.orig_h\tts")
+    _write(tmpdir_path, "2025-01-09/conn/conn.two.log", HEADER + BODY + swapped + "1.1.1.9\t1736400000.5\tT\t1\tx\n")
+    with pytest.raises(ValueError, match="conn.two.log .2 different #fields lines"):
+        read_log(spark, tmpdir_path, "conn")
+    _write(tmpdir_path, "again/conn/conn.same.log", HEADER + BODY + HEADER + BODY)  # the same header twice
+    assert read_log(spark, os.path.join(tmpdir_path, "again"), "conn").count() == 4
+
+
+def test_column_order_changes_between_files(spark, tmpdir_path):
+    _write(tmpdir_path, "2025-01-09/conn/conn.a.log", "#fields\tts\tproto\tid.orig_h\n1736400000.5\ttcp\t1.1.1.1\n")
+    _write(tmpdir_path, "2025-01-09/conn/conn.b.log", "#fields\tid.orig_h\tts\tproto\n1.1.1.2\t1736400000.5\tudp\n")
+    got = sorted((r["id_orig_h"], r["proto"]) for r in read_log(spark, tmpdir_path, "conn").collect())
+    assert got == [("1.1.1.1", "tcp"), ("1.1.1.2", "udp")]
 
 
 def test_classify_names(spark):
@@ -84,8 +110,13 @@ def test_schema_score(spark, tmpdir_path):
     good = "#fields\t" + "\t".join(["ts", "id.orig_h", "id.resp_h", "name", "notice", "source"]) + "\n"
     _write(tmpdir_path, "2025-01-09/weird/weird.1.log", good + "1\ta\tb\tn\tT\tx\n")
     _write(tmpdir_path, "2025-01-09/weird/weird.2.log", "#fields\tts\tname\n1\tn\n")
+    _write(tmpdir_path, "2025-01-09/weird/weird.3.log", "1\tn\n")  # no header: counts, and fails
+    _write(tmpdir_path, "2025-01-09/weird/weird.4.log", "")
     r = ingest.schema_score(spark, tmpdir_path).first()
-    assert (r["n_files"], r["n_ok"], r["score"]) == (2, 1, 0.5)
+    assert (r["n_files"], r["n_ok"], r["score"]) == (4, 1, 0.25)
+    bad = {os.path.basename(x["src_file"]): list(x["missing"]) for x in ingest.schema_conformance(spark, tmpdir_path).collect() if not x["ok"]}
+    assert len(bad["weird.3.log"]) == 6 and "source" in bad["weird.2.log"]
+    os.makedirs(os.path.join(tmpdir_path, "none"))
     assert ingest.schema_score(spark, os.path.join(tmpdir_path, "none")).first()["score"] is None
 
 
@@ -98,7 +129,12 @@ def test_land_idempotent_and_export(spark, tmpdir_path):
     ingest.land(df, out)
     back = ingest.read_landed(spark, out, "conn", ["2025-01-09"])
     assert back.count() == 2
+    assert "uri" not in back.columns and ingest.read_landed(spark, out, "conn", all_columns=True).select("uri").count() == 2
     csv = os.path.join(tmpdir_path, "csv")
+    derived = os.path.join(tmpdir_path, "csv2")
+    export_csv(spark.createDataFrame([(1.5, 100, 4)], "duration double, orig_bytes long, orig_pkts long"), derived, "conn")
+    r = spark.read.option("header", True).csv(derived).first()
+    assert (float(r["duration_seconds"]), float(r["bytes_per_pkt"])) == (1.5, 20.0)
     export_csv(df.select("ts", "id_orig_h"), csv, "conn")
     assert spark.read.option("header", True).csv(csv).columns == ["ts", "id.orig_h"]
     written = write_report({"shape": df.groupBy().count()}, os.path.join(tmpdir_path, "rep"))
