@@ -42,33 +42,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster this is set by the deployment (a shared file system) and is
     returned as is, so stream checkpoints under it survive restarts. When it is
-    unset (local tests), the context's checkpoint folder is used, or a scratch
+    unset, the context's checkpoint folder is used; on a local master a scratch
     folder is created and given to the context (``spark.checkpoint.dir`` is a
-    static setting and is not changed here)."""
+    static setting and is not changed here), on any other it is an error, as
+    executors would not share a local folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    current = None
-    try:
-        opt = spark.sparkContext._jsc.sc().getCheckpointDir()
-        current = opt.get() if opt.isDefined() else None
-    except Exception:  # noqa: BLE001 - no JVM context (e.g. Spark Connect)
-        pass
+    current = spark.sparkContext.getCheckpointDir()
     if base:
         if current is None:
-            _set_context_dir(spark, base)
+            spark.sparkContext.setCheckpointDir(base)
         return base
     app = spark.sparkContext.applicationId
     if app in _SCRATCH:
         return _SCRATCH[app]
     if current:
         return current
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     d = tempfile.mkdtemp(prefix="netlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    _set_context_dir(spark, d)
+    spark.sparkContext.setCheckpointDir(d)
     _SCRATCH[app] = d
     return d
-
-
-def _set_context_dir(spark: SparkSession, d: str) -> None:
-    try:
-        spark.sparkContext.setCheckpointDir(d)
-    except Exception:  # noqa: BLE001 - Spark Connect manages checkpoints server-side
-        pass

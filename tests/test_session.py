@@ -1,5 +1,7 @@
 """The checkpoint folder comes from the session; netlens never replaces a configured one."""
 
+import pytest
+
 from netlens.session import checkpoint_dir
 
 
@@ -38,3 +40,18 @@ def test_unset_checkpoint_setting_gets_a_stable_scratch_folder(tmpdir_path):
     env = dict(os.environ, SPARK_CONF_DIR=tmpdir_path)
     out = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=300)
     assert "OK" in out.stdout, out.stderr[-2000:]
+
+
+def test_no_local_folder_off_a_local_master(monkeypatch):
+    """Executors elsewhere would not share it."""
+    class Context:
+        master, applicationId = "spark://host:7077", "app-none"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_dir(Session())
