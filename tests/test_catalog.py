@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from netlens.plans import catalog
 from tools.compare_oracle import canon, duck
 
 SF = "/root/testdata/sf0.001"
@@ -19,8 +20,9 @@ def con():
 
 
 def test_every_query_has_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
-    assert len(E.queries()) >= 100
+    assert set(catalog.queries()) == set(catalog.oracle_sql())
+    assert len(catalog.queries()) >= 110
+    assert set(catalog.queries()) <= set(E.queries())
 
 
 def test_entry(spark):
@@ -29,7 +31,7 @@ def test_entry(spark):
     assert df.count() > 0
 
 
-@pytest.mark.parametrize("key", sorted(E.queries()))
+@pytest.mark.parametrize("key", sorted(catalog.queries()))
 def test_query_matches_oracle(spark, con, key):
     df = E.queries()[key](spark, SF)
     s_rows = [tuple(r) for r in df.collect()]
