@@ -53,6 +53,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """``df`` with its columns behind a generator. A filter on a computed column is otherwise
+    pushed below the projections that compute it, and their expressions are repeated inside it,
+    each use of a column once more."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32(doc_id as text) mod n; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))

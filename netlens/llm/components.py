@@ -18,17 +18,18 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round hangs every node's larger neighbours, then its smaller ones, on its smallest
     neighbour. Neighbour lists are never gathered: the smallest neighbour is an aggregate
-    with map-side combine, joined back to the links. Rounds grow with the logarithm of the
+    with map-side combine, checkpointed and joined back to the links by plain exchanges, so a
+    hub's links can be split over tasks. Rounds grow with the logarithm of the
     component's diameter; the link table never grows, and each round is checkpointed in the
     shared folder. Self-links are ignored; an empty table has no components."""
     e = cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = _mark(e)
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
+        large = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # small star: u and its smaller neighbours hang on the smallest of them
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        down = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(small.unionByName(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         after = _mark(e)

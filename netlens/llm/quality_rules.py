@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, WHITE_RUN, WORD_CHAR, table, words_of
+from .common import DOCUMENT_COLUMNS, WHITE_RUN, WORD_CHAR, apart, table, words_of
 
 SYMBOLS = r"[#*$%&|<>]"
 LOUD = r"[!?#*$%&|<>]"  # what a line of prose holds little of
@@ -103,7 +103,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     d = d.select("*", lost.alias("lost"),
                  ((F.col("n") < MIN_WORDS)
                   | (100 * F.col("rep") > MAX_REPEAT_PERCENT * F.col("n"))).alias("bad"))
-    return d.select(
+    return apart(d.select(
         "row", F.col("n").cast("long").alias("n_words"),
         F.col("word_chars").cast("long").alias("word_chars"),
         _n_matches(F.col("t"), SYMBOLS).cast("long").alias("n_symbols"),
@@ -114,17 +114,15 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.col("bad").alias("base_failed"),
         (~F.col("bad") & (100 * F.col("lost").cast("long")
                           <= MAX_LOST_PERCENT * F.col("word_chars").cast("long"))).alias("kept"),
-        F.col("clean").alias("clean_text"))
+        F.col("clean").alias("clean_text")))
 
 
 def clean(docs: DataFrame) -> DataFrame:
     """The documents that pass, with failing lines removed from ``text`` (and ``n_chars``
     brought up to date); the columns of ``documents``."""
-    m = measure(docs)
-    out = F.struct("row.doc_id", F.col("clean_text").alias("text"), "row.lang", "row.source",
-                   F.length("clean_text").cast("long").alias("n_chars"))
-    # a generator, as a filter would be pushed below the projections and repeat their work
-    return m.select(F.inline(F.when(F.col("kept"), F.array(out)))).select(DOCUMENT_COLUMNS)
+    return measure(docs).where("kept").select(
+        "row.doc_id", F.col("clean_text").alias("text"), "row.lang", "row.source",
+        F.length("clean_text").cast("long").alias("n_chars")).select(DOCUMENT_COLUMNS)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

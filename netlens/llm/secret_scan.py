@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, table
+from .common import DOCUMENT_COLUMNS, apart, table
 
 ASSIGN = (r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
           r"""([A-Za-z0-9+/_.=-]+)""")
@@ -141,7 +141,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     d = d.select("row", "t", "base", F.when(F.size("cand") > 0, F.array_sort(F.concat("base", free)))
                  .otherwise(F.col("base")).alias("spans"))
     bare = lambda c: F.transform(c, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
-    return d.select("row", "t", bare("base").alias("base"), bare("spans").alias("spans"))
+    return apart(d.select("row", "t", bare("base").alias("base"), bare("spans").alias("spans")))
 
 
 def redact(docs: DataFrame) -> DataFrame:

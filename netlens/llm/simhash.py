@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, stored, table
+from .common import DOCUMENT_COLUMNS, cut, stored, table
 from .components import components
 
 SHINGLE = 4
@@ -255,9 +255,9 @@ def classes(sigs: DataFrame, radius: int = RADIUS) -> DataFrame:
     links reach."""
     nodes = sigs.groupBy("fp").agg(F.min("doc_id").alias("least"))
     comp = components(links(nodes.select("fp"), radius))
-    rooted = nodes.join(comp, nodes.fp == comp.node, "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted = cut(nodes.join(comp, nodes.fp == comp.node, "left").select(
+        "fp", "least", F.coalesce("root", "fp").alias("root")))
+    ids = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))  # apart, so that a large component's rows can be split
     return sigs.join(rooted.join(ids, "root").select("fp", "component_id"), "fp", "left")
 
 
