@@ -7,10 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import predicates as P
-from ..operators import (count_where, crosstab, describe, distinct_per_key, hourly_dense,
-                         keys_over, shape, top_k, value_counts)
+from ..operators import count_where, crosstab, describe, distinct_per_key, keys_over, shape, top_k, value_counts
 from . import oracle as S
-from .registry import register
+from .registry import Dense, Frequency, define, register
 
 # Fixed values (parameters of the analytics, as used by the source).
 FAILED_STATES = ["S0", "RSTO"]
@@ -55,14 +54,10 @@ def columns_shape(v: DataFrame) -> DataFrame:
     return shape(v, with_columns=True)
 
 
-@register("conn_state_counts", "conn", S.value_counts("conn_state"))
-def state_counts(v: DataFrame) -> DataFrame:
-    return value_counts(v, "conn_state")
+state_counts = define("conn_state_counts", "conn", S.value_counts("conn_state"), Frequency("conn_state"))
 
 
-@register("conn_proto_counts", "conn", S.value_counts("proto"))
-def proto_counts(v: DataFrame) -> DataFrame:
-    return value_counts(v, "proto")
+proto_counts = define("conn_proto_counts", "conn", S.value_counts("proto"), Frequency("proto"))
 
 
 @register("conn_bytes_summary", "conn", S.describe(["orig_bytes", "resp_bytes"]))
@@ -87,24 +82,16 @@ def short_count(v: DataFrame) -> DataFrame:
     return count_where(v, _short())
 
 
-@register("conn_top_sources", "conn", S.value_counts("id_orig_h", k=5))
-def top_sources(v: DataFrame) -> DataFrame:
-    return top_k(v, "id_orig_h", 5)
+top_sources = define("conn_top_sources", "conn", S.value_counts("id_orig_h", k=5), Frequency("id_orig_h", k=5))
 
 
-@register("conn_top_dests", "conn", S.value_counts("id_resp_h", k=5))
-def top_dests(v: DataFrame) -> DataFrame:
-    return top_k(v, "id_resp_h", 5)
+top_dests = define("conn_top_dests", "conn", S.value_counts("id_resp_h", k=5), Frequency("id_resp_h", k=5))
 
 
-@register("conn_top_source_ports", "conn", S.value_counts("id_orig_p", k=5))
-def top_source_ports(v: DataFrame) -> DataFrame:
-    return top_k(v, "id_orig_p", 5)
+top_source_ports = define("conn_top_source_ports", "conn", S.value_counts("id_orig_p", k=5), Frequency("id_orig_p", k=5))
 
 
-@register("conn_top_dest_ports", "conn", S.value_counts("id_resp_p", k=5))
-def top_dest_ports(v: DataFrame) -> DataFrame:
-    return top_k(v, "id_resp_p", 5)
+top_dest_ports = define("conn_top_dest_ports", "conn", S.value_counts("id_resp_p", k=5), Frequency("id_resp_p", k=5))
 
 
 @register("conn_fanout_summary", "conn", S.describe(
@@ -123,20 +110,14 @@ def fanout_over_10(v: DataFrame, threshold: int = FANOUT_THRESHOLD) -> DataFrame
     return keys_over(v, "id_orig_h", "id_resp_h", threshold)
 
 
-@register("conn_service_counts", "conn", S.value_counts("service", dropna=False))
-def service_counts(v: DataFrame) -> DataFrame:
-    """service frequency, the missing service included."""
-    return value_counts(v, "service", dropna=False)
+service_counts = define("conn_service_counts", "conn", S.value_counts("service", dropna=False), Frequency("service", keep_null=True),
+    "service frequency, the missing service included.")
 
 
-@register("conn_top_history", "conn", S.value_counts("history", k=5))
-def top_history(v: DataFrame) -> DataFrame:
-    return top_k(v, "history", 5)
+top_history = define("conn_top_history", "conn", S.value_counts("history", k=5), Frequency("history", k=5))
 
 
-@register("conn_missed_bytes_counts", "conn", S.value_counts("missed_bytes"))
-def missed_bytes_counts(v: DataFrame) -> DataFrame:
-    return value_counts(v, "missed_bytes")
+missed_bytes_counts = define("conn_missed_bytes_counts", "conn", S.value_counts("missed_bytes"), Frequency("missed_bytes"))
 
 
 @register("conn_missed_count", "conn", S.count_where("missed_bytes > 0"))
@@ -306,30 +287,25 @@ def tcp_downloads(v: DataFrame) -> DataFrame:
              .select("id_orig_h", "id_resp_h", "resp_bytes", _dur()))
 
 
-@register("conn_hourly", "conn", S.hourly_dense())
-def hourly(v: DataFrame) -> DataFrame:
-    """Connections per hour, every hour from the first to the last."""
-    return hourly_dense(v)
+hourly = define("conn_hourly", "conn", S.hourly_dense(),
+    Dense(),
+    "Connections per hour, every hour from the first to the last.")
 
 
-@register("conn_broadcast_hourly", "conn", S.hourly_dense(SQL_BROADCAST))
-def broadcast_hourly(v: DataFrame) -> DataFrame:
-    return hourly_dense(v, P.in_set("id_resp_h", BROADCAST_ADDRS))
+broadcast_hourly = define("conn_broadcast_hourly", "conn", S.hourly_dense(SQL_BROADCAST),
+    Dense(lambda: P.in_set("id_resp_h", BROADCAST_ADDRS)))
 
 
-@register("conn_failed_hourly", "conn", S.hourly_dense(SQL_FAILED))
-def failed_hourly(v: DataFrame) -> DataFrame:
-    return hourly_dense(v, _failed())
+failed_hourly = define("conn_failed_hourly", "conn", S.hourly_dense(SQL_FAILED),
+    Dense(lambda: _failed()))
 
 
-@register("conn_dns_hourly", "conn", S.hourly_dense("id_resp_p = 53"))
-def dns_hourly(v: DataFrame) -> DataFrame:
-    return hourly_dense(v, F.col("id_resp_p") == DNS_PORT)
+dns_hourly = define("conn_dns_hourly", "conn", S.hourly_dense("id_resp_p = 53"),
+    Dense(lambda: F.col("id_resp_p") == DNS_PORT))
 
 
-@register("conn_non_dns_hourly", "conn", S.hourly_dense("id_resp_p <> 53"))
-def non_dns_hourly(v: DataFrame) -> DataFrame:
-    return hourly_dense(v, F.col("id_resp_p") != DNS_PORT)
+non_dns_hourly = define("conn_non_dns_hourly", "conn", S.hourly_dense("id_resp_p <> 53"),
+    Dense(lambda: F.col("id_resp_p") != DNS_PORT))
 
 
 @register("conn_endpoints", "conn", "SELECT id_orig_h, id_resp_h, duration FROM v")

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 
 from ..functions import predicates as P
-from ..operators import (count_hourly, distinct_hourly, mean_hourly, shape, share_hourly,
-                         top_k, value_counts)
+from ..operators import mean_hourly, shape
 from . import oracle as S
-from .registry import register
+from .registry import Frequency, Hourly, define, register
 
 # DNS query types that are not unusual (A, AAAA).
 COMMON_QTYPES = [1, 28]
 
+FAILED = Hourly("share", "failed_ratio", lambda: P.not_equal_or_null("rcode", 0))
+
 
 @register("dns_shape", "dns", S.shape(9))
 def dns_shape(v: DataFrame) -> DataFrame:
@@ -20,45 +23,32 @@ def dns_shape(v: DataFrame) -> DataFrame:
     return shape(v)
 
 
-@register("dns_proto_counts", "dns", S.value_counts("proto"))
-def proto_counts(v: DataFrame) -> DataFrame:
-    return value_counts(v, "proto")
+proto_counts = define("dns_proto_counts", "dns", S.value_counts("proto"), Frequency("proto"))
 
 
-@register("dns_rcode_counts", "dns", S.value_counts("rcode"))
-def rcode_counts(v: DataFrame) -> DataFrame:
-    return value_counts(v, "rcode")
+rcode_counts = define("dns_rcode_counts", "dns", S.value_counts("rcode"), Frequency("rcode"))
 
 
-@register("dns_top_sources", "dns", S.value_counts("id_orig_h", k=5))
-def top_sources(v: DataFrame) -> DataFrame:
-    return top_k(v, "id_orig_h", 5)
+top_sources = define("dns_top_sources", "dns", S.value_counts("id_orig_h", k=5), Frequency("id_orig_h", k=5))
 
 
-@register("dns_top_dests", "dns", S.value_counts("id_resp_h", k=5))
-def top_dests(v: DataFrame) -> DataFrame:
-    return top_k(v, "id_resp_h", 5)
+top_dests = define("dns_top_dests", "dns", S.value_counts("id_resp_h", k=5), Frequency("id_resp_h", k=5))
 
 
-@register("dns_top_queries", "dns", S.value_counts("query", k=5))
-def top_queries(v: DataFrame) -> DataFrame:
-    return top_k(v, "query", 5)
+top_queries = define("dns_top_queries", "dns", S.value_counts("query", k=5), Frequency("query", k=5))
 
 
-@register("dns_unique_queries_hourly", "dns",
-          S.hourly("id_orig_h", "count(DISTINCT query) AS unique_queries"))
-def unique_queries_hourly(v: DataFrame) -> DataFrame:
-    """Distinct queries per source per hour."""
-    return distinct_hourly(v, "id_orig_h", "query", name="unique_queries")
+unique_queries_hourly = define("dns_unique_queries_hourly", "dns", S.hourly("id_orig_h", "count(DISTINCT query) AS unique_queries"),
+    Hourly("distinct", "unique_queries", col="query"),
+    "Distinct queries per source per hour.")
 
 
 @register("dns_failed_ratio_hourly", "dns",
-          S.share_hourly("id_orig_h", "rcode IS DISTINCT FROM 0", "failed_ratio"))
+          S.share_hourly("id_orig_h", "rcode IS DISTINCT FROM 0", "failed_ratio"), FAILED)
 def failed_ratio_hourly(v: DataFrame, null_is_failed: bool = True) -> DataFrame:
     """Share of answers with rcode <> 0 per source per hour; a missing rcode counts
     as failed (the source compares a float NaN, which is never equal to 0)."""
-    pred = P.not_equal_or_null("rcode", 0) if null_is_failed else P.not_equal("rcode", 0)
-    return share_hourly(v, "id_orig_h", pred, name="failed_ratio")
+    return (FAILED if null_is_failed else replace(FAILED, where=lambda: P.not_equal("rcode", 0))).build(v)
 
 
 @register("dns_avg_rtt_hourly", "dns",
@@ -68,14 +58,13 @@ def avg_rtt_hourly(v: DataFrame) -> DataFrame:
     return mean_hourly(v, "id_resp_h", "rtt", fill=0.0, names=["avg_rtt"], digits=S.DIGITS)
 
 
-@register("dns_unusual_qtype_hourly", "dns",
-          S.count_hourly("id_orig_h", f"qtype IS NOT NULL AND qtype NOT IN {S.sql_list(COMMON_QTYPES)}"))
-def unusual_qtype_hourly(v: DataFrame) -> DataFrame:
-    """Queries of a type other than A / AAAA per source per hour."""
-    return count_hourly(v, "id_orig_h", P.set_and_not_in("qtype", COMMON_QTYPES))
+unusual_qtype_hourly = define(
+    "dns_unusual_qtype_hourly", "dns",
+    S.count_hourly("id_orig_h", f"qtype IS NOT NULL AND qtype NOT IN {S.sql_list(COMMON_QTYPES)}"),
+    Hourly("count", where=lambda: P.set_and_not_in("qtype", COMMON_QTYPES)),
+    "Queries of a type other than A / AAAA per source per hour.")
 
 
-@register("dns_recursive_hourly", "dns", S.count_hourly("id_orig_h", "RD = true"))
-def recursive_hourly(v: DataFrame) -> DataFrame:
-    """Recursion-desired queries per source per hour."""
-    return count_hourly(v, "id_orig_h", P.is_true("RD"))
+recursive_hourly = define("dns_recursive_hourly", "dns", S.count_hourly("id_orig_h", "RD = true"),
+    Hourly("count", where=lambda: P.is_true("RD")),
+    "Recursion-desired queries per source per hour.")

@@ -1,159 +1,62 @@
-"""All source-keyed hourly features of a log type as ONE aggregate.
-
-A report run needs several per (id_orig_h, hour) features of the same log
-(dns: distinct queries, failed share, unusual types, recursive queries).
-Computed one by one, each is a scan plus a shuffle; here they are one
-``groupBy(key, hour).agg(...)``: one scan, one shuffle (plus Spark's extra one
-for the single exact distinct). Each analytic's table is then a projection of
-the wide table; the count features keep only non-zero rows, as they do when
-computed alone.
+"""The shared tables of a report run, from the registry's specifications.
+
+A report run needs several analytics of the same shape of the same log. Computed one by one,
+each is a scan plus a shuffle; here the source-keyed hourly features are one
+``groupBy(key, hour).agg(...)`` (plus Spark's extra shuffle for the single exact distinct), the
+frequency and top-k tables one stacked aggregate, and the dense hourly series one per-hour
+aggregate. Each analytic is then a projection of its shared table; the count features keep only
+non-zero rows, as they do when computed alone. The definitions are those of the analytics
+themselves (``registry.define``).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import predicates as P
 from ..functions.time import HOUR, hour_of
-from ..operators.hourly import safe_ratio
-from .dns import COMMON_QTYPES
-from .files import COMMON_MIME_TYPES
-from .http import SUSPICIOUS_METHODS
-from .ssl import WEAK_CIPHERS
+from ..operators.dense import fill_hours
+from .registry import Dense, Frequency, Hourly, specs
 
 KEY = "id_orig_h"
 
 
-def _share(pred: Column) -> Column:
-    return F.count_if(pred) / F.count(F.lit(1))
-
-
-def _specs(approx_distinct: bool = False) -> dict[str, dict[str, tuple[str, Column, bool]]]:
-    """log type -> analytic key -> (metric name, aggregate, sparse).
-
-    ``approx_distinct`` swaps the exact distinct counts for HyperLogLog++ (1% error),
-    the only distinct count a stream supports."""
-    zero = F.lit(0).cast("bigint")
-
-    def distinct(c: str) -> Column:
-        return F.approx_count_distinct(c, 0.01) if approx_distinct else F.count_distinct(c)
-
-    return {
-        "dns": {
-            "dns_unique_queries_hourly": ("unique_queries", distinct("query"), False),
-            "dns_failed_ratio_hourly": ("failed_ratio", _share(P.not_equal_or_null("rcode", 0)), False),
-            "dns_unusual_qtype_hourly": ("count", F.count_if(P.set_and_not_in("qtype", COMMON_QTYPES)), True),
-            "dns_recursive_hourly": ("count", F.count_if(P.is_true("RD")), True),
-        },
-        "files": {
-            "files_seen_bytes_hourly": ("seen_bytes", F.coalesce(F.sum("seen_bytes"), zero), False),
-            "files_unusual_mime_hourly": ("count", F.count_if(P.set_and_not_in("mime_type", COMMON_MIME_TYPES)), True),
-            "files_missing_ratio_hourly": ("missing_ratio", safe_ratio(
-                F.coalesce(F.sum("missing_bytes"), zero), F.coalesce(F.sum("total_bytes"), zero)), False),
-        },
-        "http": {
-            "http_errors_hourly": ("count", F.count_if(P.between("status_code", 400, 599)), True),
-            "http_suspicious_methods_hourly": ("count", F.count_if(P.in_set("method", SUSPICIOUS_METHODS)), True),
-            "http_unique_uris_hourly": ("unique_uris", distinct("uri"), False),
-            "http_proxied_ratio_hourly": ("proxied_ratio", _share(P.non_empty("proxied")), False),
-        },
-        "kerberos": {
-            "kerberos_failed_ratio_hourly": ("failed_ratio", _share(
-                P.any_of(P.is_false("success"), F.col("error_msg").isNotNull())), False),
-            "kerberos_unique_services_hourly": ("unique_services", distinct("service"), False),
-            "kerberos_forwardable_hourly": ("count", F.count_if(P.is_true("forwardable")), True),
-        },
-        "ssl": {
-            "ssl_invalid_cert_ratio_hourly": ("invalid_ratio", _share(
-                P.set_and_lacks_ci("validation_status", "ok")), False),
-            "ssl_weak_cipher_hourly": ("count", F.count_if(P.in_set("cipher", WEAK_CIPHERS)), True),
-            "ssl_not_established_hourly": ("count", F.count_if(P.is_false("established")), True),
-        },
-        "weird": {
-            "weird_events_hourly": ("count", F.count(F.lit(1)), False),
-            "weird_unique_names_hourly": ("unique_names", distinct("name"), False),
-            "weird_notice_ratio_hourly": ("notice_ratio", _share(P.is_true("notice")), False),
-        },
-    }
-
-
 def feature_keys(log_type: str) -> list[str]:
-    return list(_specs().get(log_type, {}))
+    return [k for k, h in specs(log_type, Hourly).items() if h.key == KEY]
 
 
 def feature_aggregates(log_type: str, approx_distinct: bool = False) -> dict[str, Column]:
     """analytic key -> aggregate, for the source-keyed hourly features of ``log_type``."""
-    return {k: agg for k, (_, agg, _) in _specs(approx_distinct)[log_type].items()}
+    return {k: specs(log_type, Hourly)[k].aggregate(approx_distinct) for k in feature_keys(log_type)}
 
 
 def host_hour_features(v: DataFrame, log_type: str, ts: str = "ts") -> DataFrame:
     """(id_orig_h, hour, one column per analytic key) for every (source, hour) present."""
-    spec = _specs()[log_type]
     d = v.where(F.col(KEY).isNotNull() & F.col(ts).isNotNull()).withColumn(HOUR, hour_of(ts))
-    return d.groupBy(KEY, HOUR).agg(*[agg.alias(k) for k, (_, agg, _) in spec.items()])
+    return d.groupBy(KEY, HOUR).agg(*[agg.alias(k) for k, agg in feature_aggregates(log_type).items()])
 
 
 def split_features(wide: DataFrame, log_type: str) -> dict[str, DataFrame]:
     """Each analytic's table from the wide feature table."""
     out = {}
-    for k, (metric, _, sparse) in _specs()[log_type].items():
-        t = wide.select(KEY, HOUR, F.col(k).alias(metric))
-        out[k] = t.where(F.col(metric) > 0) if sparse else t
+    for k in feature_keys(log_type):
+        spec = specs(log_type, Hourly)[k]
+        t = wide.select(KEY, HOUR, F.col(k).alias(spec.name))
+        out[k] = t.where(F.col(spec.name) > 0) if spec.sparse else t
     return out
 
 
 # --- frequency tables -------------------------------------------------------
-# analytic key -> (column, k or None for the full table, keep the NULL value)
-_FREQ: dict[str, dict[str, tuple[str, int | None, bool]]] = {
-    "conn": {
-        "conn_state_counts": ("conn_state", None, False), "conn_proto_counts": ("proto", None, False),
-        "conn_top_sources": ("id_orig_h", 5, False), "conn_top_dests": ("id_resp_h", 5, False),
-        "conn_top_source_ports": ("id_orig_p", 5, False), "conn_top_dest_ports": ("id_resp_p", 5, False),
-        "conn_service_counts": ("service", None, True), "conn_top_history": ("history", 5, False),
-        "conn_missed_bytes_counts": ("missed_bytes", None, False),
-    },
-    "dns": {
-        "dns_proto_counts": ("proto", None, False), "dns_rcode_counts": ("rcode", None, False),
-        "dns_top_sources": ("id_orig_h", 5, False), "dns_top_dests": ("id_resp_h", 5, False),
-        "dns_top_queries": ("query", 5, False),
-    },
-    "files": {
-        "files_source_counts": ("source", None, False), "files_top_mime": ("mime_type", 5, False),
-        "files_top_sources": ("id_orig_h", 5, False), "files_top_dests": ("id_resp_h", 5, False),
-    },
-    "http": {
-        "http_method_counts": ("method", None, False), "http_status_counts": ("status_code", None, False),
-        "http_top_sources": ("id_orig_h", 5, False), "http_top_hosts": ("host", 5, False),
-    },
-    "kerberos": {
-        "kerberos_request_type_counts": ("request_type", None, False),
-        "kerberos_top_clients": ("client", 5, False), "kerberos_top_services": ("service", 5, False),
-        "kerberos_success_counts": ("success", None, False),
-        "kerberos_top_sources": ("id_orig_h", 5, False),
-    },
-    "ssl": {
-        "ssl_version_counts": ("version", None, False),
-        "ssl_validation_counts": ("validation_status", None, False),
-        "ssl_top_ciphers": ("cipher", 5, False), "ssl_top_sources": ("id_orig_h", 5, False),
-        "ssl_top_dests": ("id_resp_h", 5, False),
-    },
-    "weird": {
-        "weird_name_counts": ("name", None, False), "weird_notice_counts": ("notice", None, False),
-        "weird_source_counts": ("source", None, False), "weird_top_sources": ("id_orig_h", 5, False),
-        "weird_top_dests": ("id_resp_h", 5, False),
-    },
-}
 
 
 def frequency_keys(log_type: str) -> list[str]:
-    return list(_FREQ.get(log_type, {}))
+    return list(specs(log_type, Frequency))
 
 
 def frequency_tables(v: DataFrame, log_type: str) -> DataFrame:
     """(column_name, value STRING, count) for every column a frequency analytic of
     ``log_type`` reads: one scan, one aggregate. NULL values are kept (flagged by a
     NULL ``value``); each analytic decides whether it shows them."""
-    cols = sorted({c for c, _, _ in _FREQ[log_type].values()})
+    cols = sorted({f.col for f in specs(log_type, Frequency).values()})
     items = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"))
              for c in cols]
     stacked = v.select(F.explode(F.array(*items)).alias("__s")).select("__s.*")
@@ -165,13 +68,14 @@ def split_frequencies(freq: DataFrame, v_schema, log_type: str) -> dict[str, Dat
     are cast back to the column's type, so the tables equal the individual results."""
     types = {f.name: f.dataType for f in v_schema.fields}
     out = {}
-    for k, (c, top, keep_null) in _FREQ[log_type].items():
+    for k, f in specs(log_type, Frequency).items():
+        c = f.col
         t = freq.where(F.col("column_name") == c)
-        if not keep_null:
+        if not f.keep_null:
             t = t.where(F.col("value").isNotNull())
         t = t.select(F.col("value").cast(types[c]).alias(c), "count")
-        if top is not None:
-            t = t.orderBy(F.desc("count"), F.asc_nulls_first(c)).limit(top)
+        if f.k is not None:
+            t = t.orderBy(F.desc("count"), F.asc_nulls_first(c)).limit(f.k)
         out[k] = t
     return out
 
@@ -179,31 +83,17 @@ def split_frequencies(freq: DataFrame, v_schema, log_type: str) -> dict[str, Dat
 # --- dense hourly series ----------------------------------------------------
 
 
-def _dense_specs() -> dict[str, dict[str, Column | None]]:
-    """log type -> analytic key -> row predicate (None: every row)."""
-    from . import conn as C
-    return {"conn": {
-        "conn_hourly": None,
-        "conn_broadcast_hourly": P.in_set("id_resp_h", C.BROADCAST_ADDRS),
-        "conn_failed_hourly": P.in_set("conn_state", C.FAILED_STATES),
-        "conn_dns_hourly": F.col("id_resp_p") == C.DNS_PORT,
-        "conn_non_dns_hourly": F.col("id_resp_p") != C.DNS_PORT,
-    }}
-
-
 def dense_keys(log_type: str) -> list[str]:
-    return list(_dense_specs().get(log_type, {}))
+    return list(specs(log_type, Dense))
 
 
 def hourly_counts_table(v: DataFrame, log_type: str, ts: str = "ts") -> DataFrame:
     """(hour, one count per dense analytic) for every hour present: one scan."""
-    spec = _dense_specs()[log_type]
-    aggs = [(F.count(F.lit(1)) if p is None else F.count_if(p)).alias(k) for k, p in spec.items()]
+    aggs = [(F.count_if(d.where()) if d.where else F.count(F.lit(1))).alias(k) for k, d in specs(log_type, Dense).items()]
     return v.where(F.col(ts).isNotNull()).groupBy(hour_of(ts).alias(HOUR)).agg(*aggs)
 
 
 def split_dense(wide: DataFrame, log_type: str) -> dict[str, DataFrame]:
     """Each dense series from the shared per-hour table: its own first-to-last range."""
-    from ..operators.dense import fill_hours
     return {k: fill_hours(wide.where(F.col(k) > 0).select(HOUR, F.col(k).alias("count")), "count")
-            for k in _dense_specs()[log_type]}
+            for k in dense_keys(log_type)}

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..functions import predicates as P
-from ..operators import (count_hourly, distinct_hourly, mean_hourly, shape, share_hourly, top_k,
-                         value_counts)
+from ..operators import count_hourly, mean_hourly, shape
 from . import oracle as S
-from .registry import register
+from .registry import Frequency, Hourly, define, register
 
 # Request methods counted as suspicious, and the substrings of a
 # browser-like user agent (regex alternation, case-sensitive).
@@ -22,38 +21,26 @@ def http_shape(v: DataFrame) -> DataFrame:
     return shape(v)
 
 
-@register("http_method_counts", "http", S.value_counts("method"))
-def method_counts(v: DataFrame) -> DataFrame:
-    return value_counts(v, "method")
+method_counts = define("http_method_counts", "http", S.value_counts("method"), Frequency("method"))
 
 
-@register("http_status_counts", "http", S.value_counts("status_code"))
-def status_counts(v: DataFrame) -> DataFrame:
-    return value_counts(v, "status_code")
+status_counts = define("http_status_counts", "http", S.value_counts("status_code"), Frequency("status_code"))
 
 
-@register("http_top_sources", "http", S.value_counts("id_orig_h", k=5))
-def top_sources(v: DataFrame) -> DataFrame:
-    return top_k(v, "id_orig_h", 5)
+top_sources = define("http_top_sources", "http", S.value_counts("id_orig_h", k=5), Frequency("id_orig_h", k=5))
 
 
-@register("http_top_hosts", "http", S.value_counts("host", k=5))
-def top_hosts(v: DataFrame) -> DataFrame:
-    return top_k(v, "host", 5)
+top_hosts = define("http_top_hosts", "http", S.value_counts("host", k=5), Frequency("host", k=5))
 
 
-@register("http_errors_hourly", "http",
-          S.count_hourly("id_orig_h", "status_code BETWEEN 400 AND 599"))
-def errors_hourly(v: DataFrame) -> DataFrame:
-    """4xx / 5xx answers per source per hour."""
-    return count_hourly(v, "id_orig_h", P.between("status_code", 400, 599))
+errors_hourly = define("http_errors_hourly", "http", S.count_hourly("id_orig_h", "status_code BETWEEN 400 AND 599"),
+    Hourly("count", where=lambda: P.between("status_code", 400, 599)),
+    "4xx / 5xx answers per source per hour.")
 
 
-@register("http_suspicious_methods_hourly", "http",
-          S.count_hourly("id_orig_h", f"method IN {S.sql_list(SUSPICIOUS_METHODS)}"))
-def suspicious_methods_hourly(v: DataFrame) -> DataFrame:
-    """POST / PUT / DELETE requests per source per hour."""
-    return count_hourly(v, "id_orig_h", P.in_set("method", SUSPICIOUS_METHODS))
+suspicious_methods_hourly = define("http_suspicious_methods_hourly", "http", S.count_hourly("id_orig_h", f"method IN {S.sql_list(SUSPICIOUS_METHODS)}"),
+    Hourly("count", where=lambda: P.in_set("method", SUSPICIOUS_METHODS)),
+    "POST / PUT / DELETE requests per source per hour.")
 
 
 @register("http_avg_sizes_hourly", "http", S.hourly(
@@ -64,11 +51,10 @@ def avg_sizes_hourly(v: DataFrame) -> DataFrame:
     return mean_hourly(v, "host", ["request_body_len", "response_body_len"], digits=S.DIGITS)
 
 
-@register("http_unique_uris_hourly", "http",
-          S.hourly("id_orig_h", "count(DISTINCT uri) AS unique_uris"))
-def unique_uris_hourly(v: DataFrame) -> DataFrame:
-    """Distinct URIs per source per hour."""
-    return distinct_hourly(v, "id_orig_h", "uri", name="unique_uris")
+unique_uris_hourly = define("http_unique_uris_hourly", "http",
+                            S.hourly("id_orig_h", "count(DISTINCT uri) AS unique_uris"),
+                            Hourly("distinct", "unique_uris", col="uri"),
+                            "Distinct URIs per source per hour.")
 
 
 @register("http_unusual_agents_hourly", "http", S.count_hourly(
@@ -78,8 +64,6 @@ def unusual_agents_hourly(v: DataFrame) -> DataFrame:
     return count_hourly(v, "host", P.not_matching("user_agent", BROWSER_AGENT_REGEX))
 
 
-@register("http_proxied_ratio_hourly", "http",
-          S.share_hourly("id_orig_h", "proxied IS NOT NULL AND proxied <> ''", "proxied_ratio"))
-def proxied_ratio_hourly(v: DataFrame) -> DataFrame:
-    """Share of proxied requests per source per hour."""
-    return share_hourly(v, "id_orig_h", P.non_empty("proxied"), name="proxied_ratio")
+proxied_ratio_hourly = define("http_proxied_ratio_hourly", "http", S.share_hourly("id_orig_h", "proxied IS NOT NULL AND proxied <> ''", "proxied_ratio"),
+    Hourly("share", "proxied_ratio", lambda: P.non_empty("proxied")),
+    "Share of proxied requests per source per hour.")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import predicates as P
-from ..operators import count_hourly, distinct_hourly, sample, shape, share_hourly, top_k, value_counts
+from ..operators import sample, shape
 from ..sources.views import view_columns
 from . import oracle as S
-from .registry import register
+from .registry import Frequency, Hourly, define, register
 
 
 @register("kerberos_shape", "kerberos", S.shape(9))
@@ -21,43 +21,29 @@ def kerberos_sample(v: DataFrame) -> DataFrame:
     return sample(v, 5)
 
 
-@register("kerberos_request_type_counts", "kerberos", S.value_counts("request_type"))
-def request_type_counts(v: DataFrame) -> DataFrame:
-    return value_counts(v, "request_type")
+request_type_counts = define("kerberos_request_type_counts", "kerberos", S.value_counts("request_type"), Frequency("request_type"))
 
 
-@register("kerberos_top_clients", "kerberos", S.value_counts("client", k=5))
-def top_clients(v: DataFrame) -> DataFrame:
-    return top_k(v, "client", 5)
+top_clients = define("kerberos_top_clients", "kerberos", S.value_counts("client", k=5), Frequency("client", k=5))
 
 
-@register("kerberos_top_services", "kerberos", S.value_counts("service", k=5))
-def top_services(v: DataFrame) -> DataFrame:
-    return top_k(v, "service", 5)
+top_services = define("kerberos_top_services", "kerberos", S.value_counts("service", k=5), Frequency("service", k=5))
 
 
-@register("kerberos_success_counts", "kerberos", S.value_counts("success"))
-def success_counts(v: DataFrame) -> DataFrame:
-    return value_counts(v, "success")
+success_counts = define("kerberos_success_counts", "kerberos", S.value_counts("success"), Frequency("success"))
 
 
-@register("kerberos_top_sources", "kerberos", S.value_counts("id_orig_h", k=5))
-def top_sources(v: DataFrame) -> DataFrame:
-    return top_k(v, "id_orig_h", 5)
+top_sources = define("kerberos_top_sources", "kerberos", S.value_counts("id_orig_h", k=5), Frequency("id_orig_h", k=5))
 
 
-@register("kerberos_failed_ratio_hourly", "kerberos", S.share_hourly(
-    "id_orig_h", "success = false OR error_msg IS NOT NULL", "failed_ratio"))
-def failed_ratio_hourly(v: DataFrame) -> DataFrame:
-    """Share of requests that failed or carry an error message, per source per hour."""
-    pred = P.any_of(P.is_false("success"), F.col("error_msg").isNotNull())
-    return share_hourly(v, "id_orig_h", pred, name="failed_ratio")
+failed_ratio_hourly = define("kerberos_failed_ratio_hourly", "kerberos", S.share_hourly(
+    "id_orig_h", "success = false OR error_msg IS NOT NULL", "failed_ratio"),
+    Hourly("share", "failed_ratio", lambda: P.any_of(P.is_false("success"), F.col("error_msg").isNotNull())),
+    "Share of requests that failed or carry an error message, per source per hour.")
 
 
-@register("kerberos_unique_services_hourly", "kerberos",
-          S.hourly("id_orig_h", "count(DISTINCT service) AS unique_services"))
-def unique_services_hourly(v: DataFrame) -> DataFrame:
-    return distinct_hourly(v, "id_orig_h", "service", name="unique_services")
+unique_services_hourly = define("kerberos_unique_services_hourly", "kerberos", S.hourly("id_orig_h", "count(DISTINCT service) AS unique_services"),
+    Hourly("distinct", "unique_services", col="service"))
 
 
 # One capture day lacks the forwardable feature; its report omits this key.
@@ -67,8 +53,6 @@ SUBSET_KEYS_NO_FORWARDABLE = ("kerberos_shape", "kerberos_sample", "kerberos_req
                               "kerberos_failed_ratio_hourly", "kerberos_unique_services_hourly")
 
 
-@register("kerberos_forwardable_hourly", "kerberos",
-          S.count_hourly("id_orig_h", "forwardable = true"))
-def forwardable_hourly(v: DataFrame) -> DataFrame:
-    """Forwardable ticket requests per source per hour."""
-    return count_hourly(v, "id_orig_h", P.is_true("forwardable"))
+forwardable_hourly = define("kerberos_forwardable_hourly", "kerberos", S.count_hourly("id_orig_h", "forwardable = true"),
+    Hourly("count", where=lambda: P.is_true("forwardable")),
+    "Forwardable ticket requests per source per hour.")

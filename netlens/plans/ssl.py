@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..functions import predicates as P
-from ..operators import count_hourly, sample, shape, share_hourly, top_k, value_counts
+from ..operators import sample, shape
 from ..sources.views import view_columns
 from . import oracle as S
-from .registry import register
+from .registry import Frequency, Hourly, define, register
 
 # Weak / deprecated cipher suites.
 WEAK_CIPHERS = ["TLS_RSA_WITH_3DES_EDE_CBC_SHA", "TLS_RSA_WITH_RC4_128_SHA",
@@ -25,50 +25,33 @@ def ssl_sample(v: DataFrame) -> DataFrame:
     return sample(v, 5)
 
 
-@register("ssl_version_counts", "ssl", S.value_counts("version"))
-def version_counts(v: DataFrame) -> DataFrame:
-    return value_counts(v, "version")
+version_counts = define("ssl_version_counts", "ssl", S.value_counts("version"), Frequency("version"))
 
 
-@register("ssl_validation_counts", "ssl", S.value_counts("validation_status"))
-def validation_counts(v: DataFrame) -> DataFrame:
-    return value_counts(v, "validation_status")
+validation_counts = define("ssl_validation_counts", "ssl", S.value_counts("validation_status"), Frequency("validation_status"))
 
 
-@register("ssl_top_ciphers", "ssl", S.value_counts("cipher", k=5))
-def top_ciphers(v: DataFrame) -> DataFrame:
-    return top_k(v, "cipher", 5)
+top_ciphers = define("ssl_top_ciphers", "ssl", S.value_counts("cipher", k=5), Frequency("cipher", k=5))
 
 
-@register("ssl_top_sources", "ssl", S.value_counts("id_orig_h", k=5))
-def top_sources(v: DataFrame) -> DataFrame:
-    return top_k(v, "id_orig_h", 5)
+top_sources = define("ssl_top_sources", "ssl", S.value_counts("id_orig_h", k=5), Frequency("id_orig_h", k=5))
 
 
-@register("ssl_top_dests", "ssl", S.value_counts("id_resp_h", k=5))
-def top_dests(v: DataFrame) -> DataFrame:
-    return top_k(v, "id_resp_h", 5)
+top_dests = define("ssl_top_dests", "ssl", S.value_counts("id_resp_h", k=5), Frequency("id_resp_h", k=5))
 
 
-@register("ssl_invalid_cert_ratio_hourly", "ssl", S.share_hourly(
+invalid_cert_ratio_hourly = define("ssl_invalid_cert_ratio_hourly", "ssl", S.share_hourly(
     "id_orig_h", "validation_status IS NOT NULL AND NOT contains(lower(validation_status), 'ok')",
-    "invalid_ratio"))
-def invalid_cert_ratio_hourly(v: DataFrame) -> DataFrame:
-    """Share of certificates whose status lacks "ok" (any case), per source per hour.
-    A substring test: "Not OK yet" counts as valid."""
-    return share_hourly(v, "id_orig_h", P.set_and_lacks_ci("validation_status", "ok"),
-                        name="invalid_ratio")
-
-
-@register("ssl_weak_cipher_hourly", "ssl",
-          S.count_hourly("id_orig_h", f"cipher IN {S.sql_list(WEAK_CIPHERS)}"))
-def weak_cipher_hourly(v: DataFrame) -> DataFrame:
-    """Handshakes on a weak cipher per source per hour."""
-    return count_hourly(v, "id_orig_h", P.in_set("cipher", WEAK_CIPHERS))
-
-
-@register("ssl_not_established_hourly", "ssl",
-          S.count_hourly("id_orig_h", "established = false"))
-def not_established_hourly(v: DataFrame) -> DataFrame:
-    """Sessions not established per source per hour."""
-    return count_hourly(v, "id_orig_h", P.is_false("established"))
+    "invalid_ratio"),
+    Hourly("share", "invalid_ratio", lambda: P.set_and_lacks_ci("validation_status", "ok")),
+    "Share of certificates whose status lacks 'ok' (any case), per source per hour. A substring test: 'Not OK yet' counts as valid.")
+
+
+weak_cipher_hourly = define("ssl_weak_cipher_hourly", "ssl", S.count_hourly("id_orig_h", f"cipher IN {S.sql_list(WEAK_CIPHERS)}"),
+    Hourly("count", where=lambda: P.in_set("cipher", WEAK_CIPHERS)),
+    "Handshakes on a weak cipher per source per hour.")
+
+
+not_established_hourly = define("ssl_not_established_hourly", "ssl", S.count_hourly("id_orig_h", "established = false"),
+    Hourly("count", where=lambda: P.is_false("established")),
+    "Sessions not established per source per hour.")

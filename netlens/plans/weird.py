@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..functions import predicates as P
-from ..operators import count_hourly, distinct_hourly, sample, shape, share_hourly, top_k, value_counts
+from ..operators import sample, shape
 from ..sources.views import view_columns
 from . import oracle as S
-from .registry import register
+from .registry import Frequency, Hourly, define, register
 
 
 @register("weird_shape", "weird", S.shape(6))
@@ -21,45 +21,30 @@ def weird_sample(v: DataFrame) -> DataFrame:
     return sample(v, 5)
 
 
-@register("weird_name_counts", "weird", S.value_counts("name"))
-def name_counts(v: DataFrame) -> DataFrame:
-    return value_counts(v, "name")
+name_counts = define("weird_name_counts", "weird", S.value_counts("name"), Frequency("name"))
 
 
-@register("weird_notice_counts", "weird", S.value_counts("notice"))
-def notice_counts(v: DataFrame) -> DataFrame:
-    return value_counts(v, "notice")
+notice_counts = define("weird_notice_counts", "weird", S.value_counts("notice"), Frequency("notice"))
 
 
-@register("weird_source_counts", "weird", S.value_counts("source"))
-def source_counts(v: DataFrame) -> DataFrame:
-    return value_counts(v, "source")
+source_counts = define("weird_source_counts", "weird", S.value_counts("source"), Frequency("source"))
 
 
-@register("weird_top_sources", "weird", S.value_counts("id_orig_h", k=5))
-def top_sources(v: DataFrame) -> DataFrame:
-    return top_k(v, "id_orig_h", 5)
+top_sources = define("weird_top_sources", "weird", S.value_counts("id_orig_h", k=5), Frequency("id_orig_h", k=5))
 
 
-@register("weird_top_dests", "weird", S.value_counts("id_resp_h", k=5))
-def top_dests(v: DataFrame) -> DataFrame:
-    return top_k(v, "id_resp_h", 5)
+top_dests = define("weird_top_dests", "weird", S.value_counts("id_resp_h", k=5), Frequency("id_resp_h", k=5))
 
 
-@register("weird_events_hourly", "weird", S.count_hourly("id_orig_h"))
-def events_hourly(v: DataFrame) -> DataFrame:
-    """Weird events per source per hour."""
-    return count_hourly(v, "id_orig_h")
+events_hourly = define("weird_events_hourly", "weird", S.count_hourly("id_orig_h"),
+    Hourly("count"),
+    "Weird events per source per hour.")
 
 
-@register("weird_unique_names_hourly", "weird",
-          S.hourly("id_orig_h", "count(DISTINCT name) AS unique_names"))
-def unique_names_hourly(v: DataFrame) -> DataFrame:
-    return distinct_hourly(v, "id_orig_h", "name", name="unique_names")
+unique_names_hourly = define("weird_unique_names_hourly", "weird", S.hourly("id_orig_h", "count(DISTINCT name) AS unique_names"),
+    Hourly("distinct", "unique_names", col="name"))
 
 
-@register("weird_notice_ratio_hourly", "weird",
-          S.share_hourly("id_orig_h", "notice = true", "notice_ratio"))
-def notice_ratio_hourly(v: DataFrame) -> DataFrame:
-    """Share of notice-flagged events per source per hour."""
-    return share_hourly(v, "id_orig_h", P.is_true("notice"), name="notice_ratio")
+notice_ratio_hourly = define("weird_notice_ratio_hourly", "weird", S.share_hourly("id_orig_h", "notice = true", "notice_ratio"),
+    Hourly("share", "notice_ratio", lambda: P.is_true("notice")),
+    "Share of notice-flagged events per source per hour.")
