@@ -13,6 +13,12 @@ taken words differ from its target by less than the size of one document. Within
 largest documents meet first, so the one that is left is mostly a small one; one bucket of each
 source waits for the last level, where its small documents round off what the others left.
 
+A document much larger than its source's mean would stay undecided to the end, as every smaller
+one it meets becomes integral first. So such documents are paired with all others of the source
+at once: each is drawn by p, and the words this adds or takes are moved from or to the others in
+equal shares of their p, which keeps the sum and all expectations. They are taken from the
+largest down while the others can balance any outcome.
+
 Only (key, id, size, p) rows are shuffled; a hot source is many buckets. Draws are hashes of
 the document's key, so reruns and retried tasks agree.
 
@@ -34,6 +40,7 @@ from .common import DOCUMENT_COLUMNS, cut, stored, table, words_of
 WEIGHTS = (5, 2, 1)   # by order of source, repeating
 MAX_COPIES = 3        # a target stops at this multiple of its source's size
 FAN_IN = 64
+LARGE = 3             # times its source's mean size
 BROADCAST_SOURCES = 50_000  # a source table up to this many rows is broadcast (checked)
 
 
@@ -104,6 +111,33 @@ def _meet(level: int, seed: int):
     return start, step
 
 
+def _balance_large(d: DataFrame, seed: int) -> DataFrame:
+    """``d`` (key, source, size, p, source_size, n_docs) with p of the large documents drawn to 0
+    or 1, and p of the others moved so that each source's sum of p * size stays."""
+    part = d.where("size > 0 AND p > 0")
+    sizes = part.groupBy("source", "size").agg(
+        F.sum("size").alias("words"), F.first("p").alias("p"), F.first("source_size").alias("all"),
+        (F.first("source_size") / F.first("n_docs")).alias("mean"))
+    down = Window.partitionBy("source").orderBy(F.col("size").desc())
+    fits = F.sum("words").over(down) <= F.col("all") * F.least(F.col("p"), 1 - F.col("p"))
+    cuts = sizes.withColumn("fits", fits).where(F.col("fits") & (F.col("size") > LARGE * F.col("mean"))) \
+        .groupBy("source").agg(F.min("size").alias("cut"))
+    cuts = cut(cuts.withColumnRenamed("source", "s"))  # one row per source
+    side = F.broadcast(cuts) if cuts.count() <= BROADCAST_SOURCES else cuts
+    d = d.join(side, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    large = (F.col("size") >= F.col("cut")) & (F.col("p") > 0)
+    drawn = F.when(uniform(F.col("key"), seed, "large") < F.col("p"), 1.0).otherwise(0.0)
+    d = d.withColumn("large", F.coalesce(large, F.lit(False))).withColumn("drawn", drawn)
+    moved = cut(d.where("cut IS NOT NULL").groupBy(F.col("source").alias("s")).agg(
+        (F.sum(F.when(F.col("large"), (F.col("drawn") - F.col("p")) * F.col("size")).otherwise(0.0))
+         / F.sum(F.when(F.col("large"), 0).otherwise(F.col("size")))).alias("by")))
+    side = F.broadcast(moved) if moved.count() <= BROADCAST_SOURCES else moved
+    d = d.join(side, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    other = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("p") - F.coalesce("by", F.lit(0.0))))
+    return d.withColumn("p", F.when(F.col("large"), F.col("drawn")).otherwise(other)) \
+        .drop("cut", "large", "drawn", "by")
+
+
 def copies(sizes: DataFrame, seed: int = 42) -> DataFrame:
     """key, id, size, source_size, target, copies for every row of ``sizes`` (key bigint,
     id bigint, source string, size bigint)."""
@@ -118,7 +152,8 @@ def copies(sizes: DataFrame, seed: int = 42) -> DataFrame:
         .otherwise(F.lit(0.0))
     d = d.withColumn("base", F.floor(rate).cast("int")).withColumn("p", rate - F.floor(rate))
     d = d.withColumn("buckets", F.ceil(F.col("n_docs") / F.lit(FAN_IN)).cast("bigint"))
-    plain = (F.col("size") == 0) | (F.col("p") == 0)
+    d = _balance_large(d, seed)
+    plain = (F.col("size") == 0) | (F.col("p") <= 0) | (F.col("p") >= 1)
     free = d.where(plain).select(
         "key", "id", "size", "source",
         (F.col("base") + F.when(uniform(F.col("key"), seed) < F.col("p"), 1).otherwise(0)).alias("copies"))
