@@ -244,3 +244,18 @@ def test_mixing_odd_rows(clash, documents):
     assert mixing.mix(clash).count() == total
     assert mixing.copies(mixing.document_sizes(documents([]))).count() == 0 and mixing.mix(documents([])).count() == 0
     assert all(r.copies == 0 for r in mixing.copies(mixing.document_sizes(documents([(1, None), (2, " ")]))).collect())
+
+
+def test_mixing_balances_large_documents(documents):
+    """One document with a fifth of its source's words: the others make up for either draw."""
+    rows = [(k, "w " * (20 + k % 40), "a") for k in range(300)] + [(1000, "w " * 3000, "a")] \
+        + [(2000 + k, "w " * 30, "b") for k in range(400)]
+    df = mixing.document_sizes(documents(rows)).cache()
+    drawn = set()
+    for seed in range(6):
+        got = mixing.copies(df, seed=seed).collect()
+        for s in "ab":
+            mine = [r for r in got if r.source == s]
+            assert abs(sum(r.copies * r.size for r in mine) - mine[0].target) < 60
+        drawn.add(next(r.copies for r in got if r.id == 1000))
+    assert len(drawn) == 2  # both outcomes occur
