@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .. import schemas as Z
 from ..session import checkpoint_dir
 
-SRC, SIZE, FIELDS, VALS = "src_file", "file_size", "__fields", "__vals"
+SRC, SIZE, PLACES, VALS = "src_file", "file_size", "__places", "__vals"
 BROADCAST_HEADER_BYTES = 64 << 20
 BYTES_PER_SALT = 128 << 20
 
@@ -163,7 +163,9 @@ def parse_lines(lines: DataFrame, log_type: str | None = None,
         .select("f", "at", F.get("types", F.col("at")).alias("t"))
     names = named.groupBy("f").agg(F.min("at").alias("at"), F.collect_set("t").alias("ts")).orderBy("at", "f").collect()
 
-    hdr = headers.select(SRC, F.col("fields").alias(FIELDS))
+    # per file: where each of the names stands in its lines (NULL: not there)
+    place = lambda f: F.nullif(F.array_position("fields", F.lit(f)), F.lit(0).cast("bigint")).cast("int") - 1
+    hdr = headers.select(SRC, F.array(*[place(r["f"]) for r in names]).alias(PLACES))
     data = (lines.where(~F.col("value").startswith("#") & (F.col("value") != ""))
                  .select(SRC, F.split("value", "\t", -1).alias(VALS)))
     if meas["b"] <= broadcast_header_bytes:
@@ -176,9 +178,8 @@ def parse_lines(lines: DataFrame, log_type: str | None = None,
                   .join(hdr.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))),
                         [SRC, "__salt"]).drop("__salt"))
     cols = []
-    for r in names:
-        at = F.array_position(FIELDS, F.lit(r["f"])).cast("int")  # 0: not in this file
-        raw = F.when(at > 0, F.get(VALS, at - 1))
+    for k, r in enumerate(names):
+        raw = F.get(VALS, F.get(PLACES, F.lit(k)))
         cols.append(_convert(raw, _kind(log_type, r["f"], set(r["ts"]))).alias(Z.canonical(r["f"])))
     ltype = F.lit(log_type) if log_type else path_part(1)
     return joined.select(*cols, F.col(SRC), ltype.alias("log_type"), path_part(2).try_cast("date").alias("log_date"))
