@@ -38,15 +38,24 @@ HEX_CLASS = ("0123456789abcdef", 3.0)
 BASE64_CLASS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 4.2)
 
 # strings that look random but are no secrets
-ALLOW_LIST = "|".join([
+LOOKALIKES = "|".join([
     r"^[^0-9]*$",                                       # words and identifiers: no digit
     r"^[0-9+/_-]+$",                                    # numbers, dates, rules
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",  # UUIDs
     r"^sha(1|256|384|512)[-_]",                         # integrity digests
     r"(?i)example|placeholder|xxxx",                    # samples
     r"(?i)abcdefghij|0123456789",                       # alphabets
-    r"(/[A-Za-z0-9_-]*){4}",                            # paths
 ])
+# Long base64 and webhook URLs hold four slashes too, so a path is judged by its parts as well.
+SLASHES = r"(/[A-Za-z0-9_-]*){4}"
+ALLOW_LIST = f"{LOOKALIKES}|{SLASHES}"                  # of the statement, which knows no parts
+
+PART_ENDS = r"[/+_-]"
+# a part like a word: three characters at most; or runs of two letters or more with numbers, of
+# which one at most stands between letters. Possessive, and bounded by the part's length.
+WORDY = (r"^(?:[A-Za-z0-9]{0,3}|(?=.{4,40}$)(?![A-Za-z]*[0-9]+[A-Za-z]+[0-9]+[A-Za-z])"
+         r"(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+|[0-9]++)++)$")
+ODD_MIN = 12                         # characters in other parts, from which a string is not wordy
 
 _UNIT = 1_000_000
 _C_LOG_C = [round(c * math.log2(c) * _UNIT) if c else 0 for c in range(WINDOW + 1)]
@@ -90,14 +99,25 @@ def _least_sum(text: Column, alphabet: str) -> Column:
     return F.transform(F.array(symbols), slide)[0]
 
 
+def is_wordy(text: Column) -> Column:
+    """Fewer than ``ODD_MIN`` characters stand in parts that are not like words."""
+    odd = F.filter(F.split(text, PART_ENDS, -1), lambda p: ~p.rlike(WORDY))
+    return F.length(F.array_join(odd, "")) < ODD_MIN
+
+
 def is_random(text: Column) -> Column:
     """Entropy rule of the candidate's class, after the allow list."""
     hex_ = _least_sum(F.lower(text), HEX_CLASS[0]) <= most_sum(HEX_CLASS[1])
     base64 = _least_sum(text, BASE64_CLASS[0]) <= most_sum(BASE64_CLASS[1])
-    return F.when(text.rlike(ALLOW_LIST), F.lit(False)) \
+    return F.when(text.rlike(LOOKALIKES) | (text.rlike(SLASHES) & is_wordy(text)), F.lit(False)) \
         .when(text.rlike(HEX_TEXT), hex_).otherwise(base64)
 
 
+def is_known(text: Column) -> Column:
+    """Of the random candidates, those of the rule of ``ORACLE``."""
+    return ~text.rlike(SLASHES)
+
+
 def _matches(text: Column, pattern: str, kind: str, keep=None, groups: Column | None = None) -> Column:
     """array<struct<s, k, e, text>> of the leftmost non-overlapping matches: the pieces
     between matches give the positions. ``keep(match, i)`` filters."""
@@ -125,8 +145,9 @@ def _spelled(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``row`` (struct of all input columns), ``t`` (the text, null as ''), ``base`` and
-    ``spans``: arrays of struct(s, k, e) in order of start, then kind."""
+    """``row`` (struct of all input columns), ``t`` (the text, null as ''), ``base``, ``spans``
+    and ``found``: arrays of struct(s, k, e) in order of start, then kind. ``found`` is the whole
+    scan; ``spans`` leaves out what the rule of ``ORACLE`` does not know."""
     d = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     t = F.col("t")
     # group 2 of the assign match is its longest tail of value characters after [:=], quote
@@ -139,9 +160,12 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     free = F.filter("cand", lambda c: ~F.exists("base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
                     & is_random(c["text"]))
     d = d.select("row", "t", "base", F.when(F.size("cand") > 0, F.array_sort(F.concat("base", free)))
-                 .otherwise(F.col("base")).alias("spans"))
+                 .otherwise(F.col("base")).alias("found"))
+    d = d.select("row", "t", "base", "found", F.filter("found", lambda x: (x["k"] != KINDS.index("entropy"))
+                                                       | is_known(x["text"])).alias("spans"))
     bare = lambda c: F.transform(c, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
-    return apart(d.select("row", "t", bare("base").alias("base"), bare("spans").alias("spans")))
+    return apart(d.select("row", "t", bare("base").alias("base"), bare("spans").alias("spans"),
+                          bare("found").alias("found")))
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -149,11 +173,11 @@ def redact(docs: DataFrame) -> DataFrame:
     columns of ``documents``, with ``n_chars`` brought up to date where a text changed."""
     d = scan(docs)
     state = F.aggregate(
-        "spans", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
+        "found", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
         lambda a, x: F.when(x["s"] < a["at"], F.struct(F.greatest(a["at"], x["e"]).alias("at"), a["out"].alias("out")))
         .otherwise(F.struct(x["e"].alias("at"), F.concat(a["out"], F.array(
             F.substring(F.col("t"), a["at"] + 1, x["s"] - a["at"]), F.lit("[SECRET]"))).alias("out"))))
-    d = d.select("row", "t", "spans", F.when(F.size("spans") > 0, state).alias("st"))
+    d = d.select("row", "t", "found", F.when(F.size("found") > 0, state).alias("st"))
     text = F.when(F.col("st").isNull(), F.col("row.text")).otherwise(F.concat(
         F.array_join("st.out", ""), F.expr("substring(t, st.at + 1)")))
     d = d.select("row", "st", text.alias("clean"))
@@ -168,7 +192,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("row.doc_id", count("base", "assign").alias("n_assign"), count("base", "access").alias("n_access"),
                     count("base", "hex").alias("n_hex"),
                     F.sha2(_spelled(F.col("base")), 256).alias("base_sha256"),
-                    _spelled(F.col("spans")).alias("spans"), count("spans", "entropy").alias("n_entropy"))
+                    _spelled(F.col("found")).alias("spans"), count("found", "entropy").alias("n_entropy"))
 
 
 def _oracle() -> str:

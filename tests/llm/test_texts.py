@@ -76,6 +76,19 @@ def test_redaction(clash, documents):
     assert secret_scan.redact(clash).count() == 12
 
 
+def test_slashes_alone_make_no_path(documents):
+    rnd = random.Random(12)
+    b64 = string.ascii_letters + string.digits + "+/"
+    secrets = ["".join(rnd.choice(b64) for _ in range(n)) for n in (344, 512, 1024, 1600) for _ in range(10)]
+    secrets = [x for x in secrets if re.search("(/[A-Za-z0-9_-]*){4}", x)] + ["com/services/T01ABCD2EFG/B02HIJK3LMN/aB3dE5fG7hJ9kL1mN3pQ5rS7"]
+    assert len(secrets) > 10
+    paths = ["/usr/lib/python3/site-packages/one1/two2/three3/four4", "home/user/src/x86_64-linux-gnu/qt5/libQt5Core/v12/Makefile2",
+             "/blog/2024/01/15/the-quick-brown-fox-jumps-over-13-lazy-dogs"]
+    out = {r.doc_id: r.text for r in secret_scan.redact(documents(list(enumerate(secrets + paths)))).collect()}
+    assert all(out[k] == "[SECRET]" for k in range(len(secrets)))
+    assert [out[len(secrets) + k] for k in range(len(paths))] == paths
+
+
 # -- quality rules
 
 def test_lines_and_verdicts(documents):
