@@ -1,7 +1,8 @@
 """Secret scan (operator 3), DataFrame expressions only.
 
 Base patterns give the spans ``assign``, ``access`` and ``hex``. The entropy pass adds
-spans of kind ``entropy``: candidate strings are classed as hex or base64 text, a window
+spans of kind ``entropy``: candidate strings are classed by their alphabet (hex, base32, upper
+or lower case with digits, base64), a window of 32 symbols (20 for candidates of 20 to 31)
 slides over each one while a per-symbol count array is updated by the symbol that enters
 and the symbol that leaves, and a candidate is reported when the Shannon entropy of some
 window reaches the threshold of its class, unless the allow list names it or a base span
@@ -37,6 +38,20 @@ HEX_TEXT = r"^[0-9A-Fa-f]+$"
 HEX_CLASS = ("0123456789abcdef", 3.0)
 BASE64_CLASS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 4.2)
 
+# The whole scan: shorter candidates in a window of their own, and thresholds by alphabet, which
+# at most 1 % of random strings as long as the window miss (base64 in 32: as above).
+SHORT_WINDOW = 20
+SHORT_CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"  # SHORT_WINDOW characters or more
+# class -> (pattern, least entropy in 32, least entropy in 20), first match; signs that join parts
+# do not count as symbols of the smaller alphabets
+CLASSES = [
+    (HEX_TEXT, HEX_CLASS[1], 2.85),
+    (r"^[A-Z2-7_-]+$", 3.8, 3.3),
+    (r"^[A-Z0-9_-]+$", 3.85, 3.35),
+    (r"^[a-z0-9_-]+$", 3.85, 3.35),
+    (r"", BASE64_CLASS[1], 3.6),
+]
+
 # strings that look random but are no secrets
 LOOKALIKES = "|".join([
     r"^[^0-9]*$",                                       # words and identifiers: no digit
@@ -61,20 +76,20 @@ _UNIT = 1_000_000
 _C_LOG_C = [round(c * math.log2(c) * _UNIT) if c else 0 for c in range(WINDOW + 1)]
 
 
-def most_sum(bits: float) -> int:
+def most_sum(bits: float, window: int = WINDOW) -> int:
     """Largest sum of c * log2(c) over a window's counts (in millionths) at which its
     entropy, log2(W) - sum / W, is still ``bits`` or more."""
-    return round(WINDOW * (math.log2(WINDOW) - bits) * _UNIT)
+    return round(window * (math.log2(window) - bits) * _UNIT)
 
 
-def _least_sum(text: Column, alphabet: str) -> Column:
+def _least_sum(text: Column, alphabet: str, window: int = WINDOW) -> Column:
     """Smallest sum of c * log2(c) over the windows of ``text``. The state holds the counts
     of the current window; each step changes the two symbols that move."""
     table_ = F.array(*[F.lit(x).cast("bigint") for x in _C_LOG_C])
     n = len(alphabet)
 
     def slide(symbols: Column) -> Column:
-        left = F.slice(F.concat(F.array_repeat(F.lit(0), WINDOW), symbols), 1, F.size(symbols))
+        left = F.slice(F.concat(F.array_repeat(F.lit(0), window), symbols), 1, F.size(symbols))
         steps = F.zip_with(symbols, left, lambda i, o: F.struct(i.alias("i"), o.alias("o")))
         start = F.struct(F.array_repeat(F.lit(0), n + 1).alias("c"), F.lit(0).cast("bigint").alias("s"),
                          F.lit(2 ** 62).cast("bigint").alias("least"), F.lit(0).alias("k"))
@@ -90,7 +105,7 @@ def _least_sum(text: Column, alphabet: str) -> Column:
                 .when((j == x["o"]) & (x["o"] > 0), v - 1).otherwise(v)))
             return F.struct(
                 counts.alias("c"), s.alias("s"),
-                F.when(a["k"] >= WINDOW - 1, F.least(a["least"], s)).otherwise(a["least"]).alias("least"),
+                F.when(a["k"] >= window - 1, F.least(a["least"], s)).otherwise(a["least"]).alias("least"),
                 (a["k"] + 1).alias("k"))
 
         return F.aggregate(steps, start, step)["least"]
@@ -106,16 +121,23 @@ def is_wordy(text: Column) -> Column:
 
 
 def is_random(text: Column) -> Column:
-    """Entropy rule of the candidate's class, after the allow list."""
-    hex_ = _least_sum(F.lower(text), HEX_CLASS[0]) <= most_sum(HEX_CLASS[1])
-    base64 = _least_sum(text, BASE64_CLASS[0]) <= most_sum(BASE64_CLASS[1])
+    """Entropy rule of the candidate's class and length, after the allow list. A string of words
+    reaches the thresholds of the shorter window and of the smaller alphabets by chance, so it
+    needs 32 characters and the threshold of base64 text."""
+    folded = F.when(text.rlike(HEX_TEXT), F.lower(text)).otherwise(text)
+    least = lambda window: F.transform(F.array(folded), lambda x: _least_sum(x, BASE64_CLASS[0], window))[0]
+    most = lambda at, window: F.coalesce(*[
+        F.when(text.rlike(c[0]), F.lit(most_sum(c[at], window))) for c in CLASSES])
+    whole = F.when(is_wordy(text) & ~text.rlike(HEX_TEXT), F.lit(most_sum(BASE64_CLASS[1]))).otherwise(most(1, WINDOW))
     return F.when(text.rlike(LOOKALIKES) | (text.rlike(SLASHES) & is_wordy(text)), F.lit(False)) \
-        .when(text.rlike(HEX_TEXT), hex_).otherwise(base64)
+        .when(F.length(text) >= WINDOW, least(WINDOW) <= whole) \
+        .otherwise(~is_wordy(text) & (least(SHORT_WINDOW) <= most(2, SHORT_WINDOW)))
 
 
 def is_known(text: Column) -> Column:
     """Of the random candidates, those of the rule of ``ORACLE``."""
-    return ~text.rlike(SLASHES)
+    return (F.length(text) >= WINDOW) & ~text.rlike(SLASHES) \
+        & (text.rlike(HEX_TEXT) | (_least_sum(text, BASE64_CLASS[0]) <= most_sum(BASE64_CLASS[1])))
 
 
 def _matches(text: Column, pattern: str, kind: str, keep=None, groups: Column | None = None) -> Column:
@@ -156,7 +178,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
                       lambda x: F.length(F.regexp_extract(x["text"], value, 1)) >= ASSIGN_MIN)
     d = d.select("row", "t", F.array_sort(F.concat(
         assign, _matches(t, ACCESS, "access"), _matches(t, HEX, "hex"))).alias("base"),
-        _matches(t, CANDIDATE, "entropy").alias("cand"))
+        _matches(t, SHORT_CANDIDATE, "entropy").alias("cand"))
     free = F.filter("cand", lambda c: ~F.exists("base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
                     & is_random(c["text"]))
     d = d.select("row", "t", "base", F.when(F.size("cand") > 0, F.array_sort(F.concat("base", free)))
