@@ -15,10 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, WHITE_RUN, WORD_CHAR, apart, table, words_of
+from .common import DOCUMENT_COLUMNS, WHITE, WHITE_RUN, WORD_CHAR, apart, table, words_of
 
 SYMBOLS = r"[#*$%&|<>]"
 LOUD = r"[!?#*$%&|<>]"  # what a line of prose holds little of
+MARKERS = r"^[\x20\x09-\x0D]*[#*]{1,6}[\x20\x09]+"  # headings and list items of markdown
+SHOUTED = r"!!|\?\?|[#*$%&<>]{3}|\|"  # no single marks of prose; a bar separates cells or links
 SEPARATORS = r"[|»›·•]"
 NAVIGATION = (r"(?i)^[\x20\x09-\x0D]*(home|menu|log ?in|log ?out|sign ?(in|up)|skip to (main )?content|next|previous"
               r"|back to top|read more|share this|subscribe|search|contact us|about us)[\x20\x09-\x0D]*$")
@@ -30,6 +32,8 @@ WINDOW = 5               # words in a repetition window
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20  # of the words, inside windows seen twice or more
 MAX_LOUD_PERCENT = 10    # of a line's characters
+MIN_LOUD = 5             # in a line, to call it loud if nothing in it is shouted
+MIN_BOILERPLATE_PERCENT = 20  # of a line's characters, in such phrases
 MIN_SEPARATORS = 3       # in a line, to call it a navigation bar
 MAX_LOST_PERCENT = 50    # of the word characters, removed with failing lines
 
@@ -41,10 +45,17 @@ def _n_matches(text: Column, cls: str) -> Column:
 
 def line_passes(line: Column) -> Column:
     """The three rules on one line that has a word."""
-    punctuation = (_n_matches(line, LOUD) * 100 <= F.length(line) * MAX_LOUD_PERCENT) \
-        & line.rlike(r"[\p{L}\p{N}]")
+    over = _n_matches(line, LOUD) * 100 > F.length(line) * MAX_LOUD_PERCENT
+    rest = F.regexp_replace(line, MARKERS, "")
+    n = _n_matches(rest, LOUD)
+    loud = over & (n * 100 > F.length(line) * MAX_LOUD_PERCENT) & ((n >= MIN_LOUD) | rest.rlike(SHOUTED))
+    punctuation = ~loud & line.rlike(r"[\p{L}\p{N}]")
     navigation = (_n_matches(line, SEPARATORS) >= MIN_SEPARATORS) | line.rlike(NAVIGATION)
-    return punctuation & ~navigation & ~line.rlike(BOILERPLATE)
+    # a phrase inside a paragraph is part of its prose
+    boilerplate = line.rlike(BOILERPLATE) \
+        & ((F.length(line) - F.length(F.regexp_replace(line, BOILERPLATE, ""))) * 100
+           >= F.length(F.btrim(line, F.lit(WHITE))) * MIN_BOILERPLATE_PERCENT)
+    return punctuation & ~navigation & ~boilerplate
 
 
 def _repeated_words(n: Column, hashes: Column) -> Column:

@@ -121,6 +121,18 @@ def test_lines_and_verdicts(documents):
     assert set(kept) == {k for k in rows if got[k].kept} and all(r.n_chars == len(r.text) for r in kept.values())
 
 
+def test_clean_lines_stay(documents):
+    prose = "The old mill was powered by the river, and every visitor who came to the privacy policy talk had to click here and there. "
+    prose += "Behind it lies a quiet garden where the miller's children once kept bees, sold honey to travellers and wrote down the weather."
+    dialogue = "Why not?\nReally?\nWho? Me?\nYes, you!\nOh no! Why?\nBecause I say so."
+    lists = "# Intro\n* milk\n* eggs\n## To do\n* buy bread and butter\n50 % off\n* go home at ten"
+    junk = ["BUY!! NOW!!", "All rights reserved.", "  Powered by Foo", "He | and.", "Le&&& treque.", "# a!! b", "a!b?c!d?e!", "Please click here. We use cookies."]
+    rows = [(k, t) for k, t in enumerate([prose.strip(), dialogue, lists, "\n".join(junk + [prose.strip()])])]
+    got = {r.doc_id: r for r in quality_rules.measure(documents(rows)).select("row.doc_id", "*").collect()}
+    assert all(got[k].n_lines_removed == 0 and got[k].kept and got[k].clean_text == t for k, t in rows[:3])
+    assert got[3].n_lines_removed == len(junk) and got[3].clean_text == prose.strip()
+
+
 def test_quality_rules_odd_rows(clash, documents):
     assert quality_rules.measure(clash).count() == 12
     assert quality_rules.clean(documents([])).count() == 0
