@@ -186,6 +186,19 @@ def test_chunks_survive_an_insertion():
     assert C.containment(C.chunk_set(text), C.chunk_set(text)) == 1.0
 
 
+def test_short_texts_keep_chunks_when_edited():
+    rnd = random.Random(7)
+    line = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n))
+    for size, least in ((60, 0.8), (100, 0.95), (200, 0.99)):
+        near = []
+        for _ in range(300):
+            text, other = line(size), line(size)
+            chunks = C.chunk_set(text.encode())
+            near.append(C.containment(chunks, C.chunk_set(C.edited(text, other).encode())))
+            assert C.containment(chunks, C.chunk_set(other.encode())) == 0
+        assert np.mean([x > 0 for x in near]) >= least
+
+
 def test_fingerprints_odd_rows(clash):
     rows = C.fingerprints(clash).collect()
     assert len(rows) == 12 and all(0 <= r.near_next <= 1 and 0 <= r.near_edited <= 1 for r in rows)
