@@ -35,7 +35,11 @@ are not UTF-8 are read as U+FFFD; extra columns are ignored; an empty table writ
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import struct
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,17 +59,76 @@ _CACHED_WORDS = 1 << 20
 _OUT_BYTES = 4 << 20
 
 
+# The normaliser and pre-tokenizer for which a word's pieces are known without them.
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+# of printable ASCII in lower case the pattern comes to this, and the other steps change nothing
+_PIECE = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+_PRINTABLE = re.compile(rb"[!-~]+")
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_MARK_BYTES = _MARKS.encode()
+_LATIN_TO_CYRILLIC = "\u0500"
+# byte-level alphabet: printable bytes stand for themselves, the others for U+0100 and on, in order
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_ALPHABET = dict(zip([x for x in range(256) if x not in _PRINTED], range(256, 512)))
+
+
+def _known(settings: dict) -> bool:
+    split = (settings.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    return (settings.get("normalizer") or {}).get("normalizers") == _NORMALIZER \
+        and split[0].get("pattern") == {"Regex": _PATTERN} and [x["type"] for x in split] == ["Split", "ByteLevel"] \
+        and not split[1]["add_prefix_space"]
+
+
 class _Words(dict):
-    """UTF-8 word -> its ids in the file format, filled on demand."""
+    """UTF-8 word -> its ids in the file format, filled on demand.
+
+    Where the tokenizer file has the settings above, a printable ASCII word is the pieces of its
+    lower case, a word of Latin, Greek or Cyrillic letters is its lower case, and marks after either
+    are a piece of their own. Pieces are given to the library's model, and words that differ in case
+    or marks share them. All other words are given to the library whole."""
 
     def __init__(self, data: bytes, dtype: str):
         from tokenizers import Tokenizer
         super().__init__()
-        self.tokenizer, self.dtype = Tokenizer.from_str(data.decode()), dtype
+        self.tokenizer, self.code = Tokenizer.from_str(data.decode()), "H" if dtype == "<u2" else "I"
+        self.model = self.tokenizer.model if _known(json.loads(data)) else None
+        self.special = re.compile(b"|".join(re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values())
+                                  or b"(?!)")
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
+    def _whole(self, word: bytes) -> bytes:
+        return self._packed(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
+
+    def _piece(self, piece: bytes) -> bytes:
+        """``piece`` as it is after all steps before the model."""
+        return self._packed([t.id for t in self.model.tokenize(piece.decode("latin-1").translate(_ALPHABET))])
+
+    def _pieces(self, word: bytes) -> bytes:
+        letters = word.rstrip(_MARK_BYTES)
+        if letters.isalpha():  # ASCII letters
+            lower = letters.lower()
+            if len(letters) < len(word):
+                return self[lower] + self[word[len(letters):]]
+            return self._piece(word) if lower == word else self[lower]
+        if _PRINTABLE.fullmatch(word):
+            if self.special.search(word):
+                return self._whole(word)
+            pieces = _PIECE.findall(word.lower())
+            return self._piece(word) if pieces == [word] else b"".join(map(self.__getitem__, pieces))
+        text = letters.decode("utf-8", "replace")
+        lower = "".join([c.lower() for c in text])
+        if text.isalpha() and lower.isalpha() and max(text) < _LATIN_TO_CYRILLIC and unicodedata.is_normalized("NFC", text):
+            if len(letters) < len(word):
+                return self[letters] + self[word[len(letters):]]
+            return self._piece(lower.encode())
+        return self._whole(word)
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        out = np.array(ids, self.dtype).tobytes()
+        out = self._pieces(word) if self.model else self._whole(word)
         if len(word) <= _CACHED_BYTES:
             if len(self) >= _CACHED_WORDS:
                 self.clear()

@@ -76,6 +76,17 @@ def test_tokens_equal_the_library(spark, documents):
     assert shard.ids(0)[-1] == 2 and len(shard.all) == shard.ends[-1] == first["n_ids"]
 
 
+def test_words_equal_the_library():
+    with open(token_files.TOKENIZER, "rb") as f:
+        words = token_files._Words(f.read(), "<u2")
+    rng = random.Random(3)
+    signs = "aBçÉéeÈo0９٣ı İſḰ̸ªº日本'’sStrevmld.,-<|>endoftext_&\x1c\x00\x7f\u200b\xad\xa0ΩωΣςßẞЖжǅﷺﬁ "
+    for _ in range(20000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randrange(1, 9))) + rng.choice(["", "'s", "'S.", "é,", "<|endoftext|>"])
+        ids = words.tokenizer.encode(text, add_special_tokens=False).ids
+        assert words.encode(text.encode()) == np.array(ids, "<u2").tobytes(), repr(text)
+
+
 def test_tokens_odd_rows(spark, odd, clash):
     _, got = read(spark, odd)
     assert [r[0] for r in got] == [None, None, None, 1, 1, 2, 3, 4, 5, 5, 6, 7]
