@@ -60,6 +60,15 @@ def apart(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
+def identity(*columns: str) -> list[Column]:
+    """Two 64-bit hashes, ``a`` and ``b``, that name a row by its ``columns``. A hash of columns
+    passes nulls over, so a mask of the null columns is hashed with them."""
+    nulls = F.lit(0)
+    for k, c in enumerate(columns):
+        nulls = nulls + F.when(F.col(c).isNull(), 1 << k).otherwise(0)
+    return [F.xxhash64(F.lit(k), nulls, *columns).alias(name) for k, name in enumerate("ab")]
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32(doc_id as text) mod n; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))

@@ -138,7 +138,9 @@ def folded(leaf: Column, steps: Column) -> Column:
 def manifest(docs: DataFrame, tampered_one_in: int = TAMPERED_ONE_IN) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root and verified of every row; every
     ``tampered_one_in``-th id (by CRC-32) is folded from its lower-cased text."""
-    rows = ranked(leaves(docs.select(*DOCUMENT_COLUMNS), tampered_one_in), ["group"], ["doc_id", "h"], "merkle-leaves")
+    # stored first: ranking samples its input, and would read and hash the texts twice
+    own = stored(leaves(docs.select(*DOCUMENT_COLUMNS), tampered_one_in), "merkle-digests")
+    rows = ranked(own, ["group"], ["doc_id", "h"], "merkle-leaves")
     low, tops = levels(rows.select("*", F.col("rank").alias("lo"), (F.col("rank") + 1).alias("hi")),
                        F.struct(F.col("rank").alias("lo"), (F.col("rank") + 1).alias("hi"), "h", "t", "doc_id"), "merkle")
     subroots = ranked(tops.select("group", "h"), [], ["group"], "merkle-subroots")

@@ -20,11 +20,12 @@ equal shares of their p, which keeps the sum and all expectations. They are take
 largest down while the others can balance any outcome.
 
 Only (key, id, size, p) rows are shuffled; a hot source is many buckets. Draws are hashes of
-the document's key, so reruns and retried tasks agree.
+the document's key and of its number among equal rows, so reruns and retried tasks agree, and
+equal rows, however many, are spread over the buckets.
 
 Defined results: null text has size 0; null source is a source of its own, last in order; a
-document without words takes no words. Rows that repeat in id, source and text are separate
-documents with the same key; an empty table gives no rows. A table without words has all
+document without words takes no words. Rows that are equal in all columns are separate documents
+with the same key; an empty table gives no rows. A table without words has all
 targets 0.
 """
 
@@ -35,12 +36,13 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, cut, stored, table, words_of
+from .common import DOCUMENT_COLUMNS, cut, identity, stored, table, words_of
 
 WEIGHTS = (5, 2, 1)   # by order of source, repeating
 MAX_COPIES = 3        # a target stops at this multiple of its source's size
 FAN_IN = 64
 LARGE = 3             # times its source's mean size
+CHUNK = 1000         # equal rows, or copies of a row, that are dealt out together
 BROADCAST_SOURCES = 50_000  # a source table up to this many rows is broadcast (checked)
 
 
@@ -76,7 +78,7 @@ def uniform(key: Column, *salt) -> Column:
     return F.shiftrightunsigned(F.xxhash64(key, *[F.lit(s) for s in salt]), 11).cast("double") / float(2 ** 53)
 
 
-_ITEM = "struct<size:bigint,key:bigint,p:double,id:bigint,base:int,source:string>"
+_ITEM = "struct<size:bigint,key:bigint,p:double,id:bigint,base:int,source:string,row:bigint>"
 
 
 def _meet(level: int, seed: int):
@@ -86,10 +88,10 @@ def _meet(level: int, seed: int):
     def with_p(x: Column, p: Column) -> Column:
         return F.struct(x["size"].alias("size"), x["key"].alias("key"),
                         F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)).alias("p"), x["id"].alias("id"),
-                        x["base"].alias("base"), x["source"].alias("source"))
+                        x["base"].alias("base"), x["source"].alias("source"), x["row"].alias("row"))
 
     def decided(x: Column, take: int) -> Column:
-        return F.struct(x["key"].alias("key"), x["id"].alias("id"), x["size"].alias("size"),
+        return F.struct(x["row"].alias("row"), x["id"].alias("id"), x["size"].alias("size"),
                         x["source"].alias("source"), (x["base"] + take).alias("copies"))
 
     def step(a: Column, e: Column) -> Column:
@@ -107,7 +109,7 @@ def _meet(level: int, seed: int):
             .otherwise(F.struct(left.alias("r"), F.concat(a["out"], F.array(done)).alias("out")))
 
     start = F.struct(none.alias("r"), F.array().cast(
-        "array<struct<key:bigint,id:bigint,size:bigint,source:string,copies:int>>").alias("out"))
+        "array<struct<row:bigint,id:bigint,size:bigint,source:string,copies:int>>").alias("out"))
     return start, step
 
 
@@ -138,10 +140,29 @@ def _balance_large(d: DataFrame, seed: int) -> DataFrame:
         .drop("cut", "large", "drawn", "by")
 
 
+def _each_copy(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, id, source, size, equal rows repeated) with ``copy``, the number of the row
+    among its equals. Equal rows are counted (with map-side combine) and dealt out again in
+    chunks, so their number is no window and no task holds them all."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    same = rows.groupBy("key", "id", "source", "size").agg(F.count(F.lit(1)).alias("m"))
+    single = same.where("m = 1").select("key", "id", "source", "size", F.lit(0).cast("bigint").alias("copy"))
+    chunk = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("m") - 1) / CHUNK)))
+    many = same.where("m > 1").withColumn("chunk", chunk).repartition(n, "key", "chunk")
+    first = F.col("chunk") * CHUNK
+    last = F.least(F.col("m"), first + CHUNK) - 1
+    many = many.select("key", "id", "source", "size", F.explode(F.sequence(first, last)).alias("copy"))
+    return single.unionByName(many)
+
+
 def copies(sizes: DataFrame, seed: int = 42) -> DataFrame:
     """key, id, size, source_size, target, copies for every row of ``sizes`` (key bigint,
-    id bigint, source string, size bigint)."""
-    sizes = stored(sizes, "mixing-sizes")  # read twice: word counts are made once
+    id bigint, source string, size bigint); rows that are equal in key are equal in all."""
+    # read twice: word counts are made once; draws are by (key, copy), kept in ``key``
+    sizes = stored(sizes, "mixing-sizes")
+    sizes = stored(_each_copy(sizes).select(
+        F.when(F.col("copy") == 0, F.col("key")).otherwise(F.xxhash64("key", "copy")).alias("key"),
+        F.col("key").alias("row"), "id", "source", "size"), "mixing-items")
     targets = cut(source_targets(sizes))
     n_sources, most = targets.agg(F.count(F.lit(1)), F.max("n_docs")).first()
     side = targets.withColumnRenamed("source", "s")
@@ -155,9 +176,9 @@ def copies(sizes: DataFrame, seed: int = 42) -> DataFrame:
     d = _balance_large(d, seed)
     plain = (F.col("size") == 0) | (F.col("p") <= 0) | (F.col("p") >= 1)
     free = d.where(plain).select(
-        "key", "id", "size", "source",
+        "row", "id", "size", "source",
         (F.col("base") + F.when(uniform(F.col("key"), seed) < F.col("p"), 1).otherwise(0)).alias("copies"))
-    item = F.struct("size", "key", "p", "id", "base", "source").alias("item")
+    item = F.struct("size", "key", "p", "id", "base", "source", "row").alias("item")
     live = d.where(~plain).select("source", F.pmod(F.xxhash64("key"), F.col("buckets")).alias("bucket"), item)
     levels = 1 + max(0, math.ceil(math.log(max(1, math.ceil((most or 1) / FAN_IN)), FAN_IN) - 1e-9))
     parts = [free]
@@ -171,36 +192,40 @@ def copies(sizes: DataFrame, seed: int = 42) -> DataFrame:
                      .select("source", "bucket", F.aggregate("items", start, step).alias("f"))
                      .select("source", "bucket", "f.r", "f.out"))
         parts.append(folded.select(F.explode("out").alias("o")).select("o.*")
-                     .select("key", "id", "size", "source", "copies"))
+                     .select("row", "id", "size", "source", "copies"))
         live = folded.select("source", F.floor(F.col("bucket") / FAN_IN).alias("bucket"), F.col("r").alias("item"))
     parts.append(live.select("item.*").select(
-        "key", "id", "size", "source",
+        "row", "id", "size", "source",
         (F.col("base") + F.when(uniform(F.col("key"), seed, "root") < F.col("p"), 1).otherwise(0)).alias("copies")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.join(side.drop("n_docs"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    return out.join(side.drop("n_docs"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s") \
+        .withColumnRenamed("row", "key")
 
 
 def document_sizes(docs: DataFrame) -> DataFrame:
     """key (identity of the row), id, source and size in words of every document."""
-    return docs.select(F.xxhash64("doc_id", "source", "text").alias("key"), F.col("doc_id").alias("id"), "source",
+    return docs.select(identity(*DOCUMENT_COLUMNS)[0].alias("key"), F.col("doc_id").alias("id"), "source",
                        F.size(words_of(F.col("text"))).cast("bigint").alias("size"))
 
 
 def mix(docs: DataFrame, seed: int = 42) -> DataFrame:
-    """The documents of the mix: each row as often as its copies say (0 to 3); the columns
-    of ``documents``. Equal rows share their copies in turn."""
-    same = ["key", "known", "number"]  # join keys without nulls
-    known, number = F.col("id").isNotNull(), F.coalesce("id", F.lit(0).cast("bigint"))
-    dec = copies(document_sizes(docs), seed).groupBy("key", known.alias("known"), number.alias("number")).agg(
-        F.sum("copies").alias("all"), F.count(F.lit(1)).alias("m"))
-    rows = docs.select(*DOCUMENT_COLUMNS, F.xxhash64("doc_id", "source", "text").alias("key"),
-                       F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0).cast("bigint")).alias("number"))
-    turn = F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(1)))
-    each = F.floor(F.col("all") / F.col("m")) + F.when(F.col("turn") <= F.col("all") % F.col("m"), 1).otherwise(0)
-    return rows.join(dec, same).withColumn("turn", turn).withColumn("copy", each.cast("int")).where("copy > 0") \
-        .withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copy")))).select(DOCUMENT_COLUMNS)
+    """The documents of the mix: each row as often as its copies say (0 to 3); the columns of
+    ``documents``. Equal rows are one row here, taken as often as the copies of all say."""
+    decided = copies(document_sizes(docs), seed).groupBy("key", "id").agg(F.sum("copies").alias("all")).where("all > 0") \
+        .withColumnRenamed("key", "k")
+    rows = docs.select(*DOCUMENT_COLUMNS, identity(*DOCUMENT_COLUMNS)[0].alias("key")) \
+        .groupBy("key", "doc_id").agg(*[F.first(c).alias(c) for c in DOCUMENT_COLUMNS if c != "doc_id"])
+    taken = rows.join(decided, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    few = taken.where(F.col("all") <= CHUNK).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("all"))))
+    # a row of very many copies is dealt to tasks in chunks of them
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunk = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("all") - 1) / CHUNK)))
+    many = taken.where(F.col("all") > CHUNK).withColumn("chunk", chunk).repartition(n, "key", "chunk")
+    size = F.least(F.lit(CHUNK).cast("bigint"), F.col("all") - F.col("chunk") * CHUNK)
+    many = many.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("bigint"), size)))
+    return few.select(DOCUMENT_COLUMNS).unionByName(many.select(DOCUMENT_COLUMNS))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, cut, stored, table
+from .common import DOCUMENT_COLUMNS, cut, identity, stored, table
 from .components import components
 
 SHINGLE = 4
@@ -251,27 +251,22 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, key_blocks
 
 
 def classes(sigs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``sigs`` (doc_id, fp, other columns) with component_id added: the smallest doc_id that
-    links reach."""
+    """``sigs`` (doc_id, fp, other columns) with component_id, the smallest doc_id that links reach,
+    and root, a fingerprint that names the component (where ids repeat, component_id need not)."""
     nodes = sigs.groupBy("fp").agg(F.min("doc_id").alias("least"))
     comp = components(links(nodes.select("fp"), radius))
     rooted = cut(nodes.join(comp, nodes.fp == comp.node, "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")))
     ids = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))  # apart, so that a large component's rows can be split
-    return sigs.join(rooted.join(ids, "root").select("fp", "component_id"), "fp", "left")
+    return sigs.join(rooted.join(ids, "root").select("fp", "component_id", "root"), "fp", "left")
 
 
 def deduplicate(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One document of each component: the one with the smallest doc_id (null ids last; of
-    rows with the same id one is kept; of a component whose rows all lack an id, one row of
-    each fingerprint). The columns of ``documents``."""
-    # two hashes of the whole row name it in 128 bits, null columns included
-    docs = docs.select(*DOCUMENT_COLUMNS, F.xxhash64(*DOCUMENT_COLUMNS).alias("a"),
-                       F.xxhash64(F.lit(1), *DOCUMENT_COLUMNS).alias("b"))
+    """One document of each component: the one with the smallest doc_id (null ids last; of its
+    rows with the same id any one, the same on every run). The columns of ``documents``."""
+    docs = docs.select(*DOCUMENT_COLUMNS, *identity(*DOCUMENT_COLUMNS))
     sigs = stored(fingerprints(docs.select("doc_id", "text", "a", "b"), shingle), "simhash")
-    c = classes(sigs, radius)
-    # a component without any id keeps one row of each fingerprint
-    best = c.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("f")).agg(
+    best = classes(sigs, radius).groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "a", "b")).alias("x")).select("x.a", "x.b")
     return docs.join(best, ["a", "b"], "left_semi").dropDuplicates(["a", "b"]).select(DOCUMENT_COLUMNS)
 
