@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .. import schemas as Z
-from .zeek import SRC, header_table, list_files, path_part, scan_lines
+from .zeek import SRC, file_heads, list_files, path_part
 
 # Characters a file name may not hold (replaced by "_"), and the
 # trailing characters stripped from it.
@@ -57,11 +57,11 @@ def conformance(headers: DataFrame) -> DataFrame:
 
 def schema_conformance(spark: SparkSession, root: str) -> DataFrame:
     """Conformance of every ``*.log`` file under ``root``, files without a header (or without a
-    line, or with two different headers) included: the file list is joined with the headers."""
-    # from the file index, which the driver holds for any read: a scan leaves out empty files
-    files = spark.createDataFrame([(f,) for f in list_files(spark, root, "*.log")], f"{SRC} string")
-    headers = header_table(scan_lines(spark, root)).select(F.col(SRC).alias("__h"), "fields")
+    line, or with two different headers) included: files are listed in tasks, as a scan leaves out
+    empty ones, and joined with the headers of their leading lines."""
+    headers = file_heads(spark, root).select(percent_decode(F.col(SRC)).alias("__h"), "fields")
     plain = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")  # noqa: E731  one spelling of local paths
+    files = list_files(spark, root).select(SRC)
     return conformance(files.join(headers, plain(F.col(SRC)) == plain(F.col("__h")), "left").drop("__h"))
 
 

@@ -5,26 +5,33 @@ tab-separated; lines starting with ``#`` are metadata, ``#fields`` names the
 columns of THAT file, ``-`` is NULL. Different files may carry different
 columns; the result is their union by name, with gaps as NULL.
 
-Plan: one aggregate over the lines yields the header of every file (one row per
-file, checkpointed and measured). Files with data but no ``#fields`` line, and
-files whose ``#fields`` lines differ, are refused by name. Data lines join their
-file's header and pick each column by its position there: broadcast when the
-measured header table is small, otherwise a salted shuffle join, with as many
-salts as the largest file needs, so that one huge file does not land in one
-task. Values are then cast to the declared types.
+Plan: a first pass reads only the leading lines of every file (one task per file, which
+stops reading there) and yields one header row per file, written to the shared folder and
+measured. Files that begin with data, and files whose leading lines hold different ``#fields``
+lines, are refused by name. The data scan, the only full one, joins each line with its file's
+header and picks each column by its position there: broadcast when the measured header table is
+small, otherwise a salted shuffle join, with as many salts as the largest file needs, so that one
+huge file does not land in one task. The same scan compares every later ``#fields`` line with
+the file's header and fails with the file's name where they differ, or where a file has data but
+no header. Values are then cast to the declared types.
 """
 
 from __future__ import annotations
 
+import uuid
 import warnings
+from collections.abc import Iterator, Sequence
+from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schemas as Z
 from ..session import checkpoint_dir
 
-SRC, SIZE, PLACES, VALS = "src_file", "file_size", "__places", "__vals"
+SRC, SIZE, PLACES, VALS, LINE = "src_file", "file_size", "__places", "__vals", "__line"
 BROADCAST_HEADER_BYTES = 64 << 20
+HEAD_LINES = 1000  # leading lines of a file that the header pass looks at
 BYTES_PER_SALT = 128 << 20
 
 
@@ -32,11 +39,15 @@ def scan_lines(spark: SparkSession, path: str, log_type: str | None = None, recu
                pattern: str | None = None) -> DataFrame:
     """(value, src_file, file_size): the lines of the matching files. A path that does not
     exist is an error; a folder without matching files has no lines."""
+    return _scan(spark, path, log_type, recursive, pattern).drop("start")
+
+
+def _scan(spark: SparkSession, path: str, log_type: str | None, recursive: bool, pattern: str | None) -> DataFrame:
     glob = pattern or (f"{log_type}*.log" if log_type else "*.log")
     return (spark.read.option("recursiveFileLookup", str(recursive).lower())
             .option("pathGlobFilter", glob).text(path)
-            .select("value", F.col("_metadata.file_path").alias(SRC),
-                    F.col("_metadata.file_size").alias(SIZE)))
+            .select("value", F.col("_metadata.file_path").alias(SRC), F.col("_metadata.file_size").alias(SIZE),
+                    F.col("_metadata.file_block_start").alias("start")))
 
 
 def _meta(prefix: str) -> Column:
@@ -48,13 +59,63 @@ def _meta(prefix: str) -> Column:
 def header_table(lines: DataFrame) -> DataFrame:
     """One row per file that has a line: src_file, file_size, layouts (its different
     ``#fields`` lines), fields (the only one, else NULL), types, n_data. One partial row per
-    file and task reaches the shuffle."""
+    file and task reaches the shuffle. For lines that are no file scan; see ``file_heads``."""
     is_data = ~F.col("value").startswith("#") & (F.col("value") != "")
     h = lines.groupBy(SRC).agg(F.max(SIZE).alias(SIZE), F.collect_set(_meta("#fields")).alias("layouts"),
                                F.max(_meta("#types")).alias("types"), F.count_if(is_data).alias("n_data"))
+    return _with_fields(h)
+
+
+def _with_fields(h: DataFrame) -> DataFrame:
     return h.withColumn("fields", F.when(F.size("layouts") == 1, F.get("layouts", F.lit(0))))
 
 
+_HEADS = f"{SRC} string, {SIZE} bigint, layouts array<array<string>>, types array<string>, n_data bigint"
+
+
+def _head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The header row of the file whose lines the task reads. Returning ends the reading: after
+    ``HEAD_LINES`` lines, or later at the first line that is data or names the fields."""
+    src, size, layouts, types, n_data, n = None, None, [], None, 0, 0
+    for b in batches:
+        for value, file, length, start in zip(*(b.column(i).to_pylist() for i in range(4))):
+            if start:  # a later split of a file
+                return
+            src, size, n = file, length, n + 1
+            name, _, rest = value.partition("\t")
+            if name == "#fields" and rest.split("\t") not in layouts:
+                layouts.append(rest.split("\t"))
+            elif name == "#types":
+                types = max(types or [], rest.split("\t"))
+            n_data += value != "" and not value.startswith("#")
+        if n >= HEAD_LINES and (layouts or n_data):
+            break
+    if src is not None:
+        yield pa.RecordBatch.from_pylist(
+            [{SRC: src, SIZE: size, "layouts": layouts, "types": types, "n_data": n_data}],
+            schema=pa.schema([(SRC, pa.string()), (SIZE, pa.int64()), ("layouts", pa.list_(pa.list_(pa.string()))),
+                              ("types", pa.list_(pa.string())), ("n_data", pa.int64())]))
+
+
+def file_heads(spark: SparkSession, path: str, log_type: str | None = None, recursive: bool = True,
+               pattern: str | None = None) -> DataFrame:
+    """``header_table`` of the matching files from their leading lines only (n_data counts those).
+
+    The pass runs in a session of its own, whose settings give every file a task of its own, in
+    batches of a few lines; a task that has seen enough returns, and the rest of its file is not
+    read. Its rows are written to the shared folder (they survive lost executors)."""
+    own = spark.newSession()
+    one_file = str(1 << 40)
+    for k, v in {"spark.sql.files.maxPartitionBytes": one_file, "spark.sql.files.openCostInBytes": one_file,
+                 "spark.sql.files.maxPartitionNum": str((1 << 31) - 1),
+                 "spark.sql.execution.arrow.maxRecordsPerBatch": str(HEAD_LINES)}.items():
+        own.conf.set(k, v)
+    lines = _scan(own, path, log_type, recursive, pattern)
+    at = f"{checkpoint_dir(spark).rstrip('/')}/heads-{uuid.uuid4().hex}"
+    lines.mapInArrow(_head, _HEADS).write.parquet(at)
+    return _with_fields(spark.read.schema(_HEADS).parquet(at))
+
+
 def refuse_unreadable(headers: DataFrame) -> None:
     """Raises, naming files, where data lines have no header or more than one."""
     bad = headers.where((F.size("layouts") > 1) | ((F.size("layouts") == 0) & (F.col("n_data") > 0)))
@@ -111,23 +172,27 @@ def _empty(spark: SparkSession, log_type: str | None) -> DataFrame:
     return spark.createDataFrame([], st)
 
 
+def declared_columns(log_type: str, fields: Sequence[str], kind) -> tuple[Column, list[Column]]:
+    """For lines whose columns stand in the order of ``fields``: a filter that keeps the data lines
+    and fails, with the file's name, at a ``#fields`` line that begins otherwise; and the typed
+    columns. ``kind(field)`` names a field's type."""
+    v, want = F.col("value"), "#fields\t" + "\t".join(fields)
+    told = F.concat(F.col(SRC), F.lit(": its #fields line does not begin with the declared fields: "), v)
+    header = v.startswith("#fields\t")
+    keep = F.when(header & (v != want) & ~v.startswith(want + "\t"), F.raise_error(told).cast("boolean")) \
+        .otherwise(~v.startswith("#") & (v != ""))
+    vals = F.split(v, "\t", -1)
+    return keep, [_convert(F.get(vals, F.lit(i)), kind(f)).alias(Z.canonical(f)) for i, f in enumerate(fields)]
+
+
 def read_log_declared(spark: SparkSession, path: str, log_type: str, fields: list[str],
                       recursive: bool = True) -> DataFrame:
-    """One-scan reader for a fixed Zeek configuration: columns by position in
-    ``fields`` (no header pass over the text). The CSV reader skips ``#`` lines and keeps
-    quotes as data; check headers with ``ingest.schema_conformance`` when the
-    configuration may drift."""
-    schema = ", ".join(f"c{i} string" for i in range(len(fields)))
-    raw = (spark.read.schema(schema).option("sep", "\t").option("comment", "#")
-           .option("quote", "\u0000").option("escape", "\u0000")
-           .option("recursiveFileLookup", str(recursive).lower())
-           .option("pathGlobFilter", f"{log_type}*.log").csv(path))
-    cols = [_convert(F.col(f"c{i}"), _kind(log_type, f, set())).alias(Z.canonical(f))
-            for i, f in enumerate(fields)]
-    src = F.col("_metadata.file_path")
-    parts = F.split(src, "/")
-    return raw.select(*cols, src.alias(SRC), F.lit(log_type).alias("log_type"),
-                      F.element_at(parts, -3).try_cast("date").alias("log_date"))
+    """Reader for a fixed Zeek configuration: columns by position in ``fields``, no header pass.
+    The scan compares every ``#fields`` line with them: a file with another order fails by name
+    (more columns after the declared ones are left out)."""
+    keep, cols = declared_columns(log_type, fields, lambda f: _kind(log_type, f, set()))
+    return scan_lines(spark, path, log_type, recursive).where(keep).select(
+        *cols, SRC, F.lit(log_type).alias("log_type"), path_part(2).try_cast("date").alias("log_date"))
 
 
 def read_log(spark: SparkSession, path: str, log_type: str | None = None, recursive: bool = True,
@@ -139,19 +204,18 @@ def read_log(spark: SparkSession, path: str, log_type: str | None = None, recurs
     compressed archives (decompressed by extension; one task per such file).
     ``log_type=None`` reads every ``*.log`` and takes the type from the parent
     folder (S7). Folders without matching files and header-only files give no
-    rows; a path that does not exist is an error.
+    rows; a path that does not exist is an error. A file whose columns change after its leading
+    lines fails the scan by name.
     """
-    return parse_lines(scan_lines(spark, path, log_type, recursive, pattern), log_type, broadcast_header_bytes)
+    return parse_lines(scan_lines(spark, path, log_type, recursive, pattern),
+                       file_heads(spark, path, log_type, recursive, pattern), log_type, broadcast_header_bytes)
 
 
-def parse_lines(lines: DataFrame, log_type: str | None = None,
+def parse_lines(lines: DataFrame, headers: DataFrame, log_type: str | None = None,
                 broadcast_header_bytes: int = BROADCAST_HEADER_BYTES) -> DataFrame:
-    """Typed rows of ``lines`` (value, src_file, file_size); see ``read_log``."""
+    """Typed rows of ``lines`` (value, src_file, file_size) by ``headers``, their files' header
+    rows (``file_heads``); see ``read_log``."""
     spark = lines.sparkSession
-    # written to the shared checkpoint folder (cuts the scan's lineage, survives executor
-    # loss, pins no memory) and measured from there
-    checkpoint_dir(spark)
-    headers = header_table(lines).checkpoint(eager=True)
     refuse_unreadable(headers)
     headers = headers.where(F.col("fields").isNotNull())
     meas = headers.agg(F.count(F.lit(1)).alias("n"), F.max(SIZE).alias("largest"),
@@ -165,18 +229,24 @@ def parse_lines(lines: DataFrame, log_type: str | None = None,
 
     # per file: where each of the names stands in its lines (NULL: not there)
     place = lambda f: F.nullif(F.array_position("fields", F.lit(f)), F.lit(0).cast("bigint")).cast("int") - 1
-    hdr = headers.select(SRC, F.array(*[place(r["f"]) for r in names]).alias(PLACES))
-    data = (lines.where(~F.col("value").startswith("#") & (F.col("value") != ""))
-                 .select(SRC, F.split("value", "\t", -1).alias(VALS)))
+    hdr = headers.select(SRC, F.array(*[place(r["f"]) for r in names]).alias(PLACES),
+                         F.concat(F.lit("#fields\t"), F.array_join("fields", "\t")).alias(LINE))
+    v = F.col("value")
+    data = lines.where((v != "") & (~v.startswith("#") | v.startswith("#fields\t"))).select(SRC, "value")
     if meas["b"] <= broadcast_header_bytes:
-        joined = data.join(F.broadcast(hdr), SRC)
+        joined = data.join(F.broadcast(hdr), SRC, "left")
     else:
         # each header row is replicated once per salt and data rows pick one copy by hash, so
         # the rows of the largest file spread over reducers of about BYTES_PER_SALT
         salts = max(1, -(-int(meas["largest"] or 0) // BYTES_PER_SALT))
-        joined = (data.withColumn("__salt", F.pmod(F.xxhash64(VALS), F.lit(salts)))
+        joined = (data.withColumn("__salt", F.pmod(F.xxhash64("value"), F.lit(salts)))
                   .join(hdr.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))),
-                        [SRC, "__salt"]).drop("__salt"))
+                        [SRC, "__salt"], "left").drop("__salt"))
+    told = lambda what: F.raise_error(F.concat(F.col(SRC), F.lit(f": {what}: "), v)).cast("boolean")
+    header = v.startswith("#fields\t")
+    joined = joined.where(F.when(F.col(LINE).isNull(), told("no #fields line at its beginning"))
+                          .when(header & (v != F.col(LINE)), told("different #fields lines")).otherwise(~header)) \
+        .withColumn(VALS, F.split("value", "\t", -1))
     cols = []
     for k, r in enumerate(names):
         raw = F.get(VALS, F.get(PLACES, F.lit(k)))
@@ -190,10 +260,35 @@ def log_shape(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"))
 
 
-def list_files(spark: SparkSession, root: str, glob: str = "*") -> list[str]:
-    """File paths under ``root`` from the file index (no content is read)."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true") \
-        .option("pathGlobFilter", glob).load(root).inputFiles()
+def _below(folders: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """uri, size of the files below each (store, path) row."""
+    from pyarrow import fs
+    for b in folders:
+        for store, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            at = fs.FileSystem.from_uri(store)[0]
+            found = [x for x in at.get_file_info(fs.FileSelector(path, recursive=True)) if x.is_file]
+            yield pa.RecordBatch.from_arrays([pa.array([x.path for x in found], pa.string()),
+                                              pa.array([x.size for x in found], pa.int64())], names=[SRC, SIZE])
+
+
+def list_files(spark: SparkSession, root: str, suffix: str = ".log") -> DataFrame:
+    """(src_file, file_size) of the files below ``root`` whose names end in ``suffix``, empty ones
+    included. The driver lists the entries of ``root`` itself (folders of days); each folder is
+    listed by a task. Paths are not percent-encoded. Hidden files (``_``, ``.``) are left out, as by
+    Spark's readers."""
+    from pyarrow import fs
+    uri = root if "://" in root else "file://" + quote("/" + root.removeprefix("file:").lstrip("/"))
+    store, path = fs.FileSystem.from_uri(uri)
+    top = store.get_file_info(fs.FileSelector(path))
+    prefix = uri[:uri.index("://") + 3] + uri[uri.index("://") + 3:].partition("/")[0]
+    folders = [(f"{prefix}/", x.path) for x in top if not x.is_file]
+    files = spark.createDataFrame([(x.path, x.size) for x in top if x.is_file], f"{SRC} string, {SIZE} bigint")
+    if folders:
+        rows = spark.createDataFrame(folders, "store string, path string").repartition(min(len(folders), 1000))
+        files = files.unionByName(rows.mapInArrow(_below, f"{SRC} string, {SIZE} bigint"))
+    inner = F.substring(SRC, len(path.rstrip("/")) + 1, 1 << 20)
+    return files.where(F.col(SRC).endswith(suffix) & ~inner.rlike("/[._]")) \
+        .select(F.concat(F.lit(prefix), F.when(F.col(SRC).startswith("/"), "").otherwise("/"), F.col(SRC)).alias(SRC), SIZE)
 
 
 def missing_columns(df: DataFrame, log_type: str) -> list[str]:

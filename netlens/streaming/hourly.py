@@ -2,7 +2,7 @@
 
 Sources: rotated Zeek files arriving in a folder (columns by position in the
 configured Zeek field order: a stream cannot wait for a file's header to be
-joined to its rows), or the partitioned Parquet that ``ingest.land`` writes.
+joined to its rows, but compares it with that order), or the partitioned Parquet that ``ingest.land`` writes.
 The features are the batch ones (same definitions, ``plans.features``) as ONE
 windowed aggregate with a watermark: counts and shares are plain / conditional
 counts, distinct counts use HyperLogLog (exact distinct is not supported on
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from .. import schemas as Z
 from ..session import checkpoint_dir
 from ..plans.features import feature_aggregates
-from ..sources.zeek import _convert
+from ..sources.zeek import SRC, declared_columns
 
 # Default Zeek field order of the log types (the columns a
 # positional stream reader maps; trailing extra fields are ignored).
@@ -38,17 +38,14 @@ ZEEK_FIELD_ORDER: dict[str, list[str]] = {
 def read_log_stream(spark: SparkSession, path: str, log_type: str,
                     fields: Sequence[str] | None = None,
                     max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming DataFrame of ``<log_type>*.log`` files appearing under ``path``."""
+    """Streaming DataFrame of ``<log_type>*.log`` files appearing under ``path``. A file whose
+    ``#fields`` line does not begin with the configured order fails the stream by name."""
     fields = list(fields or ZEEK_FIELD_ORDER[log_type])
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(fields))])
-    r = (spark.readStream.schema(schema).option("sep", "\t").option("comment", "#")
-         .option("quote", "\u0000").option("escape", "\u0000").option("mode", "PERMISSIVE")
-         .option("pathGlobFilter", f"{log_type}*.log"))
+    r = spark.readStream.option("pathGlobFilter", f"{log_type}*.log")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    raw = r.csv(path)
-    return raw.select(*[_convert(F.col(f"c{i}"), Z.field_type(log_type, f)).alias(Z.canonical(f))
-                        for i, f in enumerate(fields)])
+    keep, cols = declared_columns(log_type, fields, lambda f: Z.field_type(log_type, f))
+    return r.text(path).select("value", F.col("_metadata.file_path").alias(SRC)).where(keep).select(*cols)
 
 
 def read_landed_stream(spark: SparkSession, path: str, schema: T.StructType,

@@ -89,6 +89,54 @@ def test_file_with_two_headers_is_refused_by_name(spark, tmpdir_path):
     assert read_log(spark, os.path.join(tmpdir_path, "again"), "conn").count() == 4
 
 
+def test_later_header_fails_the_scan_by_name(spark, tmpdir_path):
+    """A header that changes after the leading lines is found by the one scan of the data."""
+    swapped = HEADER.replace("#fields\tts\tid.orig_h", "#fields\tid.orig_h\tts")
+    line = BODY.splitlines()[0] + "\n"
+    _write(tmpdir_path, "2025-01-09/conn/conn.late.log", HEADER + line * 5000 + swapped + "1.1.1.9\t1736400000.5\tT\t1\tx\n")
+    _write(tmpdir_path, "2025-01-09/conn/conn.ok.log", HEADER + line * 5000 + HEADER + line)
+    df = read_log(spark, tmpdir_path, "conn")  # the header pass does not reach the line
+    with pytest.raises(Exception, match="conn.late.log: different #fields lines: #fields.id.orig_h"):
+        df.count()
+    os.makedirs(os.path.join(tmpdir_path, "ok"))
+    ok = read_log(spark, tmpdir_path, "conn", pattern="conn.ok.log")
+    assert ok.count() == 5001
+
+
+def test_header_pass_reads_only_the_head(spark, tmpdir_path):
+    from netlens.sources.zeek import HEAD_LINES, file_heads
+    line = BODY.splitlines()[0] + "\n"
+    for k in range(5):  # in one folder: each has a task of its own
+        _write(tmpdir_path, f"2025-01-09/conn/conn.{k}.log", HEADER + line * 100_000)
+    _write(tmpdir_path, "2025-01-09/conn/conn.comments.log", "# nothing yet\n" * 3000 + HEADER + line)
+    _write(tmpdir_path, "2025-01-09/conn/conn.late.log", "# nothing yet\n" * 3000 + line)
+    heads = {os.path.basename(r["src_file"]): r for r in file_heads(spark, tmpdir_path, "conn").collect()}
+    assert len(heads) == 7 and all(heads[f"conn.{k}.log"]["n_data"] < HEAD_LINES for k in range(5))
+    assert heads["conn.comments.log"]["fields"] == ["ts", "id.orig_h", "flag", "dur", "uri"]
+    assert heads["conn.late.log"]["fields"] is None and heads["conn.late.log"]["n_data"] == 1
+    assert spark.conf.get("spark.sql.files.openCostInBytes") != str(1 << 40)  # the caller's settings stay
+    with pytest.raises(ValueError, match="conn.late.log .no #fields line"):
+        read_log(spark, tmpdir_path, "conn")
+    plan = read_log(spark, tmpdir_path, "conn", pattern="conn.?.log")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan text") == 1
+
+
+def test_list_files_in_tasks(spark, tmpdir_path):
+    from netlens.sources.zeek import list_files
+    for rel in ("a.log", "2025-01-09/conn/x y+é%41.log", "2025-01-09/conn/empty.log", "2025-01-10/b.txt", "_tmp/c.log", "d/.h.log"):
+        _write(tmpdir_path, rel, "" if "empty" in rel else "1\n")
+    for root in (tmpdir_path, "file:" + tmpdir_path, "file://" + tmpdir_path + "/"):
+        got = {r["src_file"].partition(tmpdir_path)[2]: r["file_size"] for r in list_files(spark, root).collect()}
+        assert got == {"/a.log": 2, "/2025-01-09/conn/x y+é%41.log": 2, "/2025-01-09/conn/empty.log": 0}
+
+
+def test_declared_order_is_compared(spark, tmpdir_path):
+    _write(tmpdir_path, "2025-01-09/conn/conn.b.log", HEADER + BODY)
+    assert read_log_declared(spark, tmpdir_path, "conn", ["ts", "id.orig_h", "flag"]).count() == 2  # more columns follow
+    with pytest.raises(Exception, match="conn.b.log: its #fields line does not begin with the declared fields"):
+        read_log_declared(spark, tmpdir_path, "conn", ["id.orig_h", "ts", "flag"]).count()
+
+
 def test_column_order_changes_between_files(spark, tmpdir_path):
     _write(tmpdir_path, "2025-01-09/conn/conn.a.log", "#fields\tts\tproto\tid.orig_h\n1736400000.5\ttcp\t1.1.1.1\n")
     _write(tmpdir_path, "2025-01-09/conn/conn.b.log", "#fields\tid.orig_h\tts\tproto\n1.1.1.2\t1736400000.5\tudp\n")
