@@ -35,7 +35,8 @@ def report_round_py(x: float | None, digits: int = DIGITS) -> float | None:
     return math.copysign(1.0, x) * math.floor(abs(x) * scale + 0.5) / scale if x != 0 else 0.0
 
 
-def report_round_sql(expr: str, digits: int = DIGITS) -> str:
-    scale = f"{float(10 ** digits)!r}"
-    return (f"(CASE WHEN abs({expr}) < {limit(digits)!r} THEN sign({expr}) * floor(abs({expr}) * {scale} + 0.5)"
+def report_round_sql(expr: str, digits: int = DIGITS, double: str = "") -> str:
+    """``double``: suffix of double literals (``D`` in Spark, where plain ones are decimals)."""
+    scale = f"{float(10 ** digits)!r}{double}"
+    return (f"(CASE WHEN abs({expr}) < {limit(digits)!r}{double} THEN sign({expr}) * floor(abs({expr}) * {scale} + 0.5{double})"
             f" / {scale} ELSE {expr} END)")

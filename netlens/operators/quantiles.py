@@ -1,71 +1,89 @@
 """Exact, interpolated quantiles as one lazy plan.
 
 Spark's exact ``percentile`` merges a value -> count map of the whole column into the single
-task of a global aggregate. Here the values are cut into buckets first:
-
-1. rows become (column, value, n) by one aggregate with map-side combine;
-2. ``bins`` approximate quantiles of the distinct values are the bucket edges of each column
-   (one row per column, so the broadcast is bounded by columns x bins);
-3. rows are counted per bucket and cumulated over the buckets of a column (at most ``bins``
-   rows each);
-4. only the buckets that hold a rank the interpolation needs go on (at most two per probability
-   and column, each a ``bins``-th of the distinct values); there the values are cumulated in
-   order, and the order statistics are interpolated by one aggregate.
-
-No step collects, and nothing depends on the size of the input; the exchange of step 1 is
-shared by the steps that follow. Interpolation is the linear rule of pandas ``describe`` / SQL
-``percentile_cont``: position p * (n - 1) between the two neighbouring order statistics.
+task of a global aggregate. Here only the neighbourhood of the wanted ranks is looked at:
+
+1. one aggregate (``column_stats``: map-side partial, one row) gives the moments of every column and,
+   from a sketch with rank error 1 / ``bins``, a bracket of values around each probability that
+   is wider than that error on both sides, so the order statistics it needs lie inside; columns of
+   few values get (min, max) as their bracket;
+2. that one row is a scalar subquery of the second pass over the rows, which counts the rows below
+   each bracket and the distinct values inside it (about 16 / ``bins`` of the rows) by one aggregate
+   with map-side combine: a value with a third of the rows is one partial row per task;
+3. the values of a bracket are cumulated in order from the count below, and the order statistics
+   are picked and interpolated by one aggregate.
+
+No step collects, no table is gathered in one task, and the plan is the same for any input.
+The expressions are SQL text: built call by call, they took longer than the query's run at small
+sizes. Interpolation is the linear rule of pandas ``describe`` / SQL ``percentile_cont``: position
+p * (n - 1) between the two neighbouring order statistics.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+CI, V, N, P, T = "__ci", "__v", "__n", "__p", "__t"
+BINS = 10_000
+MARGIN = 8  # of a bracket, in sketch errors
+
+
+def _clean(c: str) -> str:
+    """The values that count: doubles without NaN (the other rows are NULL)."""
+    x = f"cast(`{c.replace('`', '``')}` AS double)"
+    return f"CASE WHEN NOT isnan({x}) THEN {x} END"
+
+
+def bracket_shares(probs: Sequence[float], bins: int) -> list[float]:
+    """Both ends of the bracket around each of ``probs``."""
+    slack = MARGIN / bins
+    return [min(1.0, max(0.0, p + d)) for p in probs for d in (-slack, slack)]
+
+
+def column_stats(df: DataFrame, cols: Sequence[str], shares: Sequence[float], bins: int = BINS) -> DataFrame:
+    """One row: a struct ``__m<i>`` per column with count, mean, std (n-1), min, max and ``sketched``,
+    the approximate quantiles ``shares``."""
+    at = f"array({', '.join(f'{x!r}D' for x in shares)})"
+    of = lambda x: (f"struct(count({x}) AS count, avg({x}) AS mean, stddev_samp({x}) AS std, min({x}) AS min, "
+                    f"max({x}) AS max, percentile_approx({x}, {at}, {bins}) AS sketched)")
+    return df.agg(*[F.expr(of(_clean(c))).alias(f"__m{i}") for i, c in enumerate(cols)])
 
-CI, V, N, B = "__ci", "__v", "__n", "__b"
-BINS = 1024
 
+def quantiles_of(df: DataFrame, cols: Sequence[str], stats: DataFrame, probs: Sequence[float] = (0.25, 0.5, 0.75),
+                 bins: int = BINS) -> DataFrame:
+    """(__ci, quantiles) as ``column_quantiles``, from the ``column_stats`` of the same rows
+    at the ``bracket_shares``."""
+    def bracket(i: int, j: int) -> str:
+        # below 4 errors' worth of rows the sketch's bracket may be off by a rank: take all values
+        few = f"__m{i}.count * {MARGIN / bins!r}D < 4"
+        return (f"struct(if({few}, __m{i}.min, __m{i}.sketched[{2 * j}]) AS lo, "
+                f"if({few}, __m{i}.max, __m{i}.sketched[{2 * j + 1}]) AS hi, __m{i}.count AS n)")
 
-def _bucket(edges: Column, v: Column, bins: int) -> Column:
-    """Number of ``edges`` (ascending, fewer than ``bins``) that are <= v, by bisection."""
-    def step(s: Column, _: Column) -> Column:
-        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        right = F.get(edges, mid) <= v
-        return F.when(s["lo"] >= s["hi"], s).otherwise(F.struct(
-            F.when(right, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(right, s["hi"]).otherwise(mid).alias("hi")))
+    def item(k: int, i: int, j: int) -> str:
+        b, x = f"__k[{k}]", f"__x{i}"
+        return (f"CASE WHEN {x} <= {b}.hi THEN struct({i} AS {CI}, {j} AS {P}, {b}.n AS {T}, "
+                f"CASE WHEN {x} >= {b}.lo THEN {x} END AS {V}) END")
 
-    start = F.struct(F.lit(0).alias("lo"), F.size(edges).alias("hi"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(bins.bit_length() + 1)), start, step)["lo"]
+    places = [(i, j) for i in range(len(cols)) for j in range(len(probs))]
+    known = stats.selectExpr(f"array({', '.join(bracket(i, j) for i, j in places)})").scalar()
+    # behind a generator the subquery stands once in the plan, not at each use
+    d = df.select(*[F.expr(_clean(c)).alias(f"__x{i}") for i, c in enumerate(cols)], F.explode(F.array(known)).alias("__k"))
+    items = d.selectExpr(f"explode(array({', '.join(item(k, i, j) for k, (i, j) in enumerate(places))})) AS s")
+    counts = items.where("s IS NOT NULL").select("s.*").groupBy(CI, P, T, V).agg(F.expr(f"count(1) AS {N}"))
+    # the rows below (a NULL value) come first
+    shares = f"array({', '.join(f'{float(p)!r}D' for p in probs)})"
+    placed = counts.selectExpr(CI, P, V, N, f"sum({N}) OVER (PARTITION BY {CI}, {P} ORDER BY {V} NULLS FIRST) AS upto",
+                               f"{shares}[{P}] * ({T} - 1) AS pos").where(f"{V} IS NOT NULL")
+    at = lambda r: f"max(CASE WHEN {r}(pos) < upto AND {r}(pos) >= upto - {N} THEN {V} END)"
+    ends = placed.groupBy(CI, P).agg(F.expr(f"{at('floor')} AS a"), F.expr(f"{at('ceil')} AS z"), F.expr("max(pos - floor(pos)) AS f"))
+    return ends.groupBy(CI).agg(F.expr(
+        f"transform(array_sort(collect_list(struct({P}, a + (z - a) * f AS q))), x -> x.q) AS quantiles"))
 
 
 def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.25, 0.5, 0.75),
                      bins: int = BINS) -> DataFrame:
     """(__ci, quantiles): exact quantiles ``probs`` of each column (by position in ``cols``);
     NULL and NaN are skipped, a column without values has no row."""
-    items = [F.struct(F.lit(i).alias(CI), F.col(c).cast("double").alias(V)) for i, c in enumerate(cols)]
-    stacked = df.select(F.explode(F.array(*items)).alias("__s")).select("__s.*") \
-        .where(F.col(V).isNotNull() & ~F.isnan(V))
-    values = stacked.groupBy(CI, V).agg(F.count(F.lit(1)).alias(N))
-    # one foldable literal: a list of that many literals would be walked by every planning rule
-    shares = ",".join(repr(i / bins) for i in range(1, bins))
-    edges = values.groupBy(CI).agg(F.expr(
-        f"array_distinct(percentile_approx({V}, cast(split('{shares}', ',') AS array<double>), {8 * bins}))").alias("__e"))
-    buckets = values.join(F.broadcast(edges), CI).groupBy(CI, _bucket(F.col("__e"), F.col(V), bins).alias(B)).agg(
-        F.sum(N).alias("__rows"), F.min(V).alias("__from"), F.max(V).alias("__to"))
-    by_column = Window.partitionBy(CI)
-    buckets = buckets.select("*", F.sum("__rows").over(by_column).alias("__total"),
-                             (F.sum("__rows").over(by_column.orderBy(B)) - F.col("__rows")).alias("__before"))
-    pos = [F.lit(float(p)) * (F.col("__total") - 1) for p in probs]
-    ranks = F.array_distinct(F.array(*[f(p) for p in pos for f in (F.floor, F.ceil)]))
-    within = lambda r, first, n: (r >= first) & (r < first + n)
-    needed = buckets.withColumn("__ranks", F.filter(ranks, lambda r: within(r, F.col("__before"), F.col("__rows")))) \
-        .where(F.size("__ranks") > 0).select(F.col(CI).alias("__c"), B, "__from", "__to", "__before", "__total", "__ranks")
-    inside = values.join(F.broadcast(needed), (F.col(CI) == F.col("__c")) & F.col(V).between(F.col("__from"), F.col("__to")))
-    first = F.col("__before") + F.sum(N).over(Window.partitionBy(CI, B).orderBy(V)) - F.col(N)
-    stats = inside.withColumn("__first", first).withColumn(
-        "__rank", F.explode(F.filter("__ranks", lambda r: within(r, F.col("__first"), F.col(N)))))
-    at = lambda rank: F.max(F.when(F.col("__rank") == rank, F.col(V)))
-    low_high = [F.struct(at(F.floor(p)).alias("a"), at(F.ceil(p)).alias("z"), F.max(p - F.floor(p)).alias("f")) for p in pos]
-    return stats.groupBy(CI).agg(F.array(*low_high).alias("s")).select(
-        CI, F.transform("s", lambda x: x["a"] + (x["z"] - x["a"]) * x["f"]).alias("quantiles"))
+    return quantiles_of(df, cols, column_stats(df, cols, bracket_shares(probs, bins), bins), probs, bins)

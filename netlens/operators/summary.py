@@ -4,47 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..functions.rounding import report_round
-from .quantiles import CI, column_quantiles
+from ..functions.rounding import report_round_sql
+from .quantiles import BINS, CI, bracket_shares, column_stats, quantiles_of
 
 QUARTILES = (0.25, 0.5, 0.75)
 
 
-def _moments(df: DataFrame, cols: Sequence[str], approx: int | None = None) -> DataFrame:
-    """One row per column: count, mean, std, min, max (and approximate quartiles), from one
-    aggregate of the input."""
-    def of(c: str) -> list[Column]:
-        x = F.col(c).cast("double")
-        x = F.when(~F.isnan(x), x)
-        out = [F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-               F.min(x).alias("min"), F.max(x).alias("max")]
-        return out + [F.percentile_approx(x, list(QUARTILES), approx).alias("quantiles")] if approx else out
-
-    wide = df.agg(*[F.struct(*of(c)).alias(f"__m{i}") for i, c in enumerate(cols)])
-    rows = F.array(*[F.struct(F.lit(i).alias(CI), F.lit(c).alias("column_name"), F.col(f"__m{i}").alias("m"))
-                     for i, c in enumerate(cols)])
-    return wide.select(F.explode(rows).alias("r")).select(f"r.{CI}", "r.column_name", "r.m.*")
-
-
 def describe(df: DataFrame, cols: str | Sequence[str], digits: int | None = 6, exact: bool = True,
-             **quantile_opts) -> DataFrame:
+             bins: int = BINS) -> DataFrame:
     """Count, mean, std (n-1), min, interpolated quartiles, max per column.
 
-    One row per column (long layout); NULL and NaN are skipped. The plan is lazy: moments are
-    one aggregate, the quartiles are exact (see ``quantiles``), and no job runs until the
-    result is used. ``exact=False`` takes the quartiles from bounded sketches in the same
-    aggregate (rank error at most n / 10,000)."""
+    One row per column (long layout); NULL and NaN are skipped. The plan is lazy: moments and
+    sketches are one aggregate, whose row the exact quartiles are looked up with (see
+    ``quantiles``), and no job runs until the result is used. ``exact=False`` takes the quartiles from
+    the sketches (rank error at most n / 10,000)."""
     cols = [cols] if isinstance(cols, str) else list(cols)
-    if exact:
-        d = _moments(df, cols).join(column_quantiles(df, cols, QUARTILES, **quantile_opts), CI, "left")
-    else:
-        d = _moments(df, cols, approx=10_000)
-    r = (lambda c: report_round(c, digits)) if digits is not None else (lambda c: c)
-    q = [r(F.get("quantiles", F.lit(i))).alias(n) for i, n in enumerate(("q25", "q50", "q75"))]
-    return d.select("column_name", "count", r(F.col("mean")).alias("mean"), r(F.col("std")).alias("std"),
-                    r(F.col("min")).alias("min"), *q, r(F.col("max")).alias("max"))
+    stats = column_stats(df, cols, bracket_shares(QUARTILES, bins) if exact else QUARTILES, bins)
+    names = [c.replace("\\", "\\\\").replace("'", "\\'") for c in cols]
+    rows = ", ".join(f"struct({i} AS {CI}, '{c}' AS column_name, __m{i} AS m)" for i, c in enumerate(names))
+    d = stats.selectExpr(f"inline(array({rows}))")
+    if exact:  # a row per column
+        d = d.join(F.broadcast(quantiles_of(df, cols, stats, QUARTILES, bins)), CI, "left")
+    quartiles = "quantiles" if exact else "m.sketched"
+    r = (lambda c: report_round_sql(c, digits, "D")) if digits is not None else (lambda c: c)
+    return d.selectExpr("column_name", "m.count AS count", *[f"{r(f'm.{x}')} AS {x}" for x in ("mean", "std", "min")],
+                        *[f"{r(f'{quartiles}[{i}]')} AS {n}" for i, n in enumerate(("q25", "q50", "q75"))], f"{r('m.max')} AS max")
 
 
 def distinct_per_key(df: DataFrame, key: str, col: str, name: str = "n_distinct") -> DataFrame:
