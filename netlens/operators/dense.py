@@ -36,11 +36,17 @@ def fill_hours(counts: DataFrame, name: str = "count") -> DataFrame:
         .select(HOUR, F.coalesce(F.col(name), F.lit(0).cast("bigint")).alias(name))
 
 
-def crosstab(df: DataFrame, key: str, col: str, values: Sequence) -> DataFrame:
-    """Per ``key``, the row count of each of ``values`` in ``col``, gaps as 0.
+def crosstab(df: DataFrame, key: str, col: str, values: Sequence, other: str | None = "other") -> DataFrame:
+    """Per ``key``, the row count of each of ``values`` in ``col``, gaps as 0, and the count of
+    rows with any other value as column ``other`` (None: without it).
 
     One conditional aggregate per value: a single shuffle on ``key`` with map-side partial
     counts (``pivot`` would aggregate twice). The values are a parameter, so building the plan
-    runs no job; keys whose rows hold other values only count 0 everywhere."""
+    runs no job. NULL keys and values are left out."""
+    if other is not None and other in [str(v) for v in values]:
+        raise ValueError(f"the column for other values is named like a value: {other!r}")
     d = df.where(F.col(key).isNotNull() & F.col(col).isNotNull())
-    return d.groupBy(key).agg(*[F.count_if(F.col(col) == F.lit(v)).alias(str(v)) for v in values])
+    counts = [F.count_if(F.col(col) == F.lit(v)).alias(str(v)) for v in values]
+    if other is not None:
+        counts.append(F.count_if(~F.col(col).isin(list(values))).alias(other))
+    return d.groupBy(key).agg(*counts)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.views import log_view, view_sql
-from . import raw
+from . import raw, written
 from .registry import Analytic, analytics
 
 
@@ -20,9 +20,9 @@ def _runner(a: Analytic) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {a.key: _runner(a) for a in analytics()} | raw.QUERIES
+    return {a.key: _runner(a) for a in analytics()} | raw.QUERIES | written.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     return {a.key: f"WITH v AS ({view_sql(a.log_type)}) SELECT * FROM ({a.sql}) AS q"
-            for a in analytics() if a.sql is not None} | raw.ORACLE_SQL
+            for a in analytics() if a.sql is not None} | raw.ORACLE_SQL | written.oracle_sql()

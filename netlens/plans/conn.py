@@ -265,9 +265,10 @@ def tcp_bytes_summary(v: DataFrame) -> DataFrame:
 
 @register("conn_source_state_matrix", "conn",
           "SELECT id_orig_h, " + ", ".join(f"count(*) FILTER (WHERE conn_state = '{s}') AS \"{s}\"" for s in CONN_STATES)
+          + f", count(*) FILTER (WHERE conn_state NOT IN {S.sql_list(CONN_STATES)}) AS other"
           + " FROM v WHERE id_orig_h IS NOT NULL AND conn_state IS NOT NULL GROUP BY id_orig_h")
 def source_state_matrix(v: DataFrame, states: Sequence[str] = CONN_STATES) -> DataFrame:
-    """Per source, connections in each state (one column per state)."""
+    """Per source, connections in each state (one column per state, one for all others)."""
     return crosstab(v, "id_orig_h", "conn_state", states)
 
 

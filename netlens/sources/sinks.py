@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas as Z
 
@@ -27,11 +27,16 @@ def with_derived(df: DataFrame, log_type: str | None) -> DataFrame:
 
 def export_csv(df: DataFrame, path: str, log_type: str | None = None) -> None:
     """The whole table, derived columns included, as CSV with a header; dotted Zeek names
-    restored."""
+    restored. Quotes inside values are doubled, and values with line breaks are quoted."""
     df = with_derived(df, log_type)
     ren = raw_names(log_type) if log_type else {c: c for c in df.columns}
     cols = [df[c].alias(ren.get(c, c)) for c in df.columns]
-    df.select(*cols).write.mode("overwrite").option("header", True).csv(path)
+    df.select(*cols).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def read_export(spark: SparkSession, path: str) -> DataFrame:
+    """An exported table as text columns, under its dotted names."""
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
 def write_report(results: Mapping[str, DataFrame], path: str, fmt: str = "parquet") -> list[str]:

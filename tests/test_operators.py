@@ -6,6 +6,8 @@ import math
 from pyspark.sql import functions as F
 
 from netlens.functions import predicates as P
+import pytest
+
 from netlens.operators import (count_hourly, count_where, crosstab, describe, distinct_hourly,
                                hourly_dense, mean_hourly, ratio_of_sums_hourly, share_hourly,
                                sum_hourly, value_counts)
@@ -84,6 +86,15 @@ def test_two_column_counts_keep_nulls(spark):
     assert value_counts(df, ["a", "b"]).count() == 0
 
 
+def test_crosstab_counts_other_values(spark):
+    df = spark.createDataFrame([("a", "S0"), ("a", "new"), ("a", "odd"), ("b", "new"), ("c", None), (None, "S0")], "k string, s string")
+    got = {r["k"]: (r["S0"], r["SF"], r["other"]) for r in crosstab(df, "k", "s", ["S0", "SF"]).collect()}
+    assert got == {"a": (1, 0, 2), "b": (0, 0, 1)}
+    assert crosstab(df, "k", "s", ["S0"], other=None).columns == ["k", "S0"]
+    with pytest.raises(ValueError):
+        crosstab(df, "k", "s", ["other"])
+
+
 def test_crosstab_fills_zero(spark):
     df = _df(spark, [("a", "S0"), ("a", "SF"), ("b", "SF"), ("b", None)], "k string, s string")
     got = {r["k"]: (r["S0"], r["SF"]) for r in crosstab(df, "k", "s", ["S0", "SF"]).collect()}
