@@ -136,12 +136,17 @@ def clean(docs: DataFrame) -> DataFrame:
         F.length("clean_text").cast("long").alias("n_chars")).select(DOCUMENT_COLUMNS)
 
 
-def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measure(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+def report(docs: DataFrame) -> DataFrame:
+    """Measures and verdict of every document."""
+    return measure(docs.select("doc_id", "text")).select(
         "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", "n_lines_removed", "lost_chars")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(table(spark, sf_dir, "documents"))
+
+
 # DuckDB statement of measure() over a relation {docs}(doc_id, text)
 MEASURE_SQL = r"""
 t0 AS (SELECT *, coalesce(text, '') AS t FROM {docs}),
@@ -153,13 +158,18 @@ keyed AS (SELECT doc_id, i, array_to_string(words[i:i+4], ' ') AS w FROM wins),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w) AS c FROM keyed) WHERE c > 1),
 reps AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY doc_id),
 lined AS (SELECT doc_id, k, line FROM (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS k FROM t2)),
+measured_lines AS (SELECT *, length(line) - length(regexp_replace(line, '[!?#*$%&|<>]', '', 'g')) AS loud_all,
+    length(rest) - length(regexp_replace(rest, '[!?#*$%&|<>]', '', 'g')) AS loud,
+    length(line) - length(regexp_replace(line, '(?i)(all rights reserved|cookie policy|accept (all )?cookies|we use cookies|privacy policy|terms of (use|service)|enable javascript|lorem ipsum|click here|powered by)', '', 'g')) AS phrases
+    FROM (SELECT *, regexp_replace(line, '^[\x20\x09-\x0D]*[#*]{{1,6}}[\x20\x09]+', '') AS rest FROM lined)),
 judged AS (SELECT doc_id, k, line, NOT regexp_matches(line, '[^\x20\x09-\x0D]') AS blank,
-    (length(line) - length(regexp_replace(line, '[!?#*$%&|<>]', '', 'g'))) * 100 <= length(line) * 10
+    NOT (loud_all * 100 > length(line) * 10 AND loud * 100 > length(line) * 10
+      AND (loud >= 5 OR regexp_matches(rest, '!!|\?\?|[#*$%&<>]{{3}}|\|')))
     AND regexp_matches(line, '[\p{{L}}\p{{N}}]')
     AND length(line) - length(regexp_replace(line, '[|»›·•]', '', 'g')) < 3
     AND NOT regexp_matches(line, '(?i)^[\x20\x09-\x0D]*(home|menu|log ?in|log ?out|sign ?(in|up)|skip to (main )?content|next|previous|back to top|read more|share this|subscribe|search|contact us|about us)[\x20\x09-\x0D]*$')
-    AND NOT regexp_matches(line, '(?i)(all rights reserved|cookie policy|accept (all )?cookies|we use cookies|privacy policy|terms of (use|service)|enable javascript|lorem ipsum|click here|powered by)') AS ok,
-    row_number() OVER (PARTITION BY doc_id, line ORDER BY k) AS copy FROM lined),
+    AND NOT (phrases > 0 AND phrases * 100 >= length(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) * 20) AS ok,
+    row_number() OVER (PARTITION BY doc_id, line ORDER BY k) AS copy FROM measured_lines),
 rejoined AS (SELECT doc_id, count(*) FILTER (NOT blank) AS n_full, count(*) FILTER (NOT blank AND copy > 1) AS dup,
     coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (blank OR ok), '') AS with_blanks,
     coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT blank AND ok AND copy = 1), '') AS without,

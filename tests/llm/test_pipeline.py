@@ -31,7 +31,7 @@ def test_each_stage_on_its_own_input(spark):
     assert sorted(r.doc_id for r in n.collect()) == sorted(keep)
     before = {r.doc_id: r.text for r in n.collect()}
     assert len(before) == s.count()
-    spans = {r.doc_id: r.spans for r in secret_scan.scan(n).select("row.doc_id", "spans").collect()}
+    spans = {r.doc_id: r.found for r in secret_scan.scan(n).select("row.doc_id", "found").collect()}
     for r in s.collect():
         assert (r.text != before[r.doc_id]) == bool(spans[r.doc_id]) and r.n_chars == len(r.text)
     copies = {r.id: r.copies for r in mixing.copies(mixing.document_sizes(s)).collect()}
