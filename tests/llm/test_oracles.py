@@ -17,13 +17,16 @@ COLUMNS = {
     "op8_sentencepiece": ["doc_id", "n_tokens", "ids"],
     "op9_suffix_dedup": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
     "op10_toxicity": ["doc_id", "held_out", "score", "predicted"],
+    "op11_token_files": ["doc_id", "start", "n_tokens", "ids_crc32"],
+    "op12_merkle_manifest": ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"],
+    "op13_importance_resampling": ["doc_id", "n_features", "weight", "score", "rank"],
 }
 
 
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "benchmark"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return c
 
