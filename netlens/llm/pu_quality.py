@@ -1,11 +1,21 @@
 """Quality classifier by positive-unlabelled learning (operator 2).
 
 A linear model on text statistics is fitted by minimising the non-negative unbiased risk
-    pi * R_p(+) + max(0, R_u(-) - pi * R_p(-))
+    pi * R_p(+) + max(0, R_u(-) - pi * R_p(-)) + ridge
 with logistic loss, from trusted positives (training-fold rows labelled 1), unlabelled texts
 (all training-fold rows, their labels unseen) and a class prior pi that is estimated too: for
 any threshold t, U(score > t) >= pi * P(score > t), so the least ratio over thresholds bounds
-pi from above and meets it where no negative scores that high. Labels 0 are never used.
+pi from above and meets it where no negative scores that high. Labels 0 are never used. The
+prior has no bounds of its own: the positives are among the unlabelled rows, so the ratio is
+above 0, and it is at most 1 as a share.
+
+The risk is the larger of two convex functions, the unbiased risk and pi * R_p(+) alone. Its
+minimum is that of a blend pi * R_p(+) + share * (R_u(-) - pi * R_p(-)): of share 1 where the
+negative part stays at or above 0 there, else of the share at which it is 0, found by false
+position. The least value of a blend is concave in its share and its slope is the negative part, so
+a blend that falls below the least value of a smaller share is given up: the share sought is
+smaller (such a blend may fall almost without end). Every blend is minimised by Newton steps that
+may not raise it; steps that do not settle within ``MAX_STEPS`` are an error.
 
 One pass over the texts writes a small feature table; every Newton step is one aggregate over
 it (partial sums per task, summed by position), so the driver only sees vectors of the model's
@@ -33,7 +43,9 @@ from .common import crc_mod, stored, table
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.7
 RIDGE = 1e-3
-MAX_STEPS = 25
+MAX_STEPS = 100   # of one search; more are an error
+SETTLED = 1e-5    # largest change of a weight in the last step
+ZERO_RISK = 1e-5  # negative part that counts as 0
 _BINS = 2000      # of the score histogram that the prior is read from
 _LEAST_TAIL = 0.2  # share of positives above a threshold that is considered
 
@@ -112,35 +124,84 @@ def _moments(positive: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.concatenate(([len(x), positive.sum()], x.sum(0), (x * x).sum(0), x[positive].sum(0)))
 
 
+class Risk:
+    """The parts of the risk over ``rows``, by one aggregate for each point asked for."""
+
+    def __init__(self, rows: DataFrame, prior: float, scale: tuple[np.ndarray, np.ndarray], n_u: float, n_p: float):
+        self.rows, self.prior, self.scale, self.n_u, self.n_p = rows, prior, scale, n_u, n_p
+
+    def at(self, w: np.ndarray):
+        """(value, gradient, Hessian) of pi * R_p(+) with the ridge, and of R_u(-) - pi * R_p(-)."""
+        mean, std = self.scale
+        d = N_FEATURES
+
+        def part(positive, x):
+            z = (x - mean) / std
+            t = z @ w
+            s, loss = _sigmoid(t), np.logaddexp(0, t)
+            h = s * (1 - s)
+            p = z[positive]
+            return np.concatenate(([loss.sum(), loss[positive].sum()], z.T @ s, p.T @ s[positive], p.sum(0),
+                                   ((z * h[:, None]).T @ z).ravel(), ((p * h[positive][:, None]).T @ p).ravel()))
+
+        v = _summed(self.rows, part, 2 + 3 * d + 2 * d * d)
+        risk_u, risk_p = v[0] / self.n_u, v[1] / self.n_p
+        grad_u, grad_p, mean_p = v[2:2 + d] / self.n_u, v[2 + d:2 + 2 * d] / self.n_p, v[2 + 2 * d:2 + 3 * d] / self.n_p
+        hess_u = v[2 + 3 * d:2 + 3 * d + d * d].reshape(d, d) / self.n_u
+        hess_p = v[2 + 3 * d + d * d:].reshape(d, d) / self.n_p
+        pi = self.prior
+        # logistic loss: l(t) - l(-t) = -t
+        keep = (pi * (risk_p - mean_p @ w) + RIDGE / 2 * w @ w, pi * (grad_p - mean_p) + RIDGE * w, pi * hess_p + RIDGE * np.eye(d))
+        return keep, (risk_u - pi * risk_p, grad_u - pi * grad_p, hess_u - pi * hess_p)
+
+    def least(self, share: float, w: np.ndarray, floor: float = -np.inf) -> tuple[np.ndarray, float | None, float]:
+        """Minimum of the blend, from ``w``, the negative part there (None if the blend was given
+        up below ``floor``) and its value."""
+        step, best = np.zeros(len(w)), np.inf
+        for _ in range(MAX_STEPS):
+            keep, negative = self.at(w + step)
+            value, slope, hess = (a + share * b for a, b in zip(keep, negative))
+            if value < floor:
+                return w + step, None, float(value)
+            if value > best + 1e-12:
+                step = step / 2
+                continue
+            length = np.abs(step).max()
+            if best < np.inf and length < SETTLED:
+                return w + step, float(negative[0]), float(value)
+            w, best = w + step, value
+            step = -np.linalg.solve(hess, slope)
+            step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
+        raise RuntimeError(f"the risk of share {share} did not settle in {MAX_STEPS} steps")
+
+
 def fit(rows: DataFrame, prior: float, scale: tuple[np.ndarray, np.ndarray], n_u: float, n_p: float,
         start: np.ndarray | None = None) -> np.ndarray:
     """Weights (on standardised features) that minimise the non-negative risk."""
-    mean, std = scale
-    d = N_FEATURES
-    w = np.zeros(d) if start is None else start.copy()
+    risk = Risk(rows, prior, scale, n_u, n_p)
+    left, low, floor = risk.least(0.0, np.zeros(N_FEATURES) if start is None else start)
+    if low <= ZERO_RISK:
+        return left
+    w, high, _ = risk.least(1.0, left if start is None else start, floor)
+    if high is not None and high >= -ZERO_RISK:
+        return w
+    # the negative part falls as its share grows; false position, with halving of a side kept
+    # twice, and the middle where the blend of the larger share was given up
+    a, b, side = 0.0, 1.0, 0
     for _ in range(MAX_STEPS):
-        def part(positive, x, w=w):
-            z = (x - mean) / std
-            t = z @ w
-            s, loss = _sigmoid(t), np.logaddexp(0, t)
-            return np.concatenate((
-                [loss.sum(), loss[positive].sum()], z.T @ s, z[positive].T @ s[positive],
-                z[positive].sum(0), ((z * (s * (1 - s))[:, None]).T @ z).ravel()))
-
-        v = _summed(rows, part, 2 + 3 * d + d * d)
-        risk_u, risk_p = v[0] / n_u, v[1] / n_p
-        grad_u, grad_p, mean_p = v[2:2 + d] / n_u, v[2 + d:2 + 2 * d] / n_p, v[2 + 2 * d:2 + 3 * d] / n_p
-        hess = v[2 + 3 * d:].reshape(d, d) / n_u + RIDGE * np.eye(d)
-        if risk_u - prior * risk_p >= 0:
-            # logistic loss: l(t) - l(-t) = -t, so the unbiased risk is convex
-            step = -np.linalg.solve(hess, grad_u - prior * mean_p + RIDGE * w)
-        else:  # the negative part went below zero: climb it back
-            step = 0.5 * np.linalg.solve(hess, grad_u - prior * grad_p)
-        length = np.abs(step).max()
-        w = w + step * min(1.0, 2.0 / max(length, 1e-12))
-        if length < 1e-3:
-            break
-    return w
+        share = (a + b) / 2 if high is None else (a * high - b * low) / (high - low)
+        w, now, value = risk.least(share, left, floor)
+        if now is not None and abs(now) <= ZERO_RISK:
+            return w
+        if now is not None and now > 0:
+            a, low, left, floor = share, now, w, value
+            high = high / 2 if side > 0 and high is not None else high
+            side = 1
+        else:
+            b, high = share, now
+            low = low / 2 if side < 0 else low
+            side = -1
+    raise RuntimeError(f"the share of the negative part did not settle in {MAX_STEPS} steps")
 
 
 def estimate_prior(rows: DataFrame, w: np.ndarray, scale, n_u: float, n_p: float) -> float:
@@ -156,7 +217,7 @@ def estimate_prior(rows: DataFrame, w: np.ndarray, scale, n_u: float, n_p: float
     wide = above_p >= _LEAST_TAIL
     # one standard error on top, so that noise in a small tail does not pass for a low prior
     noise = np.sqrt(1 / np.maximum(1, above_p * n_p) + 1 / np.maximum(1, above_u * n_u))
-    return float(np.clip(np.min((above_u / np.maximum(above_p, 1e-12) * (1 + noise))[wide]), 0.02, 0.98))
+    return float(min(1.0, np.min((above_u / np.maximum(above_p, 1e-12) * (1 + noise))[wide])))
 
 
 def train(table_: DataFrame, positives: DataFrame):
