@@ -222,40 +222,38 @@ _SENT = "kind int, key bigint, k1 bigint, k2 bigint, start bigint, body binary"
 REGION, DIGEST, SPAN = 0, 1, 2
 
 
-def _send(hot: np.ndarray):
+def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Regions, digests of strings under hot anchors, and spans already known to repeat."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _batches(batches):
-            best: dict = {}   # (kind, key, body) -> earliest (k1, k2, start)
-            spans: list[tuple] = []
-            for text, k1, k2, want in zip(_texts(b), b.column("k1").to_pylist(), b.column("k2").to_pylist(), b.column("hashes")):
-                h, lo, hi = anchors(np.frombuffer(text, np.uint8))
-                h = h.view(np.int64)
-                pick = np.isin(h, want.values.to_numpy(zero_copy_only=False))
-                h, lo, hi = h[pick], lo[pick], hi[pick]
-                is_hot = np.isin(h, hot)
-                for x, s, e, digest in zip(h.tolist(), lo.tolist(), hi.tolist(), is_hot.tolist()):
-                    if digest:
-                        items = [(DIGEST, None, hashlib.blake2b(text[i:i + LENGTH], digest_size=16).digest(), i)
-                                 for i in range(s, e + 1)]
-                    else:
-                        items = [(REGION, x, text[s:e + LENGTH], s)]
-                    for kind, key, body, i in items:
-                        me, other = (k1, k2, i), best.get((kind, key, body))
-                        if other is None or me < other:
-                            best[kind, key, body] = me
-                        if other is not None and other != me:
-                            late = max(me, other)
-                            spans.append((*late, LENGTH if kind == DIGEST else len(body)))
-            rows = [(kind, int.from_bytes(body[:8], "little", signed=True) if key is None else key, *me, body)
-                    for (kind, key, body), me in best.items()]
-            # the spans of a document in the batch, joined
-            rows += [(SPAN, k2, k1, k2, s, (e - s).to_bytes(8, "little")) for k1, k2, s, e in _joined(spans)]
-            if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
-                    names=["kind", "key", "k1", "k2", "start", "body"])
-    return run
+    for b in _batches(batches):
+        best: dict = {}   # (kind, key, body) -> earliest (k1, k2, start)
+        spans: list[tuple] = []
+        for text, k1, k2, want, hot in zip(_texts(b), *(b.column(c).to_pylist() for c in ("k1", "k2")), b.column("hashes"), b.column("hot")):
+            h, lo, hi = anchors(np.frombuffer(text, np.uint8))
+            h = h.view(np.int64)
+            pick = np.isin(h, want.values.to_numpy(zero_copy_only=False))
+            h, lo, hi = h[pick], lo[pick], hi[pick]
+            is_hot = np.isin(h, hot.values.to_numpy(zero_copy_only=False))
+            for x, s, e, digest in zip(h.tolist(), lo.tolist(), hi.tolist(), is_hot.tolist()):
+                if digest:
+                    items = [(DIGEST, None, hashlib.blake2b(text[i:i + LENGTH], digest_size=16).digest(), i)
+                             for i in range(s, e + 1)]
+                else:
+                    items = [(REGION, x, text[s:e + LENGTH], s)]
+                for kind, key, body, i in items:
+                    me, other = (k1, k2, i), best.get((kind, key, body))
+                    if other is None or me < other:
+                        best[kind, key, body] = me
+                    if other is not None and other != me:
+                        late = max(me, other)
+                        spans.append((*late, LENGTH if kind == DIGEST else len(body)))
+        rows = [(kind, int.from_bytes(body[:8], "little", signed=True) if key is None else key, *me, body)
+                for (kind, key, body), me in best.items()]
+        # the spans of a document in the batch, joined
+        rows += [(SPAN, k2, k1, k2, s, (e - s).to_bytes(8, "little")) for k1, k2, s, e in _joined(spans)]
+        if rows:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
+                names=["kind", "key", "k1", "k2", "start", "body"])
 
 
 def _joined(spans: list[tuple]) -> list[tuple]:
@@ -359,11 +357,12 @@ def repeated_spans(docs: DataFrame, rows: DataFrame, hot_limit: int = HOT) -> Da
     texts = _keyed(docs).where(F.octet_length("t") >= LENGTH).select("k1", "k2", "t")
     firsts = texts.join(_small(copies), ["k1", "k2"], "left_anti")
     found = stored(repeated_anchors(firsts, hot_limit), "anchors")
-    hot = np.array([r.hash for r in found.where("k1 IS NULL").select("hash").collect()], np.int64)  # at most 1 / HOT of all
-    wanted = found.where("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.collect_set("hash").alias("hashes"))
+    hot = cut(found.where("k1 IS NULL").select(F.col("hash").alias("hot")).distinct())
+    wanted = found.where("k1 IS NOT NULL").join(_small(hot), F.col("hash") == F.col("hot"), "left") \
+        .groupBy("k1", "k2").agg(F.collect_set("hash").alias("hashes"), F.collect_set("hot").alias("hot"))
     holders = cut(found.where("k1 IS NOT NULL").select("k1", "k2").distinct())
     some = texts.join(_small(holders), ["k1", "k2"], "left_semi")
-    sent = some.join(wanted, ["k1", "k2"]).select("k1", "k2", "t", "hashes").mapInArrow(_send(hot), _SENT)
+    sent = some.join(wanted, ["k1", "k2"]).select("k1", "k2", "t", "hashes", "hot").mapInArrow(_send, _SENT)
     spans = sent.repartition(tasks, "kind", "key").sortWithinPartitions("kind", "key", "body", "k1", "k2", "start") \
         .mapInArrow(_sort_shards, "k1 bigint, k2 bigint, start bigint, end bigint")
     return spans.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
