@@ -19,7 +19,8 @@ bounded cache keep the ids of recent words.
 Defined results: a null text counts as empty; the empty text has no ids and decodes to ''; the
 character U+2581, which the model uses for the space, decodes to a space; characters outside
 the vocabulary become byte pieces where the model has them, else the unknown id, which decodes
-to U+2047 between spaces as the library writes it. Repeated rows are encoded one by one;
+to U+2047 between spaces as the library writes it; ``decoded`` reads a null id and an id that the
+model does not have as the unknown id, and null ids as no ids. Repeated rows are encoded one by one;
 extra columns are ignored by the query.
 """
 
@@ -335,10 +336,14 @@ def decoded(tokens: DataFrame, model_path: str = MODEL) -> DataFrame:
     """``tokens`` (doc_id, ids) -> doc_id, text."""
     model = load_model(tokens.sparkSession, model_path)
 
+    def known(c: Codec, ids: list | None) -> list[int]:
+        n = len(c._names)
+        return [i if i is not None and 0 <= i < n else c.unk for i in ids or []]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model.value)
         for b in batches:
-            text = [c.decode(x.as_py() or []).decode("utf-8", "replace") for x in b.column(1)]
+            text = [c.decode(known(c, x.as_py())).decode("utf-8", "replace") for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string())], names=["doc_id", "text"])
 
     return tokens.selectExpr("cast(doc_id AS bigint) AS doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")

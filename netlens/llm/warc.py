@@ -22,7 +22,9 @@ Defined results: null html is an empty payload; a null page_id is written withou
 comes back as null (with equal payloads it ranks below every number; where all are null, all
 are responses); rows that tie for the largest page_id are all responses; a null url is left
 out; extra columns are ignored; an empty table gives no archive rows. A file that does not
-begin with the magic line has no records; a chain ends where no record starts.
+begin with the magic line has no records; a chain ends where no record starts. A record whose
+payload would end past the end of its file (the file is cut short, or the length is wrong) is no
+record. Records of 2 GB or more fit no value and stop the reading with an error.
 """
 
 from __future__ import annotations
@@ -105,10 +107,13 @@ def _placed(pieces: DataFrame) -> DataFrame:
 
 
 def _with_offsets(pieces: DataFrame) -> DataFrame:
-    """Adds ``at``, the offset in the file, from ``in_split`` and one row per split."""
+    """Adds ``at``, the offset in the file, from ``in_split`` and one row per split, and
+    ``file_end``, the size of the file."""
     sums = pieces.groupBy("path", "split").agg(F.sum(F.col("n") + len(MAGIC)).alias("all"))
     before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("path", "split", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("base"))
+    # no magic line follows the last piece
+    file_end = F.sum("all").over(Window.partitionBy("path")) - len(MAGIC)
+    sums = sums.select("path", "split", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("base"), file_end.alias("file_end"))
     return pieces.join(sums, ["path", "split"]).withColumn("at", F.col("base") + F.col("in_split")).drop("base")
 
 
@@ -201,7 +206,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     # a piece begins after its magic line; the first piece of a file is what stands before it
     cand = pieces.where(F.col("length").isNotNull() & (F.col("at") > 0)) \
         .withColumn("at", F.col("at") - len(MAGIC)) \
-        .withColumn("succ", F.col("at") + len(MAGIC) + F.col("h") + F.col("length") + 2 * len(END))
+        .withColumn("succ", F.col("at") + len(MAGIC) + F.col("h") + F.col("length") + 2 * len(END)) \
+        .where(F.col("succ") - len(END) <= F.col("file_end"))
     records = cand.join(reachable(cand), ["path", "at"], "left_semi")
     records = cut(records)
     numbers = [F.expr("try_cast(page AS bigint)").alias("page_id"), F.expr("try_cast(refers AS bigint)").alias("refers_to")]

@@ -284,6 +284,25 @@ def test_ids_odd_rows(clash, documents):
     assert sentencepiece_codec.encoded(documents([])).count() == 0
 
 
+def test_ids_outside_the_vocabulary(spark):
+    rows = spark.createDataFrame([(1, [-1, 10 ** 6]), (2, [None]), (3, None), (4, [])], "doc_id bigint, ids array<int>")
+    got = {r.doc_id: r.text for r in sentencepiece_codec.decoded(rows).collect()}
+    assert got[1].split() == ["\u2047", "\u2047"] and got[2].split() == ["\u2047"] and got[3] == got[4] == ""
+
+
+def test_archives_cut_short_or_with_a_wrong_length(spark, tmp_path):
+    pages = spark.createDataFrame([(i, None, f"page {i} " * 20) for i in range(4)], "page_id bigint, url string, html string")
+    warc.write_archives(pages.coalesce(1), str(tmp_path / "a"))
+    whole = next(p for p in (tmp_path / "a").iterdir() if p.suffix != ".crc" and p.stat().st_size and not p.name.startswith(("_", "."))).read_bytes()
+    last = whole.rindex(b"WARC/1.1")
+    for name, data in (("short", whole[:-60]), ("wrong", whole[:last] + whole[last:].replace(b"Content-Length: ", b"Content-Length: 99999999999")),
+                       ("unended", whole[:-4])):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "part").write_bytes(data)
+        got = sorted(r.page_id for r in warc.read_archives(spark, str(tmp_path / name)).collect())
+        assert got == [0, 1, 2, 3][:4 if name == "unended" else 3]
+
+
 # -- classifiers
 
 def test_quality_on_held_out_rows(spark):
