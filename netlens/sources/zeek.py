@@ -73,28 +73,38 @@ def _with_fields(h: DataFrame) -> DataFrame:
 _HEADS = f"{SRC} string, {SIZE} bigint, layouts array<array<string>>, types array<string>, n_data bigint"
 
 
-def _head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The header row of the file whose lines the task reads. Returning ends the reading: after
-    ``HEAD_LINES`` lines, or later at the first line that is data or names the fields."""
-    src, size, layouts, types, n_data, n = None, None, [], None, 0, 0
-    for b in batches:
-        for value, file, length, start in zip(*(b.column(i).to_pylist() for i in range(4))):
-            if start:  # a later split of a file
-                return
-            src, size, n = file, length, n + 1
-            name, _, rest = value.partition("\t")
-            if name == "#fields" and rest.split("\t") not in layouts:
-                layouts.append(rest.split("\t"))
-            elif name == "#types":
-                types = max(types or [], rest.split("\t"))
-            n_data += value != "" and not value.startswith("#")
-        if n >= HEAD_LINES and (layouts or n_data):
-            break
-    if src is not None:
-        yield pa.RecordBatch.from_pylist(
-            [{SRC: src, SIZE: size, "layouts": layouts, "types": types, "n_data": n_data}],
-            schema=pa.schema([(SRC, pa.string()), (SIZE, pa.int64()), ("layouts", pa.list_(pa.list_(pa.string()))),
-                              ("types", pa.list_(pa.string())), ("n_data", pa.int64())]))
+def _head(alone: bool):
+    """The header rows of the files whose lines the task reads, from their leading lines: the first
+    ``HEAD_LINES``, and later ones up to a line that is data or names the fields. A task that has
+    its file ``alone`` returns then, which ends the reading; else it passes over the file's other lines."""
+    schema = pa.schema([(SRC, pa.string()), (SIZE, pa.int64()), ("layouts", pa.list_(pa.list_(pa.string()))),
+                        ("types", pa.list_(pa.string())), ("n_data", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, n = None, 0
+        for b in batches:
+            for value, file, length, start in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if start:  # a later split of a file
+                    continue
+                if row is None or row[SRC] != file:
+                    if row is not None:
+                        yield pa.RecordBatch.from_pylist([row], schema=schema)
+                    row, n = {SRC: file, SIZE: length, "layouts": [], "types": None, "n_data": 0}, 0
+                n += 1
+                if n > HEAD_LINES and (row["layouts"] or row["n_data"]):
+                    continue
+                name, _, rest = value.partition("\t")
+                if name == "#fields" and rest.split("\t") not in row["layouts"]:
+                    row["layouts"].append(rest.split("\t"))
+                elif name == "#types":
+                    row["types"] = max(row["types"] or [], rest.split("\t"))
+                row["n_data"] += value != "" and not value.startswith("#")
+            if alone and (row is None or (n >= HEAD_LINES and (row["layouts"] or row["n_data"]))):
+                break
+        if row is not None:
+            yield pa.RecordBatch.from_pylist([row], schema=schema)
+
+    return run
 
 
 def file_heads(spark: SparkSession, path: str, log_type: str | None = None, recursive: bool = True,
@@ -103,7 +113,7 @@ def file_heads(spark: SparkSession, path: str, log_type: str | None = None, recu
 
     The pass runs in a session of its own, whose settings give every file a task of its own, in
     batches of a few lines; a task that has seen enough returns, and the rest of its file is not
-    read. Its rows are written to the shared folder (they survive lost executors)."""
+    read. Where a cluster pins other settings, tasks read several files, to their ends. Its rows are written to the shared folder (they survive lost executors)."""
     own = spark.newSession()
     one_file = str(1 << 40)
     for k, v in {"spark.sql.files.maxPartitionBytes": one_file, "spark.sql.files.openCostInBytes": one_file,
@@ -112,7 +122,8 @@ def file_heads(spark: SparkSession, path: str, log_type: str | None = None, recu
         own.conf.set(k, v)
     lines = _scan(own, path, log_type, recursive, pattern)
     at = f"{checkpoint_dir(spark).rstrip('/')}/heads-{uuid.uuid4().hex}"
-    lines.mapInArrow(_head, _HEADS).write.parquet(at)
+    alone = own.conf.get("spark.sql.files.openCostInBytes") == own.conf.get("spark.sql.files.maxPartitionBytes") == one_file
+    lines.mapInArrow(_head(alone), _HEADS).write.parquet(at)
     return _with_fields(spark.read.schema(_HEADS).parquet(at))
 
 

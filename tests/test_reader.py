@@ -224,3 +224,14 @@ def test_empty_marker_is_empty_string(spark, tmpdir_path):
         [(False, ""), (False, "VIA"), (True, None)]
     assert [r["status_code"] for r in df.orderBy("ts").collect()] == [None, 200, None]
     assert proxied_ratio_hourly(df).first()["proxied_ratio"] == 1 / 3
+
+
+def test_heads_of_files_that_share_a_task(spark, tmp_path):
+    from netlens.sources import zeek
+    for k in range(6):
+        cols = ["ts", "uid"][::1 if k % 2 else -1]
+        (tmp_path / f"dns.{k}.log").write_text("#fields\t" + "\t".join(cols) + "\n" + "1\t2\n" * 1500)
+    lines = zeek._scan(spark, str(tmp_path), "dns", True, None).coalesce(1)
+    got = lines.mapInArrow(zeek._head(False), zeek._HEADS).collect()
+    assert sorted((r[zeek.SRC][-5], r.layouts) for r in got) == [(str(k), [["ts", "uid"][::1 if k % 2 else -1]]) for k in range(6)]
+    assert all(0 < r.n_data < 1500 for r in got)
